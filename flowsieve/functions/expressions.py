@@ -124,6 +124,15 @@ def eval_cast(name: Column, value: Column) -> Column:
     )
 
 
+def fold_constants(op: Column, left: Column, right: Column) -> Column:
+    """Text of an operation: its value when both operand texts are numbers, else symbolic."""
+    value = eval_binary(op, left.try_cast("bigint"), right.try_cast("bigint"))
+    number = value["number"]
+    whole = F.when(number == F.floor(number), number.cast("bigint").cast("string")).otherwise(number.cast("string"))
+    flag = F.when(value["flag"], F.lit("True")).when(~value["flag"], F.lit("False"))
+    return F.coalesce(flag, whole, value["text"], symbolic_binary(op, left, right))
+
+
 def negate_condition(comparator: Column) -> Column:
     """Comparator of the else edge; an unknown one becomes ``true``."""
     return F.coalesce(_case(comparator, {a: F.lit(b) for a, b in COMPLEMENT.items()}), F.lit("true"))

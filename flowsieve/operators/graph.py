@@ -99,21 +99,22 @@ def contract_pass_through(edges: DataFrame, passing: DataFrame) -> DataFrame:
     """Bypass blocks that hold only a jump; ``passing(unit, block)`` names them.
 
     Edges into such a block go to the end of its chain, its own edge disappears.
-    A chain that runs into itself is an endless loop and stays.
+    A block that jumps to itself stays, and so does a chain that runs in a circle.
     """
-    jump = edges.join(passing.withColumnRenamed("block", "src"), ["unit", "src"], "left_semi")
-    nodes = jump.select("unit", F.col("src").alias("block"), F.col("dst").alias("next")).withColumn(
-        "final", F.col("next")
+    gate = passing.select("unit", F.col("block").alias("src"), F.lit(True).alias("_pass"))
+    jump = edges.select("unit", "src", "dst").join(gate, ["unit", "src"]).where("src <> dst").drop("_pass")
+    onward = jump.select("unit", F.col("src").alias("dst"), F.lit(True).alias("_again"))
+    nodes = jump.join(onward, ["unit", "dst"], "left").select(
+        "unit", F.col("src").alias("block"), F.when(F.col("_again"), F.col("dst")).alias("next"), F.col("dst").alias("final")
     )
-    inner = nodes.join(
-        passing.select("unit", F.col("block").alias("next"), F.lit(True).alias("_pass")), ["unit", "next"], "left"
-    ).select("unit", "block", F.when(F.col("_pass"), F.col("next")).alias("next"), "final")
-    ends = follow_pointers(inner, ["unit", "block"], "next", {"final": lambda mine, theirs: F.coalesce(theirs, mine)})
+    ends = follow_pointers(nodes, ["unit", "block"], "next", {"final": lambda mine, theirs: F.coalesce(theirs, mine)})
     removed = cut(ends.where("next IS NULL").select("unit", F.col("block").alias("_gone"), "final"))
-    kept = edges.join(removed.select("unit", F.col("_gone").alias("src")), ["unit", "src"], "left_anti")
+    kept = edges.select("unit", "src", "dst").join(
+        removed.select("unit", F.col("_gone").alias("src")), ["unit", "src"], "left_anti"
+    )
     return (
-        kept.join(removed, (kept["unit"] == removed["unit"]) & (kept["dst"] == removed["_gone"]), "left")
-        .select(kept["unit"], "src", F.coalesce("final", "dst").alias("dst"))
+        kept.join(removed.withColumnRenamed("_gone", "dst"), ["unit", "dst"], "left")
+        .select("unit", "src", F.coalesce("final", "dst").alias("dst"))
         .distinct()
     )
 

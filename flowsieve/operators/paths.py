@@ -144,12 +144,13 @@ def definitely_assigned(reads: DataFrame, untrusted: Column) -> DataFrame:
 def symbolic_expression(ops: DataFrame) -> DataFrame:
     """Expression text of each op's value along its chain of definitions.
 
-    ``ops(unit, seq, def_seq, operator, right, leaf)``: an operator wraps its
-    definition's text, none copies it, ``leaf`` (non-null) starts a text. The wrapping
-    is kept as a text before and a text after, which combine associatively, so long
-    chains take log rounds.
+    ``ops(unit, seq, def_seq, operator, right, leaf, entry)``: an operator wraps its
+    definition's text, none copies it; ``leaf`` (non-null) starts a text, ``entry`` is
+    the text of a variable that was not written before. The wrapping is kept as a text
+    before and a text after, which combine associatively: long chains take log rounds.
     """
-    before = F.when(F.col("operator").isNotNull(), F.lit("((")).otherwise(F.lit(""))
+    opening = F.when(F.col("operator").isNotNull(), F.lit("((")).otherwise(F.lit(""))
+    before = F.when(F.col("def_seq").isNull(), F.concat(opening, F.col("entry"))).otherwise(opening)
     after = F.when(
         F.col("operator").isNotNull(),
         F.concat(F.lit(") "), symbol_of(F.col("operator")), F.lit(" ("), F.col("right"), F.lit("))")),

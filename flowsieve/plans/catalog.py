@@ -143,6 +143,6 @@ def with_ctes(names: str, body: str, extra: dict[str, str] | None = None) -> str
 
     for name in names.split():
         need(name)
-    parts = [f"{name} AS ({CTES[name][1]})" for name in order]
+    parts = [f"{name} AS {'MATERIALIZED ' if name == 'lk' else ''}({CTES[name][1]})" for name in order]
     parts += [f"{name} AS ({text})" for name, text in (extra or {}).items()]
     return f"WITH RECURSIVE {', '.join(parts)} {body}"
