@@ -90,3 +90,10 @@ def scan_references(df: DataFrame, text: str, keys: list[str], pattern: str = IN
         F.trim(path, F.lit(BLANKS)).alias("path"),
         "matched",
     )
+
+
+def reference_segments(df: DataFrame, text: str, keys: list[str], pattern: str = INCLUDE_STATEMENT) -> DataFrame:
+    """Pieces of a text between its references: ``pos``, the text before, and the reference."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = df.select(*keys, found.alias("_found"), F.posexplode(F.split(text, pattern, -1)).alias("pos", "text"))
+    return pieces.select(*keys, "pos", "text", F.get("_found", F.col("pos")).alias("matched"))
