@@ -16,6 +16,9 @@ from flowsieve.session import cut, cut_counted
 
 # parts of the known set are merged into one table when there are this many
 PARTS = 6
+# a round on fewer new facts than this is mostly overhead, so it looks several steps ahead
+SMALL_DELTA = 500_000
+HOPS = 2
 
 
 class Unfinished(RuntimeError):
@@ -27,46 +30,47 @@ def grow(
     step: Callable[[DataFrame], DataFrame],
     keys: list[str],
     *,
-    hops: int = 1,
+    levels: bool = False,
+    within: list[str] | None = None,
     max_rounds: int = 10_000,
 ) -> DataFrame:
-    """Least set that holds ``seeds`` and is closed under ``step``."""
-    delta = cut(seeds.select(*keys).distinct())
+    """Least set that holds ``seeds`` and is closed under ``step``.
+
+    ``within`` names key columns that ``step`` never changes. Once few new facts are
+    left, only the known facts of their groups are compared, so that the rest of the
+    known set is read but not shuffled again.
+
+    With ``levels`` a fact has the number of steps after which it first appears as
+    ``level``. Facts that are known already never enter the next round, so a round
+    costs what is new in it; rounds with little to do take several steps at once.
+    """
+    first = seeds.select(*keys).distinct()
+    delta, new_rows = cut_counted(first.withColumn("level", F.lit(0)) if levels else first)
     parts = [delta]
+    level = 0
     for _ in range(max_rounds):
-        reached = front = step(delta).select(*keys).distinct()
-        for _ in range(hops - 1):
+        hops = HOPS if new_rows < SMALL_DELTA else 1
+        front, fronts = delta, []
+        for hop in range(1, hops + 1):
             front = step(front).select(*keys).distinct()
-            reached = reached.unionByName(front)
-        if hops > 1:
+            fronts.append(front.withColumn("level", F.lit(level + hop)) if levels else front)
+        reached = _union(fronts)
+        if levels:
+            reached = reached.groupBy(*keys).agg(F.min("level").alias("level"))
+        elif hops > 1:
             reached = reached.distinct()
-        fresh = reached.join(_union(parts), keys, "left_anti")
-        delta, new_rows = cut_counted(fresh)
-        if new_rows == 0:
-            return _union(parts)
-        parts.append(delta)
-        if len(parts) > PARTS:
-            parts = [cut(_union(parts))]
-    raise Unfinished(f"no fixpoint after {max_rounds} rounds")
-
-
-def grow_levels(
-    seeds: DataFrame,
-    step: Callable[[DataFrame], DataFrame],
-    keys: list[str],
-    *,
-    max_rounds: int = 10_000,
-) -> DataFrame:
-    """As ``grow``, with the round in which a fact first appears as ``level``."""
-    delta = cut(seeds.select(*keys).distinct().withColumn("level", F.lit(0)))
-    parts = [delta]
-    for level in range(1, max_rounds + 1):
-        reached = step(delta).select(*keys).distinct()
-        fresh = reached.join(_union(parts), keys, "left_anti").withColumn("level", F.lit(level))
-        delta, new_rows = cut_counted(fresh)
+        known = _union(parts).select(*keys)
+        if within and new_rows < SMALL_DELTA:
+            # new_rows bounds the number of groups, so this side is small enough to broadcast
+            known = known.join(F.broadcast(delta.select(*within).distinct()), within, "left_semi")
+        delta, new_rows = cut_counted(reached.join(known, keys, "left_anti"))
         if new_rows == 0:
             return _union(parts)
         parts.append(delta)
+        level += hops
+        # what lies between has been followed already; only the outermost facts are new ground
+        if levels and hops > 1:
+            delta = delta.where(F.col("level") == level)
         if len(parts) > PARTS:
             parts = [cut(_union(parts))]
     raise Unfinished(f"no fixpoint after {max_rounds} rounds")

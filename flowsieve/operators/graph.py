@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.operators.fixpoint import follow_pointers, grow, grow_levels
+from flowsieve.operators.fixpoint import follow_pointers, grow
 from flowsieve.operators.ordered import row_sequence
 from flowsieve.session import cut, cut_counted
 
@@ -28,7 +28,7 @@ def _move(delta: DataFrame, links: DataFrame, carried: list[str]) -> DataFrame:
 def reachable_blocks(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Blocks reached from the entries, with their breadth-first level."""
     links = _forward(edges)
-    return grow_levels(entries, lambda delta: _move(delta, links, []), ["unit", "block"])
+    return grow(entries, lambda delta: _move(delta, links, []), ["unit", "block"], levels=True, within=["unit"])
 
 
 def covered_edges(edges: DataFrame, reached: DataFrame, feasible: DataFrame) -> DataFrame:
@@ -49,15 +49,15 @@ def covered_edges(edges: DataFrame, reached: DataFrame, feasible: DataFrame) ->
 def reachable_units(calls: DataFrame, roots: DataFrame) -> DataFrame:
     """Call closure: ``calls(unit, callee)`` from ``roots(unit)``, with the call depth."""
     links = calls.select("unit", "callee").distinct()
-    return grow_levels(
-        roots, lambda delta: delta.join(links, "unit").select(F.col("callee").alias("unit")), ["unit"]
+    return grow(
+        roots, lambda delta: delta.join(links, "unit").select(F.col("callee").alias("unit")), ["unit"], levels=True
     )
 
 
 def live_variables(mentions: DataFrame, edges: DataFrame) -> DataFrame:
     """live(b) = variables mentioned in b, united with live(successors); nothing is killed."""
     links = _backward(edges)
-    return grow(mentions, lambda delta: _move(delta, links, ["var"]), ["unit", "block", "var"])
+    return grow(mentions, lambda delta: _move(delta, links, ["var"]), ["unit", "block", "var"], within=["unit"])
 
 
 def live_variables_interproc(
@@ -77,7 +77,7 @@ def live_variables_interproc(
 def sink_relevance(sink_blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """Blocks that hold a sink or lead to such a block: least fixpoint from the sinks."""
     links = _backward(edges)
-    return grow(sink_blocks, lambda delta: _move(delta, links, []), ["unit", "block"])
+    return grow(sink_blocks, lambda delta: _move(delta, links, []), ["unit", "block"], within=["unit"])
 
 
 def prune_dead_blocks(blocks: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
@@ -146,6 +146,7 @@ def lift_merge_operands(merges: DataFrame, removed: DataFrame) -> DataFrame:
             "unit", "block", "result", F.col("_inner").alias("operand")
         ),
         ["unit", "block", "result", "operand"],
+        within=["unit"],
     )
     names = gone.select("unit", F.col("result").alias("operand"))
     return spread.join(names, ["unit", "operand"], "left_anti").where("operand <> result").distinct()
@@ -204,6 +205,7 @@ def place_merges(reads: DataFrame, defs: DataFrame, edges: DataFrame) -> DataFra
         reads,
         lambda delta: _move(delta, back, ["var"]).join(written, keys, "left_anti"),
         keys,
+        within=["unit", "var"],
     )
     parents = back.groupBy("unit", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("_to").alias("_one"))
     asked = cut(asked.join(parents, ["unit", "block"], "left").withColumn("_n", F.coalesce("_n", F.lit(0))))

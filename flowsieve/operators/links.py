@@ -18,20 +18,26 @@ def def_use_edges(writes: DataFrame, reads: DataFrame, keys: list[str]) -> DataF
     return left.join(right, keys)
 
 
-def reaching_definition(reads: DataFrame, writes: DataFrame, keys: list[str]) -> DataFrame:
-    """As-of link: each read with ``def_seq``, the latest earlier write of its variable.
+def link_accesses(accesses: DataFrame, keys: list[str]) -> DataFrame:
+    """As-of link over one list of reads (``is_write`` 0) and writes (1).
 
-    Reads and writes are merged into one ordered list per key and the last write is
-    carried on, so no read meets more than its own answer. A read at the same ``seq``
-    as a write comes first.
+    Gives the reads with ``def_seq``, the latest earlier write of their variable. The
+    last write is carried along the ordered list, so no read meets more than its own
+    answer and nothing is joined back: further columns of a read just stay with it. A
+    read at the same ``seq`` as a write comes first.
     """
-    cols = [*keys, *with_slice(reads), "seq"]
-    marks = [F.lit(0).alias("_is_write"), F.lit(None).cast("int").alias("_def")]
-    both = reads.select(*cols, *marks).unionByName(
-        writes.select(*cols, F.lit(1).alias("_is_write"), F.col("seq").alias("_def"))
+    marked = accesses.withColumn("_def", F.when(F.col("is_write") == 1, F.col("seq")))
+    linked = running_max(marked, keys, ["seq", "is_write"], "_def", "def_seq")
+    return linked.where("is_write = 0").drop("is_write", "_def")
+
+
+def reaching_definition(reads: DataFrame, writes: DataFrame, keys: list[str]) -> DataFrame:
+    """``link_accesses`` over reads and writes that come as two tables."""
+    cols = [*keys, *with_slice(writes), "seq"]
+    both = reads.withColumn("is_write", F.lit(0)).unionByName(
+        writes.select(*cols, F.lit(1).alias("is_write")), allowMissingColumns=True
     )
-    linked = running_max(both, keys, ["seq", "_is_write"], "_def", "def_seq")
-    return linked.where("_is_write = 0").drop("_is_write", "_def")
+    return link_accesses(both, keys)
 
 
 def resolve_calls(calls: DataFrame, units: DataFrame, callee: str = "callee") -> DataFrame:

@@ -59,7 +59,7 @@ def straight_line_sanitizers(ops: DataFrame) -> DataFrame:
     return done.select("unit", "seq", F.coalesce("tainted", F.lit(False)).alias("tainted"), "open_mask")
 
 
-def taint_fixpoint(seeds: DataFrame, flows: DataFrame, hops: int = 1) -> DataFrame:
+def taint_fixpoint(seeds: DataFrame, flows: DataFrame) -> DataFrame:
     """Tainted ``(unit, var)`` over any flow graph, cycles included.
 
     ``flows(unit, var, to_unit, to_var)``: value copies inside and across units.
@@ -71,7 +71,6 @@ def taint_fixpoint(seeds: DataFrame, flows: DataFrame, hops: int = 1) -> DataFra
             F.col("to_unit").alias("unit"), F.col("to_var").alias("var")
         ),
         ["unit", "var"],
-        hops=hops,
     )
 
 
@@ -101,16 +100,25 @@ def taint_blocks(generated: DataFrame, transfers: DataFrame, edges: DataFrame) -
     ``generated`` are sources, ``transfers(unit, block, var, to_var)`` the copies made
     inside a block, ``edges(unit, src, dst)`` carry every variable on.
     """
-    links = edges.select("unit", F.col("src").alias("block"), F.col("dst").alias("_to"))
+    # one equi-join serves both: an edge takes any variable, a copy its own one
+    any_var = F.lit("*")
+    moves = edges.select(
+        "unit", F.col("src").alias("block"), any_var.alias("_for"), F.col("dst").alias("_block"),
+        F.lit(None).cast(dict(transfers.dtypes)["to_var"]).alias("_var"),
+    ).unionByName(
+        transfers.select(
+            "unit", "block", F.col("var").cast("string").alias("_for"), F.col("block").alias("_block"),
+            F.col("to_var").alias("_var"),
+        )
+    )
 
     def step(delta: DataFrame) -> DataFrame:
-        onward = delta.join(links, ["unit", "block"]).select("unit", F.col("_to").alias("block"), "var")
-        copied = delta.join(transfers, ["unit", "block", "var"]).select(
-            "unit", "block", F.col("to_var").alias("var")
+        asked = delta.select("*", F.explode(F.array(any_var, F.col("var").cast("string"))).alias("_for"))
+        return asked.join(moves, ["unit", "block", "_for"]).select(
+            "unit", F.col("_block").alias("block"), F.coalesce("_var", "var").alias("var")
         )
-        return onward.unionByName(copied)
 
-    return grow(generated, step, ["unit", "block", "var"])
+    return grow(generated, step, ["unit", "block", "var"], within=["unit"])
 
 
 def sanitizer_bits(policy: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.expressions import BINARY_OPERATORS
 from flowsieve.functions.operands import operation_name
-from flowsieve.operators.links import reaching_definition
+from flowsieve.operators.links import link_accesses
 from flowsieve.operators.ordered import add_slices, next_value, row_sequence, with_slice
 from flowsieve.sources import policy as P
 
@@ -64,11 +64,21 @@ def program_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def program_links(pe: DataFrame) -> DataFrame:
-    """(unit, var, seq) of each read with the ``def_seq`` that reaches it."""
-    base = with_slice(pe)
-    reads = pe.select("unit", *base, F.col("rv").alias("var"), "seq")
-    writes = pe.where("event_type <> 'error'").select("unit", *base, F.col("wv").alias("var"), "seq")
-    return reaching_definition(reads, writes, ["unit", "var"])
+    """Each op with the variable it reads as ``var`` and the ``def_seq`` that reaches it.
+
+    An op is spread into its read and its write, which carries no other columns, so
+    the ops are numbered and shuffled once.
+    """
+    fixed = ["unit", "seq", *with_slice(pe)]
+    others = [c for c in pe.columns if c not in fixed]
+    payload = F.struct(*others)
+    read = F.struct(F.col("rv").alias("var"), F.lit(0).alias("is_write"), payload.alias("_op"))
+    write = F.struct(
+        F.when(F.col("event_type") != "error", F.col("wv")).alias("var"), F.lit(1).alias("is_write"),
+        F.when(F.lit(False), payload).alias("_op"),
+    )
+    accesses = pe.select(*fixed, F.inline(F.array(read, write))).where("var IS NOT NULL")
+    return link_accesses(accesses, ["unit", "var"]).select(*fixed, "var", "def_seq", "_op.*")
 
 
 def op_columns() -> dict[str, Column]:
@@ -167,8 +177,5 @@ def block_entries(events: DataFrame) -> DataFrame:
 
 
 def block_mentions(events: DataFrame) -> DataFrame:
-    """(unit, block, var): variables read or written in a block."""
-    both = F.array("rv", F.when(F.col("event_type") != "error", F.col("wv")))
-    return (
-        events.select("unit", "block", F.explode(both).alias("var")).where("var IS NOT NULL").distinct()
-    )
+    """(unit, block, var): the two variables each event of a block mentions."""
+    return events.select("unit", "block", F.explode(F.array("rv", "wv")).alias("var")).distinct()

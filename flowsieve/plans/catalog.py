@@ -126,7 +126,7 @@ CTES: dict[str, tuple[str, str]] = {
     "b0": ("be", "SELECT unit, first(block ORDER BY ts, event_id) AS block FROM be GROUP BY unit"),
     "bm": (
         "be",
-        """SELECT unit, block, rv AS var FROM be UNION SELECT unit, block, wv FROM be WHERE event_type <> 'error'""",
+        "SELECT unit, block, rv AS var FROM be UNION SELECT unit, block, wv FROM be",
     ),
 }
 

@@ -10,7 +10,7 @@ from flowsieve.operators.compare import order_cases as case_order
 from flowsieve.operators.ordered import with_slice
 from flowsieve.plans import bindings as B
 from flowsieve.plans.catalog import query, sql_list, with_ctes
-from flowsieve.plans.q_joins import UNITS_SQL, entry_states, ops_of, place, straight_ops
+from flowsieve.plans.q_joins import UNITS_SQL, entry_states, numbered_ops, place, straight_ops
 from flowsieve.session import cut
 from flowsieve.sources import policy
 
@@ -221,18 +221,18 @@ def state_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- taint over graphs ----
 
-# a signup taints what it writes; clicks and purchases copy what they read
+# a signup taints what it writes; all but views copy what they read; nothing is killed
 BLOCK_TAINT = """SELECT DISTINCT unit, block, wv AS var FROM be WHERE event_type = 'signup'
     UNION SELECT * FROM (
       SELECT t.unit, e.dst AS block, t.var FROM t JOIN {edges} e ON e.unit = t.unit AND e.src = t.block
       UNION ALL SELECT t.unit, t.block, c.wv FROM t JOIN copies c ON c.unit = t.unit AND c.block = t.block AND c.rv = t.var)"""
-COPIES = "SELECT DISTINCT unit, block, rv, wv FROM be WHERE event_type IN ('click', 'purchase')"
+COPIES = "SELECT DISTINCT unit, block, rv, wv FROM be WHERE event_type NOT IN ('signup', 'view')"
 
 
 def block_taint(events: DataFrame, edges: DataFrame) -> DataFrame:
     generated = events.where("event_type = 'signup'").select("unit", "block", F.col("wv").alias("var"))
     copies = cut(
-        events.where("event_type IN ('click', 'purchase')")
+        events.where("event_type NOT IN ('signup', 'view')")
         .select("unit", "block", F.col("rv").alias("var"), F.col("wv").alias("to_var"))
         .distinct()
     )
@@ -257,7 +257,7 @@ def call_flows(spark: SparkSession, sf_dir: str, *, binary_results: bool = True,
     strict form; ``strict`` marks those rows, which the plain form leaves out.
     """
     units = B.unit_count(spark, sf_dir)
-    ops = ops_of(spark, sf_dir)
+    ops = numbered_ops(spark, sf_dir)
     site = policy.site_policy(spark)
     bits = taint.sanitizer_bits(site).withColumnRenamed("name", "conditional")
     linked = cut(
@@ -365,10 +365,9 @@ def taint_whole_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Older form: includes are followed, binary results not copied, one row per instruction."""
     seeds, flows = call_flows(spark, sf_dir, binary_results=False, includes=True)
     state = taint.taint_fixpoint(seeds, cut(flows.where("NOT strict")))
-    pe = B.program_events(spark, sf_dir)
-    reads = B.program_links(pe).select("unit", "seq", F.coalesce("def_seq", -(F.col("var") + 1)).cast("bigint").alias("var"))
-    native = pe.where("event_type = 'purchase' AND k % 9 = 0").select("unit", "seq")
-    return place(native.join(reads, ["unit", "seq"]).join(state, ["unit", "var"], "left_semi"))
+    reads = B.program_links(B.program_events(spark, sf_dir)).where("event_type = 'purchase' AND k % 9 = 0")
+    native = reads.select("unit", "seq", F.coalesce("def_seq", -(F.col("var") + 1)).cast("bigint").alias("var"))
+    return place(native.join(state, ["unit", "var"], "left_semi"))
 
 
 CONDITIONAL_SQL = ", ".join(f"('{n}')" for n in sorted({*B.CONDITIONAL_NAMES, "sqlite_udf_encode_binary"}))
@@ -426,7 +425,7 @@ def taint_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def report_flows_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings when a conditional sanitizer keeps the taint and only its own sinks accept it."""
-    ops = ops_of(spark, sf_dir)
+    ops = numbered_ops(spark, sf_dir)
     site = policy.site_policy(spark)
     bits = taint.sanitizer_bits(site)
     flagged = (

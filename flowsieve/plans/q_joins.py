@@ -10,6 +10,7 @@ from flowsieve.functions.operands import parse_literal
 from flowsieve.operators import classify, links, states, taint
 from flowsieve.plans import bindings as B
 from flowsieve.plans.catalog import at, query, sql_list, with_ctes
+from flowsieve.session import cut
 from flowsieve.sources import policy
 from flowsieve.sources.policy import (
     FULL_SANITIZERS,
@@ -21,6 +22,11 @@ def ops_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.program_ops(B.program_events(spark, sf_dir))
 
 
+def numbered_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ops, numbered once and written, for queries that read them several times."""
+    return cut(ops_of(spark, sf_dir))
+
+
 def place(df: DataFrame, *more: str) -> DataFrame:
     """unit and seq as BIGINT plus the named columns."""
     return df.select("unit", F.col("seq").cast("bigint").alias("seq"), *more)
@@ -394,11 +400,8 @@ def propagate_through_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def straight_ops(ops: DataFrame, spark: SparkSession) -> DataFrame:
     """Ops with their definition and the flags the policy gives them."""
-    flagged = classify.flag_ops(ops, policy.site_policy(spark))
-    linked = B.program_links(ops).select("unit", "seq", "def_seq")
-    return flagged.join(linked, ["unit", "seq"]).withColumn(
-        "is_clean", F.col("is_full") | F.col("conditional").isNotNull()
-    )
+    flagged = classify.flag_ops(B.program_links(ops), policy.site_policy(spark))
+    return flagged.withColumn("is_clean", F.col("is_full") | F.col("conditional").isNotNull())
 
 
 def tainted_arguments(ops: DataFrame, spark: SparkSession) -> DataFrame:
@@ -412,13 +415,6 @@ def tainted_arguments(ops: DataFrame, spark: SparkSession) -> DataFrame:
     )
 
 
-def raw_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = ops_of(spark, sf_dir)
-    return taint.find_flows(
-        ops, tainted_arguments(ops, spark), policy.site_policy(spark), policy.category_names(spark)
-    )
-
-
 @query(with_ctes("tt", "SELECT unit, CAST(seq AS BIGINT) AS seq FROM tt"))
 def taint_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = ops_of(spark, sf_dir)
@@ -431,7 +427,7 @@ REPORT_SQL = """SELECT file, start_line, unit, CAST(seq AS BIGINT) AS seq, categ
 
 @query(with_ctes("fl", REPORT_SQL))
 def report_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = ops_of(spark, sf_dir)
+    ops = numbered_ops(spark, sf_dir)
     found = taint.report_flows(
         ops, tainted_arguments(ops, spark), policy.site_policy(spark), policy.category_names(spark)
     )

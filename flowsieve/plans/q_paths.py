@@ -158,9 +158,7 @@ def mark_imprecise(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def definitely_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = B.program_ops(B.program_events(spark, sf_dir))
-    linked = ops.select("unit", "seq", "read_name").join(
-        B.program_links(ops).select("unit", "seq", "def_seq"), ["unit", "seq"]
-    )
+    linked = B.program_links(ops)
     return place(paths.definitely_assigned(linked, F.col("read_name").isin(SOURCE_VARIABLES)), "isset")
 
 
@@ -185,9 +183,7 @@ SIGNS = ", ".join(f"('{name}', '{sign}')" for name, sign in X.SYMBOLS.items())
 )
 def symbolic_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = B.program_ops(B.program_events(spark, sf_dir))
-    linked = ops.select("unit", "seq", "event_type", "op", "k", "rv").join(
-        B.program_links(ops).select("unit", "seq", "def_seq"), ["unit", "seq"]
-    )
+    linked = B.program_links(ops)
     name = F.when(F.col("op").startswith("Expr_BinaryOp_"), F.substring_index("op", "_", -1))
     passes = (F.col("event_type") == "click") & ((F.col("op") == "Expr_Assign") | name.isin(list(X.SYMBOLS)))
     shaped = linked.select(

@@ -96,7 +96,7 @@ def parse_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     with_ctes(
         "ev",
-        "SELECT doc_id FROM lits WHERE starts_with(value, 'LITERAL(') AND NOT contains(value, chr(10))",
+        r"SELECT doc_id FROM lits WHERE regexp_matches(value, 'LITERAL\([^\n]*\)')",
         {"lits": LITERAL_SQL},
     )
 )

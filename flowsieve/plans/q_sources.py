@@ -323,7 +323,7 @@ def run_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def analyse_batch(batch: DataFrame) -> DataFrame:
     """Findings of one batch of events."""
     spark = batch.sparkSession
-    ops = B.program_ops(B.number_events(B.add_slices(B.decode_events(batch), "ts")))
+    ops = cut(B.program_ops(B.number_events(B.add_slices(B.decode_events(batch), "ts"))))
     return taint.report_flows(
         ops, tainted_arguments(ops, spark), policy.site_policy(spark), policy.category_names(spark)
     )
