@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.operators import classify, graph, links, taint
@@ -37,7 +37,7 @@ def control_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     pe = B.program_events(spark, sf_dir)
     kind, seq = F.col("event_type"), F.col("seq")
 
-    def when(name: str, value: F.Column) -> F.Column:
+    def when(name: str, value: Column) -> Column:
         return F.when(kind == name, value)
 
     cases = F.array(
@@ -594,7 +594,7 @@ def eliminate_trivial_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = B.decode_events(B.table(spark, sf_dir, "events"))
 
-    def case(id_: F.Column, key: F.Column) -> F.Column:
+    def case(id_: Column, key: Column) -> Column:
         return F.struct(id_.cast("string").alias("id"), key.cast("string").alias("key"))
 
     ids = F.transform(F.array_distinct(F.array("k", "rv", "wv")), lambda x: case(x, x))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.functions import expressions as X
@@ -13,16 +13,20 @@ from flowsieve.plans import bindings as B
 from flowsieve.plans.catalog import at, query, sql_list, with_ctes
 from flowsieve.sources import dumps, policy
 
-OPERAND_JSON = F.to_json(
-    F.struct(
-        F.when(F.col("k") % 3 == 0, F.concat(F.lit("LITERAL("), F.col("k"), F.lit(")"))).alias("value"),
-        F.when(F.col("k") % 3 == 1, F.concat(F.lit("v"), F.col("rv"))).alias("var_name"),
-        F.when(F.col("k") % 2 == 0, F.col("k").cast("string")).alias("id"),
-        F.when(F.col("k") % 5 == 0, F.lit("local")).alias("scope"),
-        F.when(F.col("k") % 7 == 0, F.lit(True)).alias("byRef"),
-        F.when(F.col("k") % 4 == 0, F.concat(F.lit("d"), F.col("wv"))).alias("dim"),
+def operand_json() -> Column:
+    """JSON of an operand that leaves out the keys it has no value for."""
+    return F.to_json(
+        F.struct(
+            F.when(F.col("k") % 3 == 0, F.concat(F.lit("LITERAL("), F.col("k"), F.lit(")"))).alias("value"),
+            F.when(F.col("k") % 3 == 1, F.concat(F.lit("v"), F.col("rv"))).alias("var_name"),
+            F.when(F.col("k") % 2 == 0, F.col("k").cast("string")).alias("id"),
+            F.when(F.col("k") % 5 == 0, F.lit("local")).alias("scope"),
+            F.when(F.col("k") % 7 == 0, F.lit(True)).alias("byRef"),
+            F.when(F.col("k") % 4 == 0, F.concat(F.lit("d"), F.col("wv"))).alias("dim"),
+        )
     )
-)
+
+
 OPERAND_SCHEMA = "type STRING, byRef BOOLEAN, value STRING, scope STRING, var_name STRING, dim STRING, id STRING"
 OPERAND_SQL = """SELECT event_id, CAST(NULL AS VARCHAR) AS type, k % 7 = 0 AS by_ref,
     CASE WHEN k % 3 = 0 THEN 'LITERAL(' || k || ')' ELSE '' END AS value,
@@ -35,7 +39,7 @@ OPERAND_SQL = """SELECT event_id, CAST(NULL AS VARCHAR) AS type, k % 7 = 0 AS by
 def event_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One operand per event, read from JSON with some keys left out."""
     events = B.decode_events(B.table(spark, sf_dir, "events"))
-    parsed = events.select("event_id", F.from_json(OPERAND_JSON, OPERAND_SCHEMA).alias("j"))
+    parsed = events.select("event_id", F.from_json(operand_json(), OPERAND_SCHEMA).alias("j"))
     source = {
         field: F.col(f"j.{dumps.DUMP_KEYS.get(field, field)}") for field in O.OPERAND_FIELDS
     }
@@ -190,7 +194,7 @@ def operation_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assign_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = B.decode_events(B.table(spark, sf_dir, "events"))
 
-    def var(letter: str, column: str) -> F.Column:
+    def var(letter: str, column: str) -> Column:
         return F.struct(F.concat(F.lit(letter), F.col(column)).alias("value"))
 
     kind, r, w, x = F.col("event_type"), var("r", "rv"), var("w", "wv"), var("x", "k")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.functions import text as T
@@ -29,7 +29,7 @@ def event_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = B.decode_events(B.table(spark, sf_dir, "events"))
     kind = F.col("event_type")
 
-    def named(letter: str, column: str) -> F.Column:
+    def named(letter: str, column: str) -> Column:
         return F.struct(F.col(column).cast("string").alias("id"), F.concat(F.lit(letter), F.col(column)).alias("var_name"))
 
     read, write = named("r", "rv"), named("w", "wv")
@@ -40,7 +40,7 @@ def event_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("k").cast("string").alias("endLine"),
     ]
 
-    def op(name: str, *fields: F.Column) -> F.Column:
+    def op(name: str, *fields: Column) -> Column:
         return F.to_json(F.struct(F.lit(name).alias("op"), *fields, *place))
 
     block = (F.floor(F.col("event_id") % 50 / 10) + 1).cast("int")
@@ -230,7 +230,7 @@ def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source text per page: it includes two lower pages, some of them a missing one."""
     pages = B.table(spark, sf_dir, "pages").select("page_id", "url")
 
-    def name(of: F.Column) -> F.Column:
+    def name(of: Column) -> Column:
         return F.concat(F.lit("p"), of.cast("string"), F.lit(".php"))
 
     p = F.col("page_id")
