@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowsieve.session import cut, cut_counted
@@ -88,10 +88,12 @@ def grow_masks(
 
     A row enters the next round when it is new or when it has gained bits.
     """
-    known = delta = cut(seeds.groupBy(*keys).agg(F.bit_or(mask).alias(mask)))
+    merged = F.bit_or(mask).alias(mask)
+    delta = cut(seeds.groupBy(*keys).agg(merged))
+    parts = [delta]
     for _ in range(max_rounds):
         reached = step(delta).groupBy(*keys).agg(F.bit_or(mask).alias("_new"))
-        old = known.select(*keys, F.col(mask).alias("_old"))
+        old = _union(parts).groupBy(*keys).agg(F.bit_or(mask).alias("_old"))
         gained = (
             reached.join(old, keys, "left")
             .where("_old IS NULL OR (_new | _old) <> _old")
@@ -99,8 +101,10 @@ def grow_masks(
         )
         delta, new_rows = cut_counted(gained)
         if new_rows == 0:
-            return known
-        known = cut(known.unionByName(delta).groupBy(*keys).agg(F.bit_or(mask).alias(mask)))
+            return _union(parts).groupBy(*keys).agg(merged)
+        parts.append(delta)
+        if len(parts) > PARTS:
+            parts = [cut(_union(parts).groupBy(*keys).agg(merged))]
     raise Unfinished(f"no fixpoint after {max_rounds} rounds")
 
 
@@ -112,16 +116,18 @@ def follow_pointers(
 ) -> DataFrame:
     """Combine the ``carry`` columns along single parent pointers, in log rounds.
 
-    The last of ``keys`` is what ``pointer`` refers to. ``carry`` maps a column to
-    ``combine(own, target)``, which must be associative. A row whose pointer is null is
-    settled; each round an open row takes over its target's pointer and combines with
-    it, so the distance looked ahead doubles. Rows on a circle end with a pointer left.
+    The last of ``keys`` is what ``pointer`` refers to; every pointer names a row. A row
+    whose pointer is null is settled; each round an open row takes over its target's
+    pointer and combines with it by ``combine(own, target)``, which must be associative,
+    so the distance looked ahead doubles. Rows on a circle end with a pointer left.
+    Once few rows are open they are broadcast, and the settled ones are only read.
     """
     scope, own = keys[:-1], keys[-1]
-    current, rows = cut_counted(nodes.select(*keys, pointer, *carry))
-    settled: list[DataFrame] = []
     is_open = F.col(pointer).isNotNull()
-    for _ in range(rows.bit_length() + 1):
+    current, open_rows = cut_counted(nodes.select(*keys, pointer, *carry), is_open)
+    settled: list[DataFrame] = []
+    reach, last = 1, 2 * open_rows
+    while open_rows and reach <= last:
         settled.append(current.where(~is_open))
         target = _union([*settled, current.where(is_open)]).select(
             *[F.col(k).alias(f"_{k}") for k in scope],
@@ -132,18 +138,22 @@ def follow_pointers(
         cond = F.col(pointer) == F.col("_own")
         for k in scope:
             cond = cond & (F.col(k) == F.col(f"_{k}"))
+        seen = Observation()
         moved = (
             current.where(is_open)
-            .join(target, cond, "left")
+            .join(target, cond)
             .select(
                 *keys,
                 F.col("_pointer").alias(pointer),
                 *[combine(F.col(c), F.col(f"_{c}")).alias(c) for c, combine in carry.items()],
             )
+            .observe(seen, F.count(F.lit(1)).alias("moved"))
         )
-        current, rows = cut_counted(moved)
-        if rows == 0:
-            return _union(settled)
+        expected = open_rows
+        current, open_rows = cut_counted(moved, is_open)
+        if seen.get["moved"] != expected:
+            raise ValueError(f"{expected - seen.get['moved']} pointers name no row, or a key is not unique")
+        reach *= 2
     return _union([*settled, current])
 
 

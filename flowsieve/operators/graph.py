@@ -10,13 +10,10 @@ from pyspark.sql import functions as F
 
 from flowsieve.operators.fixpoint import follow_pointers, grow
 from flowsieve.operators.ordered import row_sequence
+from flowsieve.operators.spread import breadth_first, spread
 from flowsieve.session import cut, cut_counted
 
 
-def _forward(edges: DataFrame) -> DataFrame:
-    return edges.select("unit", F.col("src").alias("block"), F.col("dst").alias("_to"))
-
-
 def _backward(edges: DataFrame) -> DataFrame:
     return edges.select("unit", F.col("dst").alias("block"), F.col("src").alias("_to"))
 
@@ -27,8 +24,7 @@ def _move(delta: DataFrame, links: DataFrame, carried: list[str]) -> DataFrame:
 
 def reachable_blocks(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Blocks reached from the entries, with their breadth-first level."""
-    links = _forward(edges)
-    return grow(entries, lambda delta: _move(delta, links, []), ["unit", "block"], levels=True, within=["unit"])
+    return breadth_first(entries, edges)
 
 
 def covered_edges(edges: DataFrame, reached: DataFrame, feasible: DataFrame) -> DataFrame:
@@ -56,8 +52,7 @@ def reachable_units(calls: DataFrame, roots: DataFrame) -> DataFrame:
 
 def live_variables(mentions: DataFrame, edges: DataFrame) -> DataFrame:
     """live(b) = variables mentioned in b, united with live(successors); nothing is killed."""
-    links = _backward(edges)
-    return grow(mentions, lambda delta: _move(delta, links, ["var"]), ["unit", "block", "var"], within=["unit"])
+    return spread(mentions, edges, ["var"], backward=True)
 
 
 def live_variables_interproc(
@@ -76,8 +71,7 @@ def live_variables_interproc(
 
 def sink_relevance(sink_blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """Blocks that hold a sink or lead to such a block: least fixpoint from the sinks."""
-    links = _backward(edges)
-    return grow(sink_blocks, lambda delta: _move(delta, links, []), ["unit", "block"], within=["unit"])
+    return spread(sink_blocks, edges, [], backward=True)
 
 
 def prune_dead_blocks(blocks: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:

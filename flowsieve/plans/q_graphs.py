@@ -67,7 +67,7 @@ LEVELS = """SELECT unit, block, 0 AS level FROM b0 UNION SELECT l.unit, e.dst, l
 )
 def reachable_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = B.block_events(spark, sf_dir)
-    found = graph.reachable_blocks(cut(B.block_edges(events)), B.block_entries(events))
+    found = graph.reachable_blocks(B.block_edges(events), B.block_entries(events))
     return big(found, "level")
 
 
@@ -101,7 +101,7 @@ def cut_edges(events: DataFrame) -> DataFrame:
 )
 def prune_dead_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = B.block_events(spark, sf_dir)
-    return graph.prune_dead_blocks(B.block_list(events), cut(cut_edges(events)), B.block_entries(events))
+    return graph.prune_dead_blocks(B.block_list(events), cut_edges(events), B.block_entries(events))
 
 
 @query(
@@ -151,7 +151,7 @@ LIVE = """SELECT unit, block, var FROM bm UNION SELECT l.unit, e.src, l.var
 @query(with_ctes("bm bg", "SELECT unit, block, CAST(var AS BIGINT) AS var FROM live", {"live": LIVE}))
 def live_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = B.block_events(spark, sf_dir)
-    return big(graph.live_variables(B.block_mentions(events), cut(B.block_edges(events))), "var")
+    return big(graph.live_variables(B.block_mentions(events), B.block_edges(events)), "var")
 
 
 WEEK_CALLS = f"""SELECT DISTINCT unit, ((CAST(string_split(unit, '/')[1] AS BIGINT) + k) % {UNITS_SQL}) || '/' || string_split(unit, '/')[2] AS callee
@@ -176,7 +176,7 @@ def live_variables_interproc(spark: SparkSession, sf_dir: str) -> DataFrame:
     callee = F.concat(((user + F.col("k")) % units).cast("string"), F.lit("/"), week)
     calls = cut(events.where("event_type = 'purchase'").select("unit", callee.alias("callee")).distinct())
     roots = events.select("unit").where("unit LIKE '0/%'").distinct()
-    found = graph.live_variables_interproc(B.block_mentions(events), cut(B.block_edges(events)), calls, roots)
+    found = graph.live_variables_interproc(B.block_mentions(events), B.block_edges(events), calls, roots)
     return big(found, "var")
 
 
@@ -193,7 +193,7 @@ def live_variables_interproc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = B.block_events(spark, sf_dir)
     sinks = B.block_list(events).where("block LIKE 'purchase%'")
-    return graph.sink_relevance(sinks, cut(B.block_edges(events)))
+    return graph.sink_relevance(sinks, B.block_edges(events))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,8 +62,9 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``cut`` plus the number of rows, counted while they are written."""
+def cut_counted(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut`` plus the number of rows (that meet the condition), counted while they are written."""
     seen = Observation()
-    table = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    counted = F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    table = cut(df.observe(seen, counted.alias("rows")))
     return table, seen.get["rows"]

@@ -259,3 +259,37 @@ def test_arrivals_take_only_what_is_new(spark, tmp_path):
             spark, source, spark.range(1).schema, lambda df: df.groupBy().count(), out, files_per_batch=1, state=state
         )
     assert sorted(r["count"] for r in spark.read.parquet(out).collect()) == [10, 20]
+
+
+@pytest.mark.parametrize("max_blocks", [1, 6, 62])
+def test_small_and_large_units_agree(spark, max_blocks):
+    """The one-pass closure and the loop give the same, in any mixture."""
+    from flowsieve.operators.spread import breadth_first, spread
+
+    events = bindings.block_events(spark, TINY).where("unit LIKE '1%'")
+    edges = bindings.block_edges(events)
+    data = {}
+    for u, s, d in edges.collect():
+        data.setdefault(u, set()).add((s, d))
+    facts = [(r["unit"], r["block"], r["var"]) for r in bindings.block_mentions(events).collect()]
+    live = set(facts)
+    while True:
+        more = {(u, s, v) for u, b, v in live for s, d in data.get(u, ()) if d == b} - live
+        if not more:
+            break
+        live |= more
+    assert rows(spread(bindings.block_mentions(events), edges, ["var"], backward=True, max_blocks=max_blocks)) == live
+    entries = {(r["unit"], r["block"]) for r in bindings.block_entries(events).collect()}
+    levels, front, level = {e: 0 for e in entries}, entries, 0
+    while front:
+        level += 1
+        front = {(u, d) for u, b in front for s, d in data.get(u, ()) if s == b} - set(levels)
+        levels.update({f: level for f in front})
+    got = breadth_first(bindings.block_entries(events), edges, max_blocks=max_blocks)
+    assert {((r["unit"], r["block"]), r["level"]) for r in got.collect()} == set(levels.items())
+
+
+def test_dangling_pointer_is_an_error(spark):
+    nodes = spark.createDataFrame([("u", 1, 9, None), ("u", 2, None, "x")], "unit string, id int, next int, value string")
+    with pytest.raises(ValueError):
+        fixpoint.follow_pointers(nodes, ["unit", "id"], "next", {"value": lambda a, b: F.coalesce(a, b)})
