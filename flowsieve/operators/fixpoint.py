@@ -32,6 +32,7 @@ def grow(
     *,
     levels: bool = False,
     within: list[str] | None = None,
+    hops: int = HOPS,
     max_rounds: int = 10_000,
 ) -> DataFrame:
     """Least set that holds ``seeds`` and is closed under ``step``.
@@ -42,22 +43,22 @@ def grow(
 
     With ``levels`` a fact has the number of steps after which it first appears as
     ``level``. Facts that are known already never enter the next round, so a round
-    costs what is new in it; rounds with little to do take several steps at once.
+    costs what is new in it; rounds with little to do take ``hops`` steps at once.
     """
     first = seeds.select(*keys).distinct()
     delta, new_rows = cut_counted(first.withColumn("level", F.lit(0)) if levels else first)
     parts = [delta]
     level = 0
     for _ in range(max_rounds):
-        hops = HOPS if new_rows < SMALL_DELTA else 1
+        steps = hops if new_rows < SMALL_DELTA else 1
         front, fronts = delta, []
-        for hop in range(1, hops + 1):
+        for hop in range(1, steps + 1):
             front = step(front).select(*keys).distinct()
             fronts.append(front.withColumn("level", F.lit(level + hop)) if levels else front)
         reached = _union(fronts)
         if levels:
             reached = reached.groupBy(*keys).agg(F.min("level").alias("level"))
-        elif hops > 1:
+        elif steps > 1:
             reached = reached.distinct()
         known = _union(parts).select(*keys)
         if within and new_rows < SMALL_DELTA:
@@ -67,9 +68,9 @@ def grow(
         if new_rows == 0:
             return _union(parts)
         parts.append(delta)
-        level += hops
+        level += steps
         # what lies between has been followed already; only the outermost facts are new ground
-        if levels and hops > 1:
+        if levels and steps > 1:
             delta = delta.where(F.col("level") == level)
         if len(parts) > PARTS:
             parts = [cut(_union(parts))]

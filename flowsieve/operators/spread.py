@@ -73,19 +73,9 @@ def _members(mask: Column) -> Column:
     return F.filter("blocks", lambda _, i: _has(mask, i))
 
 
-def spread(
-    facts: DataFrame, edges: DataFrame, extra: list[str], *, backward: bool = False, max_blocks: int = MAX_BLOCKS
-) -> DataFrame:
-    """``facts(unit, block, *extra)`` plus the same facts at every block they reach.
-
-    Forward a fact goes from ``src`` to ``dst``, backward the other way.
-    """
+def carry(facts: DataFrame, reach: DataFrame, extra: list[str]) -> DataFrame:
+    """Facts of packed units at every block that reaches theirs; ``reach`` has the closure."""
     keys = ["unit", "block", *extra]
-    # a block takes the facts of the blocks it points at, so the edges point against the flow
-    links = edges if backward else edges.select("unit", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    links, facts = cut(links.select("unit", "src", "dst").distinct()), cut(facts.select(*keys).distinct())
-    packs = pack_units(links, facts, max_blocks)
-    reach = packs.withColumn("reach", closure(F.col("masks"))).drop("masks")
     place = F.array_position("blocks", F.col("block"))
     held = (
         facts.join(reach, "unit")
@@ -103,9 +93,28 @@ def spread(
         lambda _, i: F.get("reach", i).bitwiseOR(_bit(i)).bitwiseAND(F.col("_mask")) != 0,
     )
     # a block without edges keeps what it has
-    done = held.select(
+    return held.select(
         "unit", *extra, F.explode(F.when(F.col("_lone").isNull(), taking).otherwise(F.array("_lone"))).alias("block")
     ).select(*keys)
+
+
+def against_flow(edges: DataFrame, backward: bool = False) -> DataFrame:
+    """A block takes the facts of the blocks it points at, so edges point against the flow."""
+    links = edges if backward else edges.select("unit", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return cut(links.select("unit", "src", "dst").distinct())
+
+
+def spread(
+    facts: DataFrame, edges: DataFrame, extra: list[str], *, backward: bool = False, max_blocks: int = MAX_BLOCKS
+) -> DataFrame:
+    """``facts(unit, block, *extra)`` plus the same facts at every block they reach.
+
+    Forward a fact goes from ``src`` to ``dst``, backward the other way.
+    """
+    keys = ["unit", "block", *extra]
+    links, facts = against_flow(edges, backward), cut(facts.select(*keys).distinct())
+    packs = pack_units(links, facts, max_blocks)
+    done = carry(facts, packs.withColumn("reach", closure(F.col("masks"))).drop("masks"), extra)
     others = facts.join(packs.select("unit"), "unit", "left_anti")
     large = links.join(packs.select("unit"), "unit", "left_anti")
     if large.isEmpty():

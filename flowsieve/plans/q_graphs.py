@@ -231,7 +231,7 @@ COPIES = "SELECT DISTINCT unit, block, rv, wv FROM be WHERE event_type NOT IN ('
 
 def block_taint(events: DataFrame, edges: DataFrame) -> DataFrame:
     generated = events.where("event_type = 'signup'").select("unit", "block", F.col("wv").alias("var"))
-    copies = cut(
+    copies = (
         events.where("event_type NOT IN ('signup', 'view')")
         .select("unit", "block", F.col("rv").alias("var"), F.col("wv").alias("to_var"))
         .distinct()
@@ -246,7 +246,7 @@ def block_taint(events: DataFrame, edges: DataFrame) -> DataFrame:
 )
 def taint_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = B.block_events(spark, sf_dir)
-    return block_taint(events, cut(B.block_edges(events)))
+    return block_taint(events, B.block_edges(events))
 
 
 def call_flows(spark: SparkSession, sf_dir: str, *, binary_results: bool = True, includes: bool = False):

@@ -262,7 +262,7 @@ def feasible_blocks(events: DataFrame) -> DataFrame:
 def prune_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Taint of the block graph along feasible blocks only."""
     events = B.block_events(spark, sf_dir)
-    return block_taint(events, cut(paths.prune_unreachable(B.block_edges(events), feasible_blocks(events))))
+    return block_taint(events, paths.prune_unreachable(B.block_edges(events), feasible_blocks(events)))
 
 
 # ---- type guards ----

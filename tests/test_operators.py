@@ -293,3 +293,21 @@ def test_dangling_pointer_is_an_error(spark):
     nodes = spark.createDataFrame([("u", 1, 9, None), ("u", 2, None, "x")], "unit string, id int, next int, value string")
     with pytest.raises(ValueError):
         fixpoint.follow_pointers(nodes, ["unit", "id"], "next", {"value": lambda a, b: F.coalesce(a, b)})
+
+
+@pytest.mark.parametrize("max_blocks", [6, 62])
+def test_block_taint_small_and_large(spark, max_blocks):
+    events = bindings.block_events(spark, TINY).where("unit LIKE '1%'")
+    edges = bindings.block_edges(events)
+    made = [(r["unit"], r["block"], r["event_type"], r["rv"], r["wv"]) for r in events.collect()]
+    tainted = {(u, b, w) for u, b, kind, _, w in made if kind == "signup"}
+    steps = [tuple(r) for r in edges.collect()]
+    while True:
+        more = {(u, d, v) for u, s, d in steps for u2, b, v in tainted if u2 == u and b == s}
+        more |= {(u, b, w) for u, b, kind, r, w in made if kind not in ("signup", "view") and (u, b, r) in tainted}
+        if more <= tainted:
+            break
+        tainted |= more
+    generated = events.where("event_type = 'signup'").select("unit", "block", F.col("wv").alias("var"))
+    copies = events.where("event_type NOT IN ('signup', 'view')").select("unit", "block", F.col("rv").alias("var"), F.col("wv").alias("to_var")).distinct()
+    assert rows(taint.taint_blocks(generated, copies, edges, max_blocks=max_blocks)) == tainted
