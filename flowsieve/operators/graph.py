@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.operators.fixpoint import follow_pointers, grow
-from flowsieve.operators.ordered import row_sequence
+from flowsieve.operators.ordered import add_range_slices, row_sequence
 from flowsieve.operators.spread import breadth_first, spread
 from flowsieve.session import cut, cut_counted
 
@@ -81,7 +81,9 @@ def prune_dead_blocks(blocks: DataFrame, edges: DataFrame, entries: DataFrame) -
 
 def order_blocks(levels: DataFrame) -> DataFrame:
     """Breadth-first block numbers from 1, by level and then by name."""
-    return row_sequence(levels, ["unit"], ["level", "block"], "number")
+    order = ["level", "block"]
+    numbered = row_sequence(add_range_slices(levels, order), ["unit"], order, "number")
+    return numbered.select("unit", "block", "level", "number")
 
 
 def state_delta(new: DataFrame, old: DataFrame) -> DataFrame:

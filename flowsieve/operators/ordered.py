@@ -13,6 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowsieve.session import cut, cut_counted
+
 SLICE = "slice"
 SLICE_ROWS = 4_000_000
 
@@ -49,6 +51,18 @@ def add_slices(df: DataFrame, order: str) -> DataFrame:
     )
 
 
+def add_range_slices(df: DataFrame, order: list[str]) -> DataFrame:
+    """As ``add_slices`` for an order of several columns of any type, such as names.
+
+    The range partitions are written, so a row keeps its slice when tasks are repeated.
+    """
+    table, rows = cut_counted(df)
+    wanted = -(-rows // rows_per_slice(df))
+    if wanted <= 1:
+        return table
+    return cut(table.repartitionByRange(wanted, *order).withColumn(SLICE, F.spark_partition_id()))
+
+
 def with_slice(df: DataFrame) -> list[str]:
     return [SLICE] if SLICE in df.columns else []
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.expressions import render_message
@@ -12,7 +12,8 @@ from flowsieve.operators.spread import MAX_BLOCKS, against_flow, carry, closure,
 from flowsieve.operators.states import dedupe_findings
 from flowsieve.session import cut
 
-ALL_OPEN = (1 << 62) - 1
+MASK_BITS = 62
+ALL_OPEN = (1 << MASK_BITS) - 1
 
 
 def straight_line_taint(ops: DataFrame) -> DataFrame:
@@ -146,17 +147,26 @@ def _moved(delta: DataFrame, moves: DataFrame) -> DataFrame:
     )
 
 
-def sanitizer_bits(policy: DataFrame) -> DataFrame:
-    """Bit of each conditional sanitizer; at most 62 names fit."""
-    names = policy.where("kind = 'conditional_sanitizer'").select("name").distinct()
-    # a policy-sized list, ordered once
-    listed = names.agg(F.array_sort(F.collect_set("name")).alias("_all"))
-    spread = listed.select(F.posexplode("_all").alias("bit", "name"))
-    too_many = F.raise_error(F.lit("more than 62 conditional sanitizers"))
-    bit = F.when(F.col("bit") > 61, too_many.cast("long")).otherwise(
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
-    )
-    return spread.select("name", bit.alias("bit"))
+def sanitizer_names(policy: DataFrame) -> list[str]:
+    """Conditional sanitizers of a policy; their places are the bits of a mask."""
+    listed = policy.where("kind = 'conditional_sanitizer'").select("name").distinct().limit(MASK_BITS + 1).collect()
+    if len(listed) > MASK_BITS:
+        raise ValueError(f"a mask holds at most {MASK_BITS} conditional sanitizers")
+    return sorted(row["name"] for row in listed)
+
+
+def sanitizer_bit(names: list[str], name: Column) -> Column:
+    """Bit of a sanitizer name, 0 for any other text or null."""
+    bit = F.lit(0).cast("bigint")
+    for place, known in enumerate(names):
+        bit = F.when(name == known, F.lit(1 << place).cast("bigint")).otherwise(bit)
+    return bit
+
+
+def applied_sanitizers(names: list[str], open_mask: Column) -> Column:
+    """Names whose bit is missing in the mask of what some flow avoids."""
+    listed = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    return F.filter(listed, lambda _, place: F.getbit(open_mask, place) == 0)
 
 
 def find_flows(ops: DataFrame, arguments: DataFrame, policy: DataFrame, categories: DataFrame) -> DataFrame:

@@ -259,13 +259,11 @@ def call_flows(spark: SparkSession, sf_dir: str, *, binary_results: bool = True,
     units = B.unit_count(spark, sf_dir)
     ops = numbered_ops(spark, sf_dir)
     site = policy.site_policy(spark)
-    bits = taint.sanitizer_bits(site).withColumnRenamed("name", "conditional")
+    names = taint.sanitizer_names(site)
     linked = cut(
-        straight_ops(ops, spark)
-        .join(bits, "conditional", "left")
-        .select(
+        straight_ops(ops, spark).select(
             "unit", *with_slice(ops), "seq", "event_type", "k", "rv", "op", "is_source", "is_full", "conditional",
-            F.coalesce("bit", F.lit(0).cast("bigint")).alias("clears"),
+            taint.sanitizer_bit(names, F.col("conditional")).alias("clears"),
             F.coalesce("def_seq", -(F.col("rv") + 1)).cast("bigint").alias("parent"),
             ((F.col("event_type") == "purchase") & (F.col("k") % 9 != 0)).alias("calls_user"),
             B.user_callee(ops, units).alias("callee_unit"),
@@ -398,12 +396,8 @@ def taint_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tainted values with the conditional sanitizers that every flow to them meets."""
     seeds, flows = call_flows(spark, sf_dir)
     state = taint.taint_strict(seeds, cut(flows))
-    bits = taint.sanitizer_bits(policy.site_policy(spark))
-    listed = bits.agg(F.array_sort(F.collect_list(F.struct("name", "bit"))).alias("_bits"))
-    met = F.filter("_bits", lambda b: F.col("open_mask").bitwiseAND(b["bit"]) == 0)
-    return state.crossJoin(F.broadcast(listed)).select(
-        "unit", "var", F.array_join(F.transform(met, lambda b: b["name"]), ",").alias("sanitizers")
-    )
+    met = taint.applied_sanitizers(taint.sanitizer_names(policy.site_policy(spark)), F.col("open_mask"))
+    return state.select("unit", "var", F.array_join(met, ",").alias("sanitizers"))
 
 
 @query(
@@ -427,22 +421,18 @@ def report_flows_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings when a conditional sanitizer keeps the taint and only its own sinks accept it."""
     ops = numbered_ops(spark, sf_dir)
     site = policy.site_policy(spark)
-    bits = taint.sanitizer_bits(site)
+    names = taint.sanitizer_names(site)
     flagged = (
         straight_ops(ops, spark)
-        .join(bits.withColumnRenamed("name", "conditional"), "conditional", "left")
-        .withColumn("clears", F.coalesce("bit", F.lit(0).cast("bigint")))
+        .withColumn("clears", taint.sanitizer_bit(names, F.col("conditional")))
         .withColumn("is_clean", F.col("is_full"))
     )
-    listed = bits.agg(F.array_sort(F.collect_list(F.struct("name", "bit"))).alias("_bits"))
-    met = F.filter("_bits", lambda b: F.col("open_mask").bitwiseAND(b["bit"]) == 0)
-    state = taint.straight_line_sanitizers(flagged).crossJoin(F.broadcast(listed))
     arguments = (
         B.sink_arguments(ops)
-        .join(state, ["unit", "seq"])
+        .join(taint.straight_line_sanitizers(flagged), ["unit", "seq"])
         .select(
             "unit", "seq", "pos", (F.col("tainted") & F.col("var").isNotNull()).alias("tainted"),
-            F.transform(met, lambda b: b["name"]).alias("sanitizers"),
+            taint.applied_sanitizers(names, F.col("open_mask")).alias("sanitizers"),
         )
     )
     found = taint.report_flows(ops, arguments, site, policy.category_names(spark))

@@ -15,7 +15,7 @@ QUERIES, ORACLES = load_all()
     "name",
     [
         "reaching_definition", "number_symbols", "mark_imprecise", "predecessors", "export_graph", "report_flows",
-        "truncate_at_exit", "taint_interprocedural", "taint_whole_state",
+        "truncate_at_exit", "taint_whole_state", "order_blocks",
     ],
 )
 def test_query_in_slices(sliced, name):
