@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.operators.fixpoint import follow_pointers, grow
 from flowsieve.operators.ordered import add_range_slices, row_sequence
-from flowsieve.operators.spread import breadth_first, spread
+from flowsieve.operators.spread import MAX_BLOCKS, breadth_first, flood, spread
 from flowsieve.session import cut, cut_counted
 
 
@@ -18,10 +18,6 @@ def _backward(edges: DataFrame) -> DataFrame:
     return edges.select("unit", F.col("dst").alias("block"), F.col("src").alias("_to"))
 
 
-def _move(delta: DataFrame, links: DataFrame, carried: list[str]) -> DataFrame:
-    return delta.join(links, ["unit", "block"]).select("unit", F.col("_to").alias("block"), *carried)
-
-
 def reachable_blocks(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Blocks reached from the entries, with their breadth-first level."""
     return breadth_first(entries, edges)
@@ -185,7 +181,9 @@ def _renamed(table: DataFrame, renames: DataFrame, column: str) -> DataFrame:
     return joined.withColumnRenamed("_new", column).select(*table.columns)
 
 
-def place_merges(reads: DataFrame, defs: DataFrame, edges: DataFrame) -> DataFrame:
+def place_merges(
+    reads: DataFrame, defs: DataFrame, edges: DataFrame, max_blocks: int = MAX_BLOCKS
+) -> DataFrame:
     """Merge operands ``(unit, block, var, operand)`` that the reads ask for.
 
     ``reads`` are reads that no write of their own block precedes; ``defs`` the blocks
@@ -197,12 +195,8 @@ def place_merges(reads: DataFrame, defs: DataFrame, edges: DataFrame) -> DataFra
     keys = ["unit", "block", "var"]
     back = cut(_backward(edges).distinct())
     written = cut(defs.select(*keys).distinct())
-    asked = grow(
-        reads,
-        lambda delta: _move(delta, back, ["var"]).join(written, keys, "left_anti"),
-        keys,
-        within=["unit", "var"],
-    )
+    asking = back.select("unit", F.col("block").alias("src"), F.col("_to").alias("dst"))
+    asked = cut(flood(reads, asking, written, ["var"], max_blocks))
     parents = back.groupBy("unit", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("_to").alias("_one"))
     asked = cut(asked.join(parents, ["unit", "block"], "left").withColumn("_n", F.coalesce("_n", F.lit(0))))
     # what reaches the end of a predecessor: its own write, else what enters it

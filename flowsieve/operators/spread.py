@@ -129,6 +129,66 @@ def spread(
     return done.unionByName(grown)
 
 
+def flood(
+    facts: DataFrame, edges: DataFrame, stops: DataFrame, extra: list[str], max_blocks: int = MAX_BLOCKS
+) -> DataFrame:
+    """``facts(unit, block, *extra)`` carried along edges, but never into a block of ``stops``.
+
+    ``stops`` has the same columns: what holds a fact back differs by ``extra``. A fact
+    that starts at a stop is still carried on from there.
+    """
+    keys = ["unit", "block", *extra]
+    links, facts = cut(edges.select("unit", "src", "dst").distinct()), cut(facts.select(*keys).distinct())
+    stops = cut(stops.select(*keys).distinct())
+    packs = pack_units(links, facts.unionByName(stops), max_blocks)
+    zero = F.lit(0).cast("bigint")
+    place = F.array_position("blocks", F.col("block"))
+    bit = F.when(place > 0, _bit(place - 1)).otherwise(zero)
+    marked = facts.withColumn("_stop", F.lit(False)).unionByName(stops.withColumn("_stop", F.lit(True)))
+    held = (
+        marked.join(packs, "unit")
+        .withColumn("_lone", F.when((place == 0) & ~F.col("_stop"), F.col("block")))
+        .groupBy("unit", *extra, "_lone")
+        .agg(
+            F.bit_or(F.when(F.col("_stop"), zero).otherwise(bit)).alias("_start"),
+            F.bit_or(F.when(F.col("_stop"), bit).otherwise(zero)).alias("_stops"),
+            F.first("blocks").alias("blocks"),
+            F.first("masks").alias("masks"),
+        )
+    )
+
+    def onward(acc: Column, _: Column) -> Column:
+        barred = acc["seen"].bitwiseOR(F.col("_stops"))
+        front = _successors(acc["front"]).bitwiseAND(F.bitwise_not(barred))
+        return F.struct(acc["seen"].bitwiseOR(front).alias("seen"), front.alias("front"))
+
+    start = F.struct(F.col("_start").alias("seen"), F.col("_start").alias("front"))
+    seen = F.aggregate(F.sequence(F.lit(1), F.size("blocks")), start, onward)["seen"]
+    reached = held.withColumn("_seen", seen)
+    found = F.when(F.col("_lone").isNull(), _members(F.col("_seen"))).otherwise(F.array("_lone"))
+    done = reached.select("unit", *extra, F.explode(found).alias("block")).select(*keys)
+    others = facts.join(packs.select("unit"), "unit", "left_anti")
+    large = links.join(packs.select("unit"), "unit", "left_anti")
+    if large.isEmpty():
+        return done.unionByName(others)
+    flow = cut(large).select("unit", F.col("src").alias("block"), F.col("dst").alias("_to"))
+
+    def step(delta: DataFrame) -> DataFrame:
+        moved = delta.join(flow, ["unit", "block"]).select("unit", F.col("_to").alias("block"), *extra)
+        return moved.join(stops, keys, "left_anti")
+
+    return done.unionByName(grow(others, step, keys, within=["unit"]))
+
+
+def _successors(front: Column) -> Column:
+    """Mask of the successors of all blocks of a mask."""
+    return F.aggregate(
+        F.sequence(F.lit(0), F.size("masks") - 1),
+        F.lit(0).cast("bigint"),
+        lambda m, i: F.when(_has(front, i), m.bitwiseOR(F.get("masks", i))).otherwise(m),
+    )
+
+
 def breadth_first(entries: DataFrame, edges: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """Blocks reached from ``entries(unit, block)`` with the number of steps as ``level``."""
     links, entries = cut(edges.select("unit", "src", "dst").distinct()), cut(entries.select("unit", "block").distinct())
@@ -147,11 +207,7 @@ def breadth_first(entries: DataFrame, edges: DataFrame, max_blocks: int = MAX_BL
     )
 
     def onward(acc: Column, _: Column) -> Column:
-        front = F.aggregate(
-            F.sequence(F.lit(0), F.size("masks") - 1),
-            zero,
-            lambda m, i: F.when(_has(acc["front"], i), m.bitwiseOR(F.get("masks", i))).otherwise(m),
-        ).bitwiseAND(F.bitwise_not(acc["seen"]))
+        front = _successors(acc["front"]).bitwiseAND(F.bitwise_not(acc["seen"]))
         return F.struct(
             acc["seen"].bitwiseOR(front).alias("seen"), front.alias("front"),
             F.when(front == 0, acc["steps"]).otherwise(F.array_append(acc["steps"], front)).alias("steps"),

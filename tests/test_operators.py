@@ -311,3 +311,13 @@ def test_block_taint_small_and_large(spark, max_blocks):
     generated = events.where("event_type = 'signup'").select("unit", "block", F.col("wv").alias("var"))
     copies = events.where("event_type NOT IN ('signup', 'view')").select("unit", "block", F.col("rv").alias("var"), F.col("wv").alias("to_var")).distinct()
     assert rows(taint.taint_blocks(generated, copies, edges, max_blocks=max_blocks)) == tainted
+
+
+def test_merges_in_small_and_large_units_agree(spark):
+    events = bindings.block_events(spark, TINY).where("unit LIKE '1%'")
+    defs = events.where("event_type <> 'error'").select("unit", "block", F.col("wv").alias("var")).distinct()
+    reads = events.select("unit", "block", F.col("rv").alias("var")).distinct().join(defs, ["unit", "block", "var"], "left_anti")
+    edges = bindings.block_edges(events)
+    packed, mixed = (rows(graph.place_merges(reads, defs, edges, max_blocks=n)) for n in (62, 6))
+    assert packed == mixed
+    assert packed
