@@ -127,8 +127,7 @@ def follow_pointers(
     is_open = F.col(pointer).isNotNull()
     current, open_rows = cut_counted(nodes.select(*keys, pointer, *carry), is_open)
     settled: list[DataFrame] = []
-    reach, last = 1, 2 * open_rows
-    while open_rows and reach <= last:
+    while open_rows:
         settled.append(current.where(~is_open))
         target = _union([*settled, current.where(is_open)]).select(
             *[F.col(k).alias(f"_{k}") for k in scope],
@@ -154,7 +153,9 @@ def follow_pointers(
         current, open_rows = cut_counted(moved, is_open)
         if seen.get["moved"] != expected:
             raise ValueError(f"{expected - seen.get['moved']} pointers name no row, or a key is not unique")
-        reach *= 2
+        # a chain of any length has rows that settle in every round, so only circles are left
+        if open_rows == expected:
+            break
     return _union([*settled, current])
 
 
