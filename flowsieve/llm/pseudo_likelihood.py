@@ -261,7 +261,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray
     vector = start(counts, total).vector().astype(np.float64)
     for number in range(PASSES):
         model = spark.sparkContext.broadcast((keys, numbers, vector.astype(np.float32)))
-        changes = texts.mapInArrow(_train(model, number), "place int, value long").groupBy("place").agg(F.sum("value").alias("value"))
+        changes = texts.mapInArrow(_train(model, number), "place long, value long").groupBy("place").agg(F.sum("value").alias("value"))
         found = changes.toArrow()
         place, value = found["place"].to_numpy(), found["value"].to_numpy()
         if not len(place):
