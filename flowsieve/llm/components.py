@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowsieve.session import cut, cut_counted
@@ -25,8 +25,10 @@ def _stars(edges: DataFrame, large: bool) -> tuple[DataFrame, int, int]:
     new = linked.where("u <> v").groupBy("u", "v").agg(F.lit(0).alias("new"))
     old = edges.select("u", "v").withColumn("old", F.lit(0))
     both = new.join(old, ["u", "v"], "left")
-    table, fresh = cut_counted(both.select("u", "v", "old"), F.col("old").isNull())
-    return table, fresh, table.count()
+    seen = Observation()
+    fresh = F.count_if(F.col("old").isNull()).alias("fresh")
+    table = cut(both.select("u", "v", "old").observe(seen, F.count(F.lit(1)).alias("rows"), fresh))
+    return table, seen.get["fresh"], seen.get["rows"]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,13 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
     execution can split; nothing comes to the driver but the number of new edges. Self-links and
     links with null are ignored, so a node that has no other link is not in the result.
     """
-    now = cut(
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    rows = now.count()
-    while True:
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    now, rows = cut_counted(pairs.distinct())
+    while rows:
         now, grown, _ = _stars(now, large=True)
         now, more, left = _stars(now, large=False)
         if grown == 0 and more == 0 and left == rows:

@@ -6,22 +6,27 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.llm.components import components
 from flowsieve.llm.hashing import ODD, U, mix, shingles, slices, words
 from flowsieve.llm.shipping import ready
-from flowsieve.session import cut
+from flowsieve.session import cut, cut_counted
 
 #: Slots of a signature: a prime, so that (a * step + b) mod SLOTS runs through every slot once.
 SLOTS = 131
 #: Slots that bands use: 32 bands of 4. A pair of similarity 0.75 shares no band with probability 6e-6.
 BANDS, ROWS = 32, 4
-#: Bits in which the sketches (one bit of each of 128 slots) of a linked pair may differ. At
-#: similarity 0.75 the mean is 16 and the deviation 3.7, so a linked pair is above with probability 1e-8.
-SKETCH_BITS = 38
+USED = BANDS * ROWS
+#: Equal slots of USED that a pair must have to be compared in full. At similarity 0.75 the mean is 96 and the
+#: deviation at most 4.9, so a linked pair is below with probability under 1e-6.
+EQUAL = 72
+#: Bytes of sets that a block of a bucket, and a task, hold at about most.
+BLOCK_BYTES, TASK_BYTES = 4 << 20, 16 << 20
 
 
 def signatures(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -56,38 +61,44 @@ def signatures(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def band_hashes(signature: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        parts = signature[:, : BANDS * ROWS].reshape(len(signature), BANDS, ROWS)
+        parts = signature[:, :USED].reshape(len(signature), BANDS, ROWS)
         total = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2]).copy()
         for k in range(ROWS):
             total = mix(total * U(0xD1342543DE82EF95) + parts[:, :, k])
     return total.view(np.int64)
 
 
+def _mark(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row_number = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for row, end, data, offsets in slices(texts):
                 runs, at = shingles(*words(data, offsets), size)
                 sets = [np.unique(runs[a:b]) for a, b in zip(at[:-1], at[1:])]
                 counts = np.array([len(s) for s in sets], dtype=np.int64)
-                marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                marks = [_mark(s) for s in sets]
                 signature = signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum(counts)]))
                 bands = band_hashes(signature)
                 with np.errstate(over="ignore"):
-                    bits = (mix(signature[:, : BANDS * ROWS]) >> U(17)) & U(1)
-                sketch = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+                    short = (mix(signature[:, :USED]) >> U(17)).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(row, end - row).cast(pa.int64()),
+                        pa.array(row_number + np.arange(end - row)),
                         pa.array(counts),
                         pa.array(marks, pa.binary()),
+                        pa.array(np.frombuffer(b"".join(marks), "<i8")[::2]),
+                        pa.array([x.tobytes() for x in short], pa.binary()),
                         pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), BANDS).cast(pa.list_(pa.int64())),
-                        pa.array(sketch[:, 0].copy()),
-                        pa.array(sketch[:, 1].copy()),
                     ],
-                    ["id", "n", "mark", "bands", "s0", "s1"],
+                    ["id", "row", "n", "mark", "c", "slots", "bands"],
                 )
+                row_number += end - row
 
     return run
 
@@ -104,40 +115,76 @@ def _sets(size: int):
     return run
 
 
+def _alike(one: np.ndarray, two: np.ndarray, n_one, n_two, percent: int) -> np.ndarray:
+    """Sizes and the number of equal slots allow the similarity."""
+    sizes = 100 * np.minimum(n_one, n_two) >= percent * np.maximum(n_one, n_two)
+    return sizes & ((one == two).sum(axis=-1) >= EQUAL)
+
+
+def _promising(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, USED) for k in ("slots", "other_slots"))
+            keep = _alike(one, two, batch.column("n").to_numpy(), batch.column("other_n").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def _linked(both: int, n_one: int, n_two: int, percent: int) -> bool:
+    return 100 * both >= percent * (n_one + n_two - both)
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for left, right in zip(batch.column("left"), batch.column("right")):
-                one = np.frombuffer(left.as_py(), dtype=np.uint64)
-                two = np.frombuffer(right.as_py(), dtype=np.uint64)
-                both = len(one) + len(two) - len(np.union1d(one, two))
-                good.append(100 * both >= percent * (len(one) + len(two) - both))
+                one, two = (np.frombuffer(x.as_py(), dtype=np.uint64) for x in (left, right))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(_linked(both, len(one), len(two), percent))
             keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) of the pairs whose whole sets are similar enough; only texts of some pair are read again."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    items = texts.join(wanted, "id", "left_semi").select("text").mapInArrow(_sets(size), "mark binary, items binary")
-    items = cut(items)
-    right = items.dropDuplicates(["mark"]).select(F.col("mark").alias("mb"), F.col("items").alias("right"))
-    left = items.dropDuplicates(["mark"]).select(F.col("mark").alias("ma"), F.col("items").alias("left"))
-    joined = pairs.join(cut(right), "mb").join(cut(left), "ma")
-    return joined.select("a", "b", "left", "right").mapInArrow(_confirm(percent), "a long, b long")
+def _compare_unit(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components of one unit (a block, or two blocks, of a bucket)."""
+    c, n, part = (rows[k].to_numpy() for k in ("c", "n", "component"))
+    side, band = rows["side"].to_numpy(), int(rows["band"].iloc[0])
+    slots = np.frombuffer(b"".join(rows["slots"]), "<u2").reshape(-1, USED)
+    items = [np.frombuffer(x, dtype=np.uint64) for x in rows["items"]]
+    middle = int(np.searchsorted(side, 2))
+    vocabulary, codes = np.unique(np.concatenate(items), return_inverse=True)
+    codes = np.split(codes, np.cumsum([len(x) for x in items])[:-1])
+    here = np.zeros(len(vocabulary), dtype=bool)
+    found = []
+    for i in range(len(rows) if side[0] == 0 else middle):
+        others = np.arange(i + 1, len(rows)) if side[0] == 0 else np.arange(middle, len(rows))
+        others = others[part[others] != part[i]]
+        equal = slots[others] == slots[i]
+        # a pair is compared in the first band that it shares
+        shared = np.argmax(equal.reshape(-1, BANDS, ROWS).all(axis=2), axis=1) == band
+        others = others[shared & _alike(slots[others], slots[i], n[others], n[i], percent)]
+        if len(others):
+            here[codes[i]] = True
+            for j in others:
+                if _linked(int(here[codes[j]].sum()), n[i], n[j], percent):
+                    found.append((int(c[i]), int(c[j])))
+            here[codes[i]] = False
+    return found
+
+
+def _compare(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["unit", "side"], kind="stable")
+        links = [link for _, unit in rows.groupby("unit", sort=False) if len(unit) > 1 for link in _compare_unit(unit, percent)]
+        return pd.DataFrame(links or None, columns=["a", "b"], dtype="int64")
 
-
-def _close(a: str, b: str, percent: int) -> Column:
-    """Sizes and sketches allow the similarity."""
-    sizes = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
-    bits = sum(F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in ("s0", "s1"))
-    return sizes & (bits <= SKETCH_BITS)
+    return run
 
 
 def near_duplicates(
@@ -148,13 +195,15 @@ def near_duplicates(
     Sets of distinct ``size``-word shingles are compared by Jaccard similarity; documents with at
     least ``percent`` / 100 are linked, and a component is named by its smallest id.
 
-    1. Every text gets its set's fingerprint, SuperMinHash bands and a bit sketch, once, in one scan.
-       Documents with equal sets are one class; only the smallest id of a class goes on.
-    2. Every member of a band's bucket is compared with the bucket's smallest id: one pair per
-       member, however large the bucket. Confirmed pairs give first components.
-    3. Buckets whose members are still in several components: members of different components
-       whose sizes and sketches allow the similarity are compared as well. Pairs inside a
-       component need no comparison, so nothing is lost and a group of copies makes no pairs.
+    1. Every text gets its set's fingerprint and SuperMinHash signature, once, in one scan. Documents
+       with equal sets are one class; one row of a class goes on, so copies cost nothing further.
+    2. Every member of a band's bucket is compared with the bucket's first: one pair per member,
+       however large the bucket. Pairs whose signatures allow the similarity are confirmed on the whole
+       sets; the confirmed ones give first components.
+    3. Buckets whose members are still in several components are compared inside tasks, with the sets
+       at hand: all members of different components, each pair in the first band it shares. A large
+       bucket is dealt into blocks, and each pair of blocks is work of its own. Only links leave a
+       task, and they are few, since what hangs together was found before.
 
     Links are confirmed on the whole sets (as sets of 64-bit hashes). Null or blank texts have size 0
     and are linked with nothing. Rows with one id and several texts are one node that has the links of
@@ -163,55 +212,75 @@ def near_duplicates(
     """
     ready(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n long, mark binary, bands array<long>, s0 long, s1 long"
+    schema = "id long, row long, n long, mark binary, c long, slots binary, bands array<long>"
     described = cut(texts.mapInArrow(_describe(size), schema))
     full = described.where("n > 0 AND id IS NOT NULL")
-    classes = cut(full.groupBy("mark").agg(F.min("id").alias("rep")))
-
-    heads = full.join(classes, "mark").where("id = rep").dropDuplicates(["mark"])
-    members = cut(heads.select("rep", "mark", "n", "s0", "s1", F.posexplode("bands").alias("band", "key")))
-    buckets = members.groupBy("band", "key").agg(
-        F.min(F.struct("rep", "mark", "n", "s0", "s1")).alias("p"), F.count(F.lit(1)).alias("many")
+    classes = cut(full.groupBy("mark").agg(F.min("id").alias("rep"), F.min("row").alias("row")))
+    heads = cut(full.drop("id").join(classes, ["mark", "row"]))
+
+    members = heads.select("c", F.posexplode("bands").alias("band", "key"))
+    buckets = members.groupBy("key").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first < last")
+    members = cut(members.join(buckets.select("key", "first"), "key"))
+    star = members.where("first < c").select(F.col("first").alias("a"), F.col("c").alias("b")).distinct()
+    detail = heads.select("c", "n", "slots")
+    star = star.join(detail.withColumnRenamed("c", "b"), "b").join(
+        detail.select(F.col("c").alias("a"), F.col("n").alias("other_n"), F.col("slots").alias("other_slots")), "a"
     )
-    buckets = cut(buckets.where("many > 1").drop("many"))
-    ends = ["a", "ma", "b", "mb"]
-    star = members.join(buckets, ["band", "key"]).withColumn("q", F.struct("rep", "mark", "n", "s0", "s1"))
-    star = cut(_pairs(star.where((F.col("p.rep") < F.col("q.rep")) & _close("p", "q", percent)), "p", "q").distinct())
-    first = cut(_verified(star, texts, size, percent).unionByName(_same_id(full, classes)))
-
-    placed = members.join(buckets.select("band", "key"), ["band", "key"], "left_semi")
-    placed = placed.join(cut(components(first)).withColumnRenamed("node", "rep"), "rep", "left")
-    placed = cut(placed.withColumn("component", F.coalesce("component", "rep")))
-    split = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    rest = cut(placed.join(cut(split.where("lo < hi")), ["band", "key"], "left_semi"))
-    x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(
-        y,
-        (F.col("x.band") == F.col("y.band"))
-        & (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.rep") < F.col("y.rep"))
-        & (F.col("x.component") != F.col("y.component"))
-        & _close("x", "y", percent),
+    star = cut(star.mapInArrow(_promising(percent), "a long, b long"))
+
+    # the sets of whatever shares a bucket, from the texts of those documents only
+    sharing = members.select("c").distinct().join(heads.select("c", "mark", F.col("rep").alias("id")), "c")
+    sharing = cut(sharing)
+    items = texts.join(sharing.select("id").distinct(), "id", "left_semi").select("text")
+    items = items.mapInArrow(_sets(size), "mark binary, items binary").groupBy("mark").agg(F.max("items").alias("items"))
+    items = cut(items.join(sharing.select("c", "mark"), "mark").select("c", "items"))
+    pairs = star.join(items.select(F.col("c").alias("b"), F.col("items").alias("right")), "b")
+    pairs = pairs.join(items.select(F.col("c").alias("a"), F.col("items").alias("left")), "a")
+    first = cut(
+        pairs.select("a", "b", "left", "right").mapInArrow(_confirm(percent), "a long, b long").unionByName(_same_id(full))
     )
-    across = _pairs(across, "x", "y").distinct().join(star, ends, "left_anti")
-    second = _verified(across, texts, size, percent)
-    known = components(first.unionByName(second)).withColumnRenamed("node", "rep")
-
-    ids = described.select("id", "mark", F.col("n").alias("n_shingles"))
-    named = ids.join(classes, "mark", "left").join(cut(known), "rep", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
-    out = named.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"))
+    known = cut(components(first)).withColumnRenamed("node", "c")
+
+    second, more = cut_counted(_rest(members, known, heads, items, percent))
+    if more:
+        known = components(known.select(F.col("c").alias("a"), F.col("component").alias("b")).unionByName(second))
+        known = known.withColumnRenamed("node", "c")
+    named = cut(known.join(heads.select("c", "rep"), "c").drop("c"))
+    names = named.groupBy("component").agg(F.min("rep").alias("name"))
+    named = named.join(names, "component").select("rep", "name").distinct()
+    named = named.groupBy("rep").agg(F.min("name").alias("name"))
+
+    rows = described.select("id", "mark", F.col("n").alias("n_shingles")).join(classes.drop("row"), "mark", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("name", "rep", "id"))
+    out = rows.join(cut(named), "rep", "left").select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _pairs(rows: DataFrame, p: str, q: str) -> DataFrame:
-    return rows.select(
-        F.col(f"{p}.rep").alias("a"), F.col(f"{p}.mark").alias("ma"), F.col(f"{q}.rep").alias("b"), F.col(f"{q}.mark").alias("mb")
+def _rest(members: DataFrame, known: DataFrame, heads: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that the first members of buckets didn't show."""
+    spark = members.sparkSession
+    placed = members.where("first < c").join(known, "c", "left")
+    placed = cut(placed.select("key", "band", "c", F.coalesce("component", "c").alias("component")))
+    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    rest = placed.join(several.select("key"), "key", "left_semi").join(heads.select("c", "n", "slots"), "c")
+    rest = cut(rest.select("key", "band", "c", "component", "n"))
+    loads = rest.groupBy("key").agg(F.sum(8 * F.col("n") + 600).alias("bytes"))
+    loads = loads.select("key", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"), "bytes")
+    dealt = rest.join(cut(loads), "key").withColumn("own", F.pmod(F.xxhash64("c", "key"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
+        {
+            "side": F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2),
+            "unit": F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")),
+        }
     )
+    work = dealt.select("unit", "side", "band", "c", "component", "n")
+    total = loads.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0
+    tasks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // TASK_BYTES))
+    work = work.join(heads.select("c", "slots"), "c").join(items, "c")
+    return work.groupBy(F.pmod("unit", F.lit(tasks)).alias("task")).applyInPandas(_compare(percent), "a long, b long")
 
 
-def _same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _same_id(rows: DataFrame) -> DataFrame:
     """Links between the classes of an id that comes with several texts."""
-    several = rows.groupBy("id").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi")
-    reps = rows.join(several.select("id"), "id", "left_semi").join(classes, "mark")
-    return reps.select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    several = rows.groupBy("id").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    return rows.join(several.select("id", "lo"), "id").where("lo < c").select(F.col("lo").alias("a"), F.col("c").alias("b"))
