@@ -13,13 +13,13 @@ from flowsieve.llm.hashing import LOWER, SLICE_BYTES
 from flowsieve.llm.shipping import ready
 
 #: Hash buckets of character n-grams, their lengths in bytes, their embedding, and the words of a window.
-BUCKET_BITS, SIZES, DIMENSIONS, WINDOW = 18, (3, 4, 5, 6), 8, 16
+BUCKET_BITS, SIZES, DIMENSIONS, WINDOW = 18, (3, 4, 5, 6), 4, 16
 #: The model is fitted to at most this many documents of each label, of at most this many characters.
 SAMPLE, SAMPLE_CHARS = 2500, 20_000
 #: Passes over the sample: with windows at random, then with the windows that speak most for the label.
-WARM, EPOCHS = 2, 10
+WARM, EPOCHS = 2, 7
 #: What is left of the embeddings after a pass, so that n-grams of single texts fade.
-DECAY = 0.8
+DECAY = 0.85
 #: Factor between a window's mean embedding and the softmax, so that one word among WINDOW can decide.
 SCALE = 16.0
 
@@ -165,7 +165,7 @@ def fit(texts: list[str], labels: np.ndarray, rate: float = 0.2, batch: int = 12
                 most = np.full(len(places), 6)
             else:
                 rank = -_window_scores(column.slice(first, 256), weight)[0]
-                most = np.where(labels[first + doc] == 1, 2, 4)
+                most = np.where(labels[first + doc] == 1, 2, 3)
             by = np.lexsort((rank, doc))
             place = np.arange(len(by)) - np.searchsorted(doc[by], doc[by])
             keep = by[place < most[by]]
