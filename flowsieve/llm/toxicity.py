@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.llm.hashing import LOWER, SLICE_BYTES
 from flowsieve.llm.shipping import ready
+from flowsieve.session import cut
 
 #: Hash buckets of character n-grams, their lengths in bytes, their embedding, and the words of a window.
 BUCKET_BITS, SIZES, DIMENSIONS, WINDOW = 18, (3, 4, 5, 6), 4, 16
@@ -197,21 +198,20 @@ def _score(model):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of a bounded sample: of each label the documents with the smallest hash of the id."""
+    """Texts and labels of a bounded sample: of each label the documents with the smallest hash of the id.
+
+    The ids are chosen from ids, lengths and labels alone; only their texts are then looked up.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(
         (F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)
     )
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
-    known = known.where(F.col("id").isNotNull() & (F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1))
-    order = F.xxhash64("id", F.lit(3))
-    texts: list[str] = []
-    marks: list[int] = []
-    for value in (0, 1):
-        ids = known.where(F.col("label") == value)
-        found = ids.join(rows, "id").withColumn("order", order).orderBy("order", "text").limit(SAMPLE).toArrow()
-        texts += found["text"].to_pylist()
-        marks += [value] * found.num_rows
-    return texts, np.array(marks, dtype=np.int64)
+    known = known.where(F.col("id").isNotNull() & (F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)).distinct()
+    usable = known.join(rows.select("id"), "id", "left_semi").withColumn("order", F.xxhash64("id", F.lit(3)))
+    picked = [usable.where(F.col("label") == v).orderBy("order", "id").limit(SAMPLE) for v in (0, 1)]
+    picked = cut(picked[0].unionByName(picked[1]))  # at most twice SAMPLE rows, so it may be broadcast
+    found = rows.join(F.broadcast(picked), "id").orderBy("order", "label", "text").limit(2 * SAMPLE).toArrow()
+    return found["text"].to_pylist(), found["label"].to_numpy().astype(np.int64)
 
 
 def toxicity(
