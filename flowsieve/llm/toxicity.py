@@ -123,16 +123,31 @@ class SubwordModel:
         self.embedding[touched] -= rate * slope / np.sqrt(self._squares[0][touched])[:, None]
 
 
-def _chosen(places: np.ndarray, ends: np.ndarray, grams, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets of the chosen windows in a row, their number per window, n-grams of each window)."""
-    parts, kept, sizes = [], [], []
-    for k in keep:
-        a, b = places[k], ends[k]
-        own = [bucket[a:b][counts[a:b]] for bucket, counts, _ in grams]
-        parts += own
-        kept.append(sum(map(len, own)))
-        sizes.append(sum(int(valid[a:b].sum()) for _, _, valid in grams))
-    return np.concatenate(parts).astype(np.int64), np.array(kept), np.array(sizes)
+class _Windows:
+    """The n-gram buckets of the windows of some texts, one window after the other."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        places, grams, self.doc, data = _grams(texts)
+        window = np.cumsum(np.bincount(places, minlength=len(data))[: len(data)]) - 1
+        buckets, owners = [], []
+        self.sizes = np.zeros(len(places), dtype=np.int64)
+        for bucket, counts, valid in grams:
+            own = np.flatnonzero(counts & (window >= 0))
+            buckets.append(bucket[own])
+            owners.append(window[own])
+            self.sizes += np.bincount(window[valid & (window >= 0)], minlength=len(places))
+        owner = np.concatenate(owners)
+        self.buckets = np.concatenate(buckets)[np.argsort(owner, kind="stable")]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(places)))])
+
+    def scores(self, weight: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0.0], np.cumsum(weight[self.buckets])])
+        return (total[self.at[1:]] - total[self.at[:-1]]) / np.maximum(1, self.sizes)
+
+    def chosen(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(buckets of the chosen windows in a row, their number per window, n-grams of each window)."""
+        parts = [self.buckets[self.at[k] : self.at[k + 1]] for k in keep]
+        return np.concatenate(parts).astype(np.int64), self.at[keep + 1] - self.at[keep], self.sizes[keep]
 
 
 def fit(texts: list[str], labels: np.ndarray, rate: float = 0.2, batch: int = 128) -> SubwordModel:
@@ -146,38 +161,36 @@ def fit(texts: list[str], labels: np.ndarray, rate: float = 0.2, batch: int = 12
     clean = max(1, int((np.asarray(labels) == 0).sum()))
     heavier = clean / max(1, len(texts) - clean)
     order = model.make.permutation(len(texts))
-    texts, labels = [texts[k] for k in order], np.asarray(labels)[order].astype(np.int64)
-    column = pa.array(texts, pa.large_string())
+    labels = np.asarray(labels)[order].astype(np.int64)
     blocks = []
     for first in range(0, len(texts), 256):
-        places, grams, doc, data = _grams(column.slice(first, 256))
-        blocks.append((first, places, np.append(places[1:], len(data)), grams, doc))
+        part = order[first : first + 256]
+        blocks.append((first, _Windows(pa.array([texts[k] for k in part], pa.large_string()))))
     for epoch in range(WARM + EPOCHS):
         speed = rate * (1 - epoch / (WARM + EPOCHS)) + 0.01
         if epoch:
             model.embedding *= DECAY
         weight, _ = model.weight()
         for b in model.make.permutation(len(blocks)):
-            first, places, ends, grams, doc = blocks[b]
-            if not len(places):
+            first, windows = blocks[b]
+            doc = windows.doc
+            if not len(doc):
                 continue
             if epoch < WARM:
-                rank = model.make.random(len(places))
-                most = np.full(len(places), 6)
+                rank = model.make.random(len(doc))
+                most = np.full(len(doc), 6)
             else:
-                rank = -_window_scores(column.slice(first, 256), weight)[0]
+                rank = -windows.scores(weight)
                 most = np.where(labels[first + doc] == 1, 2, 3)
             by = np.lexsort((rank, doc))
             place = np.arange(len(by)) - np.searchsorted(doc[by], doc[by])
-            keep = by[place < most[by]]
-            keep = model.make.permutation(keep)
+            keep = model.make.permutation(by[place < most[by]])
             for k in range(0, len(keep), batch):
                 part = keep[k : k + batch]
-                buckets, kept, sizes = _chosen(places, ends, grams, part)
-                label = labels[first + doc[part]]
-                many = most[part]
+                buckets, kept, sizes = windows.chosen(part)
                 if len(buckets):
-                    model.step(buckets, kept, sizes, label, np.where(label == 1, heavier, 1.0) / many, speed)
+                    label = labels[first + doc[part]]
+                    model.step(buckets, kept, sizes, label, np.where(label == 1, heavier, 1.0) / most[part], speed)
     return model
 
 
