@@ -63,8 +63,10 @@ def match_sink_arguments(sinks: DataFrame, arguments: DataFrame, keys: list[str]
 
 
 def sanitizer_mismatch(matched: DataFrame, applied: str = "sanitizers") -> DataFrame:
-    """Tainted arguments that met no sanitizer the sink accepts."""
-    return matched.where(F.col("tainted") & ~F.arrays_overlap(applied, "safe_by"))
+    """Tainted arguments that met no sanitizer the sink accepts; a null set is the empty set, a null flag untainted."""
+    none = F.array().cast("array<string>")
+    met = F.arrays_overlap(F.coalesce(applied, none), F.coalesce("safe_by", none))
+    return matched.where(F.coalesce("tainted", F.lit(False)) & ~F.coalesce(met, F.lit(False)))
 
 
 def guard_types(calls: DataFrame) -> DataFrame:

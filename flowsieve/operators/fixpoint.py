@@ -16,13 +16,25 @@ from flowsieve.session import cut, cut_counted
 
 # parts of the known set are merged into one table when there are this many
 PARTS = 6
-# a round on fewer new facts than this is mostly overhead, so it looks several steps ahead
-SMALL_DELTA = 500_000
+# steps of a round; each costs a join of the new facts, a round costs the writing and comparing as well
 HOPS = 2
 
 
-class Unfinished(RuntimeError):
-    """A loop met its round guard before it came to rest."""
+def _without(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose keys are not in ``known``; null equals null, so a null key comes to rest too."""
+    return rows.join(_named(known, keys), _equal(keys), "left_anti")
+
+
+def _named(known: DataFrame, keys: list[str]) -> DataFrame:
+    return known.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in known.columns if c not in keys])
+
+
+def _equal(keys: list[str]) -> Column:
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    cond = same[0]
+    for other in same[1:]:
+        cond = cond & other
+    return cond
 
 
 def grow(
@@ -33,48 +45,45 @@ def grow(
     levels: bool = False,
     within: list[str] | None = None,
     hops: int = HOPS,
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """Least set that holds ``seeds`` and is closed under ``step``.
 
-    ``within`` names key columns that ``step`` never changes. Once few new facts are
-    left, only the known facts of their groups are compared, so that the rest of the
-    known set is read but not shuffled again.
+    ``within`` names key columns that ``step`` never changes: only the known facts of
+    groups with new facts are compared, so that the rest of the known set is read but
+    not shuffled again. Null keys are keys like any other.
 
     With ``levels`` a fact has the number of steps after which it first appears as
     ``level``. Facts that are known already never enter the next round, so a round
-    costs what is new in it; rounds with little to do take ``hops`` steps at once.
+    costs what is new in it; a round takes ``hops`` steps at once. The loop ends when a
+    round brings nothing new, however many that takes.
     """
     first = seeds.select(*keys).distinct()
-    delta, new_rows = cut_counted(first.withColumn("level", F.lit(0)) if levels else first)
+    delta, _ = cut_counted(first.withColumn("level", F.lit(0)) if levels else first)
     parts = [delta]
     level = 0
-    for _ in range(max_rounds):
-        steps = hops if new_rows < SMALL_DELTA else 1
+    while True:
         front, fronts = delta, []
-        for hop in range(1, steps + 1):
+        for hop in range(1, hops + 1):
             front = step(front).select(*keys).distinct()
             fronts.append(front.withColumn("level", F.lit(level + hop)) if levels else front)
         reached = _union(fronts)
         if levels:
             reached = reached.groupBy(*keys).agg(F.min("level").alias("level"))
-        elif steps > 1:
+        elif hops > 1:
             reached = reached.distinct()
         known = _union(parts).select(*keys)
-        if within and new_rows < SMALL_DELTA:
-            # new_rows bounds the number of groups, so this side is small enough to broadcast
-            known = known.join(F.broadcast(delta.select(*within).distinct()), within, "left_semi")
-        delta, new_rows = cut_counted(reached.join(known, keys, "left_anti"))
+        if within:
+            known = known.join(_named(delta.select(*within).distinct(), within), _equal(within), "left_semi")
+        delta, new_rows = cut_counted(_without(reached, known, keys))
         if new_rows == 0:
             return _union(parts)
         parts.append(delta)
-        level += steps
+        level += hops
         # what lies between has been followed already; only the outermost facts are new ground
-        if levels and steps > 1:
+        if levels and hops > 1:
             delta = delta.where(F.col("level") == level)
         if len(parts) > PARTS:
             parts = [cut(_union(parts))]
-    raise Unfinished(f"no fixpoint after {max_rounds} rounds")
 
 
 def grow_masks(
@@ -82,8 +91,6 @@ def grow_masks(
     step: Callable[[DataFrame], DataFrame],
     keys: list[str],
     mask: str,
-    *,
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """Fixpoint where a fact carries a bit set that only gains bits.
 
@@ -92,11 +99,11 @@ def grow_masks(
     merged = F.bit_or(mask).alias(mask)
     delta = cut(seeds.groupBy(*keys).agg(merged))
     parts = [delta]
-    for _ in range(max_rounds):
+    while True:
         reached = step(delta).groupBy(*keys).agg(F.bit_or(mask).alias("_new"))
         old = _union(parts).groupBy(*keys).agg(F.bit_or(mask).alias("_old"))
         gained = (
-            reached.join(old, keys, "left")
+            reached.join(_named(old, keys), _equal(keys), "left")
             .where("_old IS NULL OR (_new | _old) <> _old")
             .select(*keys, F.expr("_new | coalesce(_old, 0L)").alias(mask))
         )
@@ -106,7 +113,6 @@ def grow_masks(
         parts.append(delta)
         if len(parts) > PARTS:
             parts = [cut(_union(parts).groupBy(*keys).agg(merged))]
-    raise Unfinished(f"no fixpoint after {max_rounds} rounds")
 
 
 def follow_pointers(

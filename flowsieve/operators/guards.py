@@ -21,7 +21,8 @@ def combine_guards(terms: DataFrame, keys: list[str]) -> DataFrame:
 
     ``terms`` has keys, pos, mode (``or`` unites, ``and`` intersects), tested_type and
     negated. Gives the ordered distinct terms (at most two per type, so bounded) and
-    the types a value can have when the condition holds, of the un-negated terms.
+    the types a value can have when the condition holds, of the un-negated terms; null
+    where it can have any: ``or`` with a negated term.
     """
     distinct = terms.groupBy(*keys, "mode", "tested_type", "negated").agg(F.min("pos").alias("pos"))
     merged = distinct.groupBy(*keys, "mode").agg(
@@ -34,7 +35,8 @@ def combine_guards(terms: DataFrame, keys: list[str]) -> DataFrame:
         "mode",
         F.transform("_t", lambda t: F.struct(t["tested_type"], t["negated"])).alias("terms"),
         # a value has one type: an intersection of different types is empty
-        F.when((F.col("mode") == "and") & several, F.array().cast("array<string>"))
+        F.when((F.col("mode") == "or") & F.exists("_t", lambda t: t["negated"]), F.lit(None).cast("array<string>"))
+        .when((F.col("mode") == "and") & several, F.array().cast("array<string>"))
         .otherwise(F.col("_types"))
         .alias("types"),
     )

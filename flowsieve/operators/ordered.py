@@ -76,7 +76,7 @@ def _carry(df: DataFrame, keys: list[str], agg: Column, over: str) -> DataFrame:
 
 def _attach(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    same.append(F.col(f"l.{SLICE}") == F.col(f"r.{SLICE}"))
+    same.append(F.col(f"l.{SLICE}").eqNullSafe(F.col(f"r.{SLICE}")))
     cond = same[0]
     for c in same[1:]:
         cond = cond & c

@@ -71,20 +71,14 @@ def else_conditions(guards: DataFrame) -> DataFrame:
 
 
 def switch_conditions(switches: DataFrame) -> DataFrame:
-    """``cond = case`` per case target; ``default`` adds nothing.
+    """``cond = case`` per case target; ``default`` adds no condition, so it has no row.
 
     ``switches`` has ``cases``, a map of case text -> target block.
     """
     others = [c for c in switches.columns if c not in ("cases", "var")]
-    return (
-        switches.select(*others, "var", F.explode(F.map_entries("cases")).alias("_e"))
-        .select(
-            *others,
-            "var",
-            F.col("_e.value").alias("dst"),
-            F.when(F.col("_e.key") != "default", F.lit("=")).alias("cmp"),
-            F.when(F.col("_e.key") != "default", F.col("_e.key")).alias("const"),
-        )
+    entries = switches.select(*others, "var", F.explode(F.map_entries("cases")).alias("_e")).where("_e.key <> 'default'")
+    return entries.select(
+        *others, "var", F.col("_e.value").alias("dst"), F.lit("=").alias("cmp"), F.col("_e.key").alias("const")
     )
 
 
@@ -93,19 +87,20 @@ def feasible_paths(conditions: DataFrame, path: list[str], integers: bool = Fals
 
     Bounds and excluded constants are reduced per (path, variable); all of it is
     partial aggregation. An unknown comparator or constant leaves the path reachable
-    and marks it imprecise. ``integers`` solves over whole numbers, else over reals.
+    and marks it imprecise; a null comparator is no condition, and ``true`` always holds. ``integers`` solves over whole numbers, else over reals.
     """
     known = F.col("cmp").isin("=", "!=", "<", "<=", ">", ">=") & F.col("const").isNotNull()
     shift = 1 if integers else 0
     lower = F.when(F.col("cmp").isin("=", ">="), F.col("const")).when(F.col("cmp") == ">", F.col("const") + shift)
     upper = F.when(F.col("cmp").isin("=", "<="), F.col("const")).when(F.col("cmp") == "<", F.col("const") - shift)
-    typed = conditions.withColumn("_known", known)
+    asks = F.col("cmp").isNotNull() & (F.col("cmp") != "true")
+    typed = conditions.withColumn("_known", known).withColumn("_open", asks & ~F.coalesce(known, F.lit(False)))
     bounds = typed.groupBy(*path, "var").agg(
         F.max(F.when(F.col("_known"), lower)).alias("lo"),
         F.min(F.when(F.col("_known"), upper)).alias("hi"),
         F.max(F.when(F.col("cmp") == ">", F.col("const"))).alias("above"),
         F.min(F.when(F.col("cmp") == "<", F.col("const"))).alias("below"),
-        F.bool_or(~F.col("_known")).alias("open"),
+        F.bool_or("_open").alias("open"),
         F.max(F.when(F.col("cmp") == "!=", 1).otherwise(0)).alias("_has_ne"),
     )
     excluded = (

@@ -122,7 +122,7 @@ def covered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.covered_edges(edges, reached, B.block_list(events).where("block <> 'purchase_3'"))
 
 
-CALLED = f"SELECT DISTINCT user_id AS unit, (user_id + k) % {UNITS_SQL} AS callee FROM ev WHERE event_type = 'purchase' AND k < 20"
+CALLED = f"SELECT DISTINCT user_id AS unit, (user_id + k) % {UNITS_SQL} AS callee FROM ev WHERE event_type = 'purchase'"
 
 
 @query(
@@ -138,7 +138,7 @@ CALLED = f"SELECT DISTINCT user_id AS unit, (user_id + k) % {UNITS_SQL} AS calle
 )
 def reachable_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = B.unit_count(spark, sf_dir)
-    events = B.decode_events(B.table(spark, sf_dir, "events")).where("event_type = 'purchase' AND k < 20")
+    events = B.decode_events(B.table(spark, sf_dir, "events")).where("event_type = 'purchase'")
     calls = cut(events.select("unit", B.user_callee(events, units).alias("callee")).distinct())
     roots = events.sparkSession.range(1).select(F.col("id").alias("unit"))
     return big(graph.reachable_units(calls, roots), "level")

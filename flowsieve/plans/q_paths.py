@@ -91,8 +91,7 @@ def else_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_ctes(
         "ev",
         """SELECT event_id, 'v' || k % 10 AS var, '=' AS cmp, 'a' || k AS const, CAST(k AS BIGINT) AS dst FROM ev WHERE event_type = 'click'
-           UNION ALL SELECT event_id, 'v' || k % 10, '=', 'b' || k // 10, k + 1 FROM ev WHERE event_type = 'click'
-           UNION ALL SELECT event_id, 'v' || k % 10, NULL, NULL, k + 2 FROM ev WHERE event_type = 'click'""",
+           UNION ALL SELECT event_id, 'v' || k % 10, '=', 'b' || k // 10, k + 1 FROM ev WHERE event_type = 'click'""",
     )
 )
 def switch_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,7 +314,8 @@ def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ev",
         """SELECT guard_id, CAST(var AS BIGINT) AS var, mode,
              array_to_string(list_transform(terms, lambda t: CASE WHEN t.n THEN '!' ELSE '' END || t.t), ',') AS terms,
-             CASE WHEN mode = 'and' AND len(pos_types) > 1 THEN '' ELSE array_to_string(pos_types, ',') END AS types
+             CASE WHEN mode = 'or' AND len(list_filter(terms, lambda t: t.n)) > 0 THEN NULL
+               WHEN mode = 'and' AND len(pos_types) > 1 THEN '' ELSE array_to_string(pos_types, ',') END AS types
            FROM (SELECT *, list_sort(list_distinct(list_transform(list_filter(terms, lambda t: NOT t.n), lambda t: t.t))) AS pos_types FROM c)""",
         {"gc": GUARD_CALLS, "c": COMBINED},
     )

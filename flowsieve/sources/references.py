@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.session import cut, cut_counted
 
 
-def expand_references(refs: DataFrame, files: DataFrame, roots: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def expand_references(refs: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
     """Breadth-first inclusion tree of each root.
 
     ``refs(name, pos, path, once)`` are the references of each file, ``files(name)``
@@ -25,7 +27,7 @@ def expand_references(refs: DataFrame, files: DataFrame, roots: DataFrame, max_r
     )
     included = opened.select("root", "target").where(F.lit(False))
     tree = None
-    for level in range(1, max_rounds + 1):
+    for level in itertools.count(1):
         met = opened.join(links, F.col("target") == F.col("_file")).select(
             "root",
             F.array_append("place", F.col("pos")).alias("place"),

@@ -9,7 +9,8 @@ from flowsieve.functions.operands import render_operand
 from flowsieve.operators import graph, taint
 from flowsieve.operators.classify import flag_ops
 from flowsieve.sources import policy
-from flowsieve.sources.dumps import read_dump_files
+from flowsieve.pipeline import analyse, corpus_keys
+from flowsieve.sources.dumps import read_dump_files, read_graph_corpus
 
 
 def var(id_=None, name=None, value=None):
@@ -146,3 +147,31 @@ def test_three_findings(spark, facts):
     got = sorted((r["start_line"], r["category"], r["message"]) for r in found.collect())
     assert [g[:2] for g in got] == [("6", "XSS"), ("7", "XSS"), ("8", "CODE")]
     assert got[2][2] == "*Dangerous: Tainted Input(s). Possible Code Execution*"
+
+
+def test_analyse_gives_the_three_findings(spark, facts):
+    found = analyse(facts, policy.site_policy(spark), policy.category_names(spark)).collect()
+    assert sorted((r["program"], r["unit"], r["start_line"], r["category"]) for r in found) == [
+        ("flows.json", "main", "6", "XSS"), ("flows.json", "main", "7", "XSS"), ("flows.json", "main", "8", "CODE"),
+    ]
+
+
+def test_programs_do_not_mix(spark):
+    """Both programs have a unit main; one declares a function that the other only names."""
+    tainted = op("Expr_Assign", 2, var=var(1, "a"), expr=var(2, "_GET"), result=var(3))
+    call = op("Expr_FuncCall", 3, name=lit("'show'"), args=[var(1, "a")], result=var(4))
+    show = {"show()": [{"blockId": 1, "parentBlock": [], "blocks": [
+        op("Expr_Param", 8, name=lit("'x'"), result=var(1, "x")), op("Terminal_Echo", 9, expr=var(1, "x"))]}]}
+    block = lambda n, *ops: {"blockId": n, "parentBlock": [], "blocks": list(ops)}
+    jump = lambda to: op("Stmt_Jump", 1, target=to)
+    dumps = [
+        ("p1", json.dumps({"main()": [block(1, tainted, call, jump(2)), block(2)], **show})),
+        ("p2", json.dumps({"main()": [block(2, tainted, call, op("Expr_Exit", 4), op("Terminal_Echo", 5, expr=var(1, "a")), jump(3)), block(3)]})),
+    ]
+    both = read_graph_corpus(spark.createDataFrame(dumps, "program string, text string"))
+    keyed = corpus_keys(both)
+    entry = keyed.units.where("unit_name = 'main'").select("unit", F.lit(1).alias("block"))
+    reached = {tuple(r) for r in graph.reachable_blocks(keyed.edges.select("unit", "src", "dst"), entry).collect()}
+    assert ("p1#main", 2, 1) in reached and not any(b == 3 for _, b, _ in reached)
+    found = analyse(both, policy.site_policy(spark), policy.category_names(spark)).collect()
+    assert [(r["program"], r["unit"], r["start_line"]) for r in found] == [("p1", "show", "9")]
