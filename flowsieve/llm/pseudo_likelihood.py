@@ -23,6 +23,8 @@ PLACES, WIDTH = (-2, -1, 1, 2), 24
 #: Passes over the corpus; each masks a hash-chosen one in MASK_ONE_IN of all words of all documents.
 PASSES, MASK_ONE_IN = 2, 12
 BATCH = 4096
+#: Masked words of a training step.
+STEP = 1024
 #: Weights are summed as integers of this fineness, so that sums don't depend on their order.
 FINE = 1 << 16
 
@@ -189,8 +191,8 @@ def _train(model, pass_number: int):
             if sum(len(t) for _, t in held) < least:
                 return
             around, target = np.concatenate([a for a, _ in held], axis=1), np.concatenate([t for _, t in held])
-            for k in range(0, len(target), BATCH):
-                train_step(net, around[:, k : k + BATCH], target[k : k + BATCH], 0.1)
+            for k in range(0, len(target), STEP):
+                train_step(net, around[:, k : k + STEP], target[k : k + STEP], 0.1)
             seen += len(target)
             held = []
 
@@ -252,10 +254,11 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray
     spark = ready(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     counted = texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(VOCABULARY + 1).toPandas()
-    total = int(top["n"].iloc[0]) if len(top) else 0
-    hashes = top["word"].iloc[1:].to_numpy(dtype=np.int64).view(np.uint64)
-    counts = top["n"].iloc[1:].to_numpy()
+    top = counted.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(VOCABULARY + 1).toArrow()
+    total = top["n"][0].as_py() if top.num_rows else 0
+    # without the row of the total there is no null, and hashes stay whole numbers
+    hashes = top["word"].slice(1).to_numpy().astype(np.int64).view(np.uint64)
+    counts = top["n"].slice(1).to_numpy()
     order = np.argsort(hashes)
     keys, numbers = hashes[order], order.astype(np.int64)
     vector = start(counts, total).vector().astype(np.float64)
