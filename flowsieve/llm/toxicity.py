@@ -19,6 +19,8 @@ BUCKET_BITS, SIZES, DIMENSIONS, WINDOW = 18, (3, 4, 5, 6), 4, 16
 SAMPLE, SAMPLE_CHARS = 2500, 20_000
 #: Passes over the sample: with windows at random, then with the windows that speak most for the label.
 WARM, EPOCHS = 2, 7
+#: Texts whose n-grams are in memory at once during the fit.
+BLOCK = 256
 #: What is left of the embeddings after a pass, so that n-grams of single texts fade.
 DECAY = 0.85
 #: Factor between a window's mean embedding and the softmax, so that one word among WINDOW can decide.
@@ -150,10 +152,11 @@ class _Windows:
         return np.concatenate(parts).astype(np.int64), self.at[keep + 1] - self.at[keep], self.sizes[keep]
 
 
-def fit(texts: list[str], labels: np.ndarray, rate: float = 0.2, batch: int = 128) -> SubwordModel:
+def fit(texts: list[str] | pa.Array, labels: np.ndarray, rate: float = 0.2, batch: int = 128) -> SubwordModel:
     """Train on labelled texts. A toxic text needs to be so in one window only: after the first passes, a
     text is represented by its windows of the highest score, so clean texts show what is not toxic. The
-    two labels weigh the same, whatever their share.
+    two labels weigh the same, whatever their share. Only the texts stay in memory; the n-grams of a
+    block of texts are made again in every pass.
     """
     model = SubwordModel()
     if not len(texts):
@@ -162,17 +165,15 @@ def fit(texts: list[str], labels: np.ndarray, rate: float = 0.2, batch: int = 12
     heavier = clean / max(1, len(texts) - clean)
     order = model.make.permutation(len(texts))
     labels = np.asarray(labels)[order].astype(np.int64)
-    blocks = []
-    for first in range(0, len(texts), 256):
-        part = order[first : first + 256]
-        blocks.append((first, _Windows(pa.array([texts[k] for k in part], pa.large_string()))))
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
     for epoch in range(WARM + EPOCHS):
         speed = rate * (1 - epoch / (WARM + EPOCHS)) + 0.01
         if epoch:
             model.embedding *= DECAY
         weight, _ = model.weight()
-        for b in model.make.permutation(len(blocks)):
-            first, windows = blocks[b]
+        for block in model.make.permutation(-(-len(texts) // BLOCK)):
+            first = int(block) * BLOCK
+            windows = _Windows(texts.take(pa.array(order[first : first + BLOCK])))
             doc = windows.doc
             if not len(doc):
                 continue
@@ -210,7 +211,7 @@ def _score(model):
     return run
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[pa.Array, np.ndarray]:
     """Texts and labels of a bounded sample: of each label the documents with the smallest hash of the id.
 
     The ids are chosen from ids, lengths and labels alone; only their texts are then looked up.
@@ -224,7 +225,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     picked = [usable.where(F.col("label") == v).orderBy("order", "id").limit(SAMPLE) for v in (0, 1)]
     picked = cut(picked[0].unionByName(picked[1]))  # at most twice SAMPLE rows, so it may be broadcast
     found = rows.join(F.broadcast(picked), "id").orderBy("order", "label", "text").limit(2 * SAMPLE).toArrow()
-    return found["text"].to_pylist(), found["label"].to_numpy().astype(np.int64)
+    return found["text"].cast(pa.large_string()).combine_chunks(), found["label"].to_numpy().astype(np.int64)
 
 
 def toxicity(
