@@ -97,7 +97,7 @@ def visit_counts(visits: DataFrame) -> DataFrame:
 def variable_usage(accesses: DataFrame, keys: list[str]) -> DataFrame:
     """Per variable how many ops write and read it, and the first and last of each.
 
-    Counts and bounds aggregate partially; ``variable_accesses`` lists the ops as rows.
+    Counts and bounds aggregate partially; the ops themselves are the rows of ``def_use_edges``.
     """
     return accesses.groupBy(*keys).agg(
         *[

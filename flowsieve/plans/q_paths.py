@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions import expressions as X
@@ -362,22 +362,27 @@ def diff_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.diff_graphs(old, new, ["o_orderkey"], ["o_totalprice", "o_orderstatus"])
 
 
+NUMBERED_LINES = """SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+    ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS ordinal FROM lineitem"""
+
+
 @query(
-    """SELECT l_orderkey, l_linenumber, 'changed' AS status FROM (
-         SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) WHERE n = 1 AND l_orderkey % 5 = 0
-       UNION ALL SELECT l_orderkey, l_linenumber, 'missing' FROM (
-         SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) WHERE n = 1 AND l_orderkey % 5 = 1"""
+    f"""SELECT l_orderkey, l_linenumber, ordinal, CASE l_orderkey % 5 WHEN 0 THEN 'changed' ELSE 'missing' END AS status
+       FROM ({NUMBERED_LINES}) WHERE l_orderkey % 5 IN (0, 1)"""
 )
 def diff_graphs_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-sided comparison of the nodes that are unique by key; extra new rows do not count."""
-    rows = B.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.count(F.lit(1)).alias("n"), F.max("l_quantity").alias("quantity")
-    ).where("n = 1")
+    """One-sided comparison of all lines; rows of one key are told apart by their ordinal, extra new rows do not count."""
+    within = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
+        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"
+    )
+    rows = B.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.row_number().over(within).cast("bigint").alias("ordinal"), F.col("l_quantity").alias("quantity")
+    )
     old = rows.where("l_orderkey % 5 <> 2")
     new = rows.where("l_orderkey % 5 <> 1").withColumn(
         "quantity", F.when(F.col("l_orderkey") % 5 == 0, F.col("quantity") + 1).otherwise(F.col("quantity"))
     )
-    return compare.diff_graphs(old, new, ["l_orderkey", "l_linenumber"], ["quantity"], both_ways=False)
+    return compare.diff_graphs(old, new, ["l_orderkey", "l_linenumber", "ordinal"], ["quantity"], both_ways=False)
 
 
 @query(

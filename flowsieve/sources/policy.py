@@ -1,8 +1,7 @@
 """Policy of sources, sanitizers and sinks as a dimension table.
 
-``load_policy`` reads the built-in rows or a file with the same columns. The three
-largest sink categories (reflection, file disclosure, file manipulation) and any
-site-specific rows come from such a file: ``overlay_policy`` lays it over the base.
+``load_policy`` reads the built-in rows or a file with the same columns. Site-specific
+rows come from such a file: ``overlay_policy`` lays it over the base.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowsieve.sources.sink_rows import SINK_ROWS
+
 POLICY_SCHEMA = (
     "kind STRING, category STRING, rank INT, name STRING, positions ARRAY<INT>, safe_by ARRAY<STRING>"
 )
@@ -85,68 +86,6 @@ CONDITIONAL_SANITIZERS = {
 # Names that only sinks refer to.
 SINK_ONLY_SANITIZERS = {"FILE": ["basename", "dirname", "pathinfo"], "XPATH": ["addslashes"], "LDAP": []}
 
-# Sinks as name:positions per category; position 0 means any argument.
-SINKS = {
-    "XSS": (
-        "XSS",
-        """echo:0 print:1 print_r:1 exit:1 die:1 printf:0 vprintf:0 trigger_error:1 user_error:1
-        odbc_result_all:2 ovrimos_result_all:2 ifx_htmltbl_result:2""",
-    ),
-    "CODE": (None, "assert:1 create_function:1,2 eval:1"),
-    "CODE/PREG": (
-        "PREG",
-        "mb_ereg_replace:1,2 mb_eregi_replace:1,2 preg_filter:1,2 preg_replace:1,2 preg_replace_callback:1",
-    ),
-    "EXEC/SYSTEM": (
-        "SYSTEM",
-        "backticks:1 exec:1 expect_popen:1 passthru:1 pcntl_exec:1 popen:1 proc_open:1 shell_exec:1 system:1",
-    ),
-    "EXEC": (None, "mail:5 mb_send_mail:5 w32api_invoke_function:1 w32api_register_function:2"),
-    "DATABASE": (
-        None,
-        """dba_open:1 dba_popen:1 dba_insert:1,2 dba_fetch:1 dba_delete:1 oci_execute:1 ociexecute:1
-        ora_do:2 ora_exec:1""",
-    ),
-    "DATABASE/SQL": (
-        "SQL",
-        """dbx_query:2 odbc_do:2 odbc_exec:2 odbc_execute:2 db2_exec:2 db2_execute:2 fbsql_db_query:2
-        fbsql_query:1 ibase_query:2 ibase_execute:1 ifx_query:1 ifx_do:1 ingres_query:2
-        ingres_execute:2 ingres_unbuffered_query:2 msql_db_query:2 msql_query:1 msql:2 mssql_query:1
-        mssql_execute:1 mysql_db_query:2 mysql_query:1 mysql_unbuffered_query:1 mysqli_stmt_execute:1
-        mysqli_query:2 mysqli_real_query:1 mysqli_master_query:2 ovrimos_exec:2 ovrimos_execute:2
-        pg_query:2 pg_send_query:2 pg_send_query_params:2 pg_send_prepare:3 pg_prepare:3 sqlite_open:1
-        sqlite_popen:1 sqlite_array_query:1,2 arrayQuery:1,2 singleQuery:1 sqlite_query:1,2
-        sqlite_exec:1,2 sqlite_single_query:2 sqlite_unbuffered_query:1,2 sybase_query:1
-        sybase_unbuffered_query:1""",
-    ),
-    "SSRF": (None, "get_headers:0"),
-    "HTTP_HEADER": (None, "header:1"),
-    "POP": (None, "unserialize:1 yaml_parse:1"),
-    "OTHER": (
-        None,
-        """dl:1 ereg:2 eregi:2 ini_set:1,2 ini_restore:1 runkit_constant_redefine:1,2
-        runkit_method_rename:1,2,3 sleep:1 usleep:1 extract:1 mb_parse_str:1 parse_str:1 putenv:1
-        set_include_path:1 apache_setenv:1,2 define:1 is_a:1""",
-    ),
-    "CONNECT": (
-        None,
-        """curl_setopt:2,3 curl_setopt_array:2 cyrus_query:2 error_log:3 fsockopen:1 ftp_chmod:2,3
-        ftp_exec:2 ftp_delete:2 ftp_fget:3 ftp_get:2,3 ftp_nlist:2 ftp_nb_fget:3 ftp_nb_get:2,3
-        ftp_nb_put:2 ftp_put:2,3 get_headers:1 imap_open:1 imap_mail:1 mail:1,4 mb_send_mail:1,4
-        ldap_connect:1 msession_connect:1 pfsockopen:1 session_register:0 socket_bind:2
-        socket_connect:2 socket_send:2 socket_write:2 stream_socket_client:1 stream_socket_server:1
-        printer_open:1""",
-    ),
-    "SESSION_FIXATION": (None, "setcookie:2 setrawcookie:2 session_id:1"),
-    "LDAP": ("LDAP", "ldap_add:2,3 ldap_delete:2 ldap_list:3 ldap_read:3 ldap_search:3"),
-    "XPATH": ("XPATH", "xpath_eval:2 xpath_eval_expression:2 xptr_eval:2"),
-    "FILE_INCLUDE": (
-        "FILE",
-        """include:1 include_once:1 parsekit_compile_file:1 php_check_syntax:1 require:1 require_once:1
-        runkit_import:1 set_include_path:1 virtual:1""",
-    ),
-}
-
 # A call that passes taint from some arguments to others, 0 meaning any.
 PROPAGATORS = [("array_push", [1], [0])]
 
@@ -172,12 +111,8 @@ def policy_rows() -> list[tuple]:
     rows += [("full_sanitizer", "STRING", 0, name, [], []) for name in FULL_SANITIZERS]
     for rank, (category, names) in enumerate(CONDITIONAL_SANITIZERS.items()):
         rows += [("conditional_sanitizer", category, rank, name, [], []) for name in names]
-    for label, (safe, listing) in SINKS.items():
-        category = label.split("/")[0]
-        for entry in listing.split():
-            name, positions = entry.split(":")
-            where = [int(p) for p in positions.split(",")]
-            rows.append(("sink", category, order.index(category), name, where, sanitizer_list(safe)))
+    for category, sinks in SINK_ROWS.items():
+        rows += [("sink", category, order.index(category), name, where, sanitizer_list(safe)) for name, where, safe in sinks]
     rows += [("propagator", ",".join(map(str, source)), 0, name, to, []) for name, to, source in PROPAGATORS]
     return rows
 

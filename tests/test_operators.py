@@ -238,11 +238,29 @@ def test_overlay_wins(spark):
     assert both.where("name = 'echo' AND kind = 'sink'").first()["positions"] == [2]
 
 
+def test_built_in_sinks_of_every_category(spark):
+    sinks = policy.load_policy(spark).where("kind = 'sink'")
+    counts = {r["category"]: r["count"] for r in sinks.groupBy("category").count().collect()}
+    assert counts == {
+        "XSS": 12, "CODE": 8, "EXEC": 13, "DATABASE": 54, "SSRF": 1, "HTTP_HEADER": 1, "POP": 2, "OTHER": 17,
+        "CONNECT": 31, "SESSION_FIXATION": 3, "REFLECTION": 62, "FILE_READ": 54, "FILE_AFFECT": 43, "LDAP": 5,
+        "XPATH": 3, "FILE_INCLUDE": 9,
+    }
+    assert sinks.select("name").distinct().count() == 299
+    callback = sinks.where("name = 'preg_replace_callback'").orderBy("rank").collect()
+    assert [(r["category"], r["positions"], r["safe_by"]) for r in callback] == [
+        ("CODE", [1], ["preg_quote"]), ("REFLECTION", [2], []),
+    ]
+    assert sinks.where("name = 'readfile'").first()["safe_by"] == ["basename", "dirname", "pathinfo"]
+
+
 def test_policy_from_file(spark, tmp_path):
     path = tmp_path / "policy.json"
     path.write_text('{"kind": "sink", "category": "FILE_READ", "rank": 11, "name": "readfile", "positions": [1], "safe_by": ["basename"]}\n')
     both = policy.overlay_policy(policy.load_policy(spark), policy.load_policy(spark, str(path)))
-    assert both.where("category = 'FILE_READ'").select("name", "layer").first() == ("readfile", 1)
+    found = {r["name"]: r for r in both.where("category = 'FILE_READ'").collect()}
+    assert len(found) == 54 and [n for n, r in found.items() if r["layer"] == 1] == ["readfile"]
+    assert found["readfile"]["safe_by"] == ["basename"]
 
 
 def test_profiles_from_file(spark, tmp_path):
