@@ -95,4 +95,11 @@ def resolve_path(target: Column, against: Column) -> Column:
 
 
 def flatten_nested(nested: Column) -> Column:
+    """One level of a typed nested list; text of any depth goes through ``flatten_json``."""
     return F.flatten(nested)
+
+
+def flatten_json(nested: Column) -> Column:
+    """The scalars of a JSON list nested to any depth, in their order, as text; null for a JSON null."""
+    scalars = F.regexp_extract_all(nested, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\s,\[\]]+'), F.lit(0))
+    return F.transform(scalars, lambda s: F.get_json_object(F.concat(F.lit("["), s, F.lit("]")), "$[0]"))

@@ -155,6 +155,21 @@ def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.withColumn("pos", F.col("pos").cast("bigint"))
 
 
+@query(
+    with_ctes(
+        "pe",
+        """SELECT event_id, CAST(generate_subscripts(c, 1) - 1 AS BIGINT) AS pos, unnest(c) AS case_value
+           FROM (SELECT event_id, [CAST(k AS VARCHAR), CAST(rv AS VARCHAR), 'a,[' || wv || ']"'] AS c FROM pe)""",
+    )
+)
+def flatten_nested_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists in lists to several levels, with brackets, commas and quotes inside a text."""
+    events = B.decode_events(B.table(spark, sf_dir, "events"))
+    nested = F.concat(F.lit("["), "k", F.lit(",[["), "rv", F.lit(', []],[[["a,['), "wv", F.lit(']\\""]]]]]'))
+    flat = events.select("event_id", F.posexplode(O.flatten_json(nested)).alias("pos", "case_value"))
+    return flat.withColumn("pos", F.col("pos").cast("bigint"))
+
+
 @query(
     with_ctes(
         "po",
