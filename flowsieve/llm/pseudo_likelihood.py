@@ -13,11 +13,17 @@ from pyspark.sql import functions as F
 
 from flowsieve.llm.hashing import ODD, U, mix, slices, words
 from flowsieve.llm.shipping import ready
+from flowsieve.session import cut
 
 #: The softmax has two levels: HEAD outputs are FREQUENT words, "any other word", and clusters of CLUSTER words.
 FREQUENT, CLUSTERS, CLUSTER = 47, 16, 64
 HEAD, VOCABULARY = FREQUENT + 1 + CLUSTERS, FREQUENT + CLUSTERS * CLUSTER
 OTHER, OUTSIDE = VOCABULARY, VOCABULARY + 1
+#: A word outside the vocabulary has its share of the counted words under "any other word". Tasks hold the
+#: counts of about CACHED frequent words; the words beyond are joined with the table of counts.
+CACHED = 1 << 17
+#: Logarithms of joined words are summed as integers of this fineness.
+LOG_FINE = 1 << 24
 #: Words seen on either side, and the width of the hidden layer.
 PLACES, WIDTH = (-2, -1, 1, 2), 24
 #: Passes over the corpus; each masks a hash-chosen one in MASK_ONE_IN of all words of all documents.
@@ -171,12 +177,11 @@ def _around(tokens: np.ndarray, before: np.ndarray, wanted: np.ndarray) -> np.nd
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word hash, count) and, under a null word, the number of words."""
+    """(word hash, count) of every word of a slice."""
     for batch in batches:
         for _, _, data, offsets in slices(batch.column(0)):
             hashed = words(data, offsets)[0]
             seen, counts = np.unique(hashed, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([len(hashed)])], ["word", "n"])
             yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(counts)], ["word", "n"])
 
 
@@ -222,10 +227,20 @@ def _train(model, pass_number: int):
     return run
 
 
+SCORED = ["at", "doc_id", "n_tokens", "log_probability", "word", "times"]
+
+
 def _score(model):
+    """A row per document, and a row per document and word whose count no task holds.
+
+    ``at`` tells the rows of ``docs`` apart. The row of the document itself has a key like a word's
+    that no join needs to find, and no ``times``.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, numbers, vector = model.value
+        keys, numbers, vector, held, shares = model.value
         net = Network.of(vector)
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
             for row, end, data, offsets in slices(batch.column(1)):
                 hashed, before = words(data, offsets)
@@ -234,31 +249,81 @@ def _score(model):
                 for k in range(0, len(tokens), 4 * BATCH):
                     wanted = np.arange(k, min(k + 4 * BATCH, len(tokens)))
                     logs[wanted] = log_probability(net, _around(tokens, before, wanted), tokens[wanted])
+                rare = np.flatnonzero(tokens == OTHER)
+                place = np.searchsorted(held, hashed[rare])
+                known = np.zeros(len(rare), dtype=bool)
+                known[place < len(held)] = held[place[place < len(held)]] == hashed[rare[place < len(held)]]
+                logs[rare[known]] += shares[place[known]]
                 sums = np.concatenate([[0.0], np.cumsum(logs[:-1])])
+                ids = at + np.arange(end - row)
+                at += end - row
+                with np.errstate(over="ignore"):
+                    own = mix(ids.astype(np.uint64) * ODD).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, end - row), pa.array(np.diff(before)), pa.array(sums[before[1:]] - sums[before[:-1]])],
-                    ["doc_id", "n_tokens", "log_probability"],
+                    [
+                        pa.array(ids),
+                        batch.column(0).slice(row, end - row),
+                        pa.array(np.diff(before)),
+                        pa.array(sums[before[1:]] - sums[before[:-1]]),
+                        pa.array(own),
+                        pa.nulls(end - row, pa.int64()),
+                    ],
+                    SCORED,
                 )
+                rare = rare[~known]
+                if len(rare):
+                    doc = np.searchsorted(before, rare, side="right") - 1
+                    order = np.lexsort((hashed[rare], doc))
+                    doc, word = doc[order], hashed[rare][order]
+                    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])))
+                    n, times = len(first), np.diff(np.append(first, len(word)))
+                    blank = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[doc[first]]), *blank, pa.array(word[first].view(np.int64)), pa.array(times)], SCORED
+                    )
 
     return run
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted word hashes, their numbers, weights) learnt from all documents.
+def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) of all texts, written once: the fit, the shares and the scores read it."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    return cut(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def frequent_counts(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted hashes, counts) of at most CACHED words, all those of some count or more, and the sum of all counts.
+
+    The least count comes from a histogram of counts, eight steps to a doubling, so no task sorts all words.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    steps = counted.groupBy(step.alias("step")).agg(F.count("n").alias("words"), F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
+    least, words_above = None, 0
+    for row in steps:
+        words_above += row["words"]
+        if words_above > CACHED:
+            break
+        least = row["step"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), sum(row["n"] for row in steps)
+    found = counted.where(step >= least).toArrow()
+    hashes = found["word"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found["n"].to_numpy()[order], sum(row["n"] for row in steps)
 
-    Words are counted over all texts; the VOCABULARY most frequent get numbers. In each pass every
+
+def fit(docs: DataFrame, counted: DataFrame, total: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(sorted word hashes, their numbers, weights, words of the corpus outside the vocabulary).
+
+    The VOCABULARY most frequent of the counted words get numbers. In each pass every
     task trains a copy of the network on the masked words of its part of the corpus; the changes,
     weighted by masked words, are averaged by Spark, weight by weight. The driver holds the
     vocabulary and one network, whatever the corpus.
     """
     spark = ready(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    counted = texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(VOCABULARY + 1).toArrow()
-    total = top["n"][0].as_py() if top.num_rows else 0
-    # without the row of the total there is no null, and hashes stay whole numbers
-    hashes = top["word"].slice(1).to_numpy().astype(np.int64).view(np.uint64)
-    counts = top["n"].slice(1).to_numpy()
+    top = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
+    hashes, counts = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(hashes)
     keys, numbers = hashes[order], order.astype(np.int64)
     vector = start(counts, total).vector().astype(np.float64)
@@ -271,20 +336,36 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray
             break
         seen = value[place < 0][0]
         vector[place[place >= 0]] += value[place >= 0] / (FINE * seen)
-    return keys, numbers, vector.astype(np.float32)
+    return keys, numbers, vector.astype(np.float32), total - int(counts.sum())
 
 
 def pseudo_log_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log_probability, mean_log_probability) of every row of ``docs``.
 
     The network is fitted to the same documents. Every word of every whole text is masked in turn and
-    predicted from the words on both sides; the logarithms are summed. Texts without words have 0 tokens,
+    predicted from the words on both sides; the logarithms are summed. A word outside the vocabulary has
+    the probability of "any other word" times its share of the counted words there. Texts without words have 0 tokens,
     the sum 0 and a null mean; null texts count as empty; null ids and repeated rows are scored
     as they are; an empty table gives no rows.
     """
     spark = ready(docs.sparkSession)
-    model = spark.sparkContext.broadcast(fit(docs, text_col))
+    counted = count_words(docs, text_col)
+    held, counts, total = frequent_counts(counted)
+    *fitted, others = fit(docs, counted, total, text_col)
+    # one share is left for all words that were not counted
+    model = spark.sparkContext.broadcast((*fitted, held, np.log(counts / (others + 1))))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(_score(model), "doc_id long, n_tokens long, log_probability double")
+    scored = rows.mapInArrow(_score(model), "at long, doc_id long, n_tokens long, log_probability double, word long, times long")
+    share = F.round(F.log(F.coalesce("n", F.lit(1)) / F.lit(others + 1)) * LOG_FINE).cast("long")
+    whole = (
+        scored.join(counted, "word", "left")
+        .groupBy("at")
+        .agg(
+            F.max("doc_id").alias("doc_id"),
+            F.max("n_tokens").alias("n_tokens"),
+            (F.max("log_probability") + F.coalesce(F.sum(F.col("times") * share), F.lit(0)) / LOG_FINE).alias("log_probability"),
+        )
+        .drop("at")
+    )
     mean = F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens"))
-    return scored.withColumn("mean_log_probability", mean)
+    return whole.withColumn("mean_log_probability", mean)

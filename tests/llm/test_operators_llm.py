@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from compare import differences
-from flowsieve.llm import binary_codes, line_runs, superminhash, topk, tree_bpe
+from flowsieve.llm import binary_codes, line_runs, pseudo_likelihood, superminhash, topk, tree_bpe
 from flowsieve.llm.binary_codes import near_vectors
 from flowsieve.llm.chunks import load
 from flowsieve.llm.components import components
@@ -254,6 +254,20 @@ def test_scores_of_odd_rows(spark):
     assert pseudo_log_likelihood(empty(docs)).collect() == []
 
 
+def test_rare_words_are_predicted_as_themselves(spark, monkeypatch):
+    common = [f"c{k}" for k in range(pseudo_likelihood.VOCABULARY)]
+    texts = [(k, " ".join(common)) for k in range(12)] + [(100 + k, "eight") for k in range(8)] + [(200, "two"), (201, "two")]
+    texts += [(300, " ".join(f"junk{k}" for k in range(300))), (301, " ".join(f"other{k}" for k in range(300)))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    held = {r.doc_id: r for r in pseudo_log_likelihood(docs).collect()}
+    assert abs(held[100].log_probability - held[200].log_probability - np.log(8 / 2)) < 1e-6
+    assert held[300].mean_log_probability < held[0].mean_log_probability - 1
+    monkeypatch.setattr(pseudo_likelihood, "CACHED", 0)  # every count is joined
+    joined = pseudo_log_likelihood(docs).collect()
+    assert len(joined) == docs.count()
+    assert all(abs(r.log_probability - held[r.doc_id].log_probability) < 1e-3 and r.n_tokens == held[r.doc_id].n_tokens for r in joined)
+
+
 def test_shuffled_words_are_less_likely(spark):
     """Texts of a fixed order of words, and a few with the same words in any order."""
     make = np.random.default_rng(10)
