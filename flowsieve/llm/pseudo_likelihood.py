@@ -26,9 +26,10 @@ CACHED = 1 << 17
 LOG_FINE = 1 << 24
 #: Words seen on either side, and the width of the hidden layer.
 PLACES, WIDTH = (-2, -1, 1, 2), 24
-#: Passes over the corpus; each masks a hash-chosen one in MASK_ONE_IN of all words of all documents.
-PASSES, MASK_ONE_IN = 2, 12
-BATCH = 4096
+#: Passes over the corpus; every word of every document is masked in one of them, chosen by hash.
+PASSES = 2
+#: Masked words that are kept together before they are trained on, and words that are scored at once.
+BATCH, SCORE = 4096, 2048
 #: Masked words of a training step.
 STEP = 1024
 #: Weights are summed as integers of this fineness, so that sums don't depend on their order.
@@ -62,7 +63,8 @@ class Network:
         parts, at = {}, 0
         for name, shape in shapes.items():
             size = int(np.prod(shape))
-            parts[name] = np.ascontiguousarray(vector[at : at + size].reshape(shape), dtype=np.float32)
+            # a copy: training must not change the vector that it is compared with
+            parts[name] = np.array(vector[at : at + size].reshape(shape), dtype=np.float32)
             at += size
         return Network(**parts)
 
@@ -185,6 +187,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(counts)], ["word", "n"])
 
 
+def _targets(ids: np.ndarray, before: np.ndarray, pass_number: int) -> np.ndarray:
+    """Places of the words that this pass masks; they follow from document id and place in the document."""
+    count = np.diff(before)
+    with np.errstate(over="ignore"):
+        place = (np.arange(before[-1]) - np.repeat(before[:-1], count)).astype(np.uint64)
+        return np.flatnonzero(mix((place + U(1)) * ODD + np.repeat(mix(ids.view(np.uint64)), count)) % U(PASSES) == U(pass_number))
+
+
 def _train(model, pass_number: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, numbers, vector = model.value
@@ -201,16 +211,14 @@ def _train(model, pass_number: int):
             seen += len(target)
             held = []
 
-        shard = U(TaskContext.get().partitionId())
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
+            ids = batch.column(0).fill_null(0).to_numpy()
+            for row, end, data, offsets in slices(batch.column(1)):
                 hashed, before = words(data, offsets)
                 if not len(hashed):
                     continue
                 tokens = _numbers(hashed, keys, numbers)
-                with np.errstate(over="ignore"):
-                    place = np.arange(len(tokens), dtype=np.uint64) * ODD + hashed + shard
-                    masked = np.flatnonzero(mix(place + U(pass_number)) % U(MASK_ONE_IN) == U(0))
+                masked = _targets(ids[row:end], before, pass_number)
                 held.append((_around(tokens, before, masked), tokens[masked]))
                 learn(4 * BATCH)
         learn(1)
@@ -246,8 +254,8 @@ def _score(model):
                 hashed, before = words(data, offsets)
                 tokens = _numbers(hashed, keys, numbers)
                 logs = np.zeros(len(tokens) + 1)
-                for k in range(0, len(tokens), 4 * BATCH):
-                    wanted = np.arange(k, min(k + 4 * BATCH, len(tokens)))
+                for k in range(0, len(tokens), SCORE):
+                    wanted = np.arange(k, min(k + SCORE, len(tokens)))
                     logs[wanted] = log_probability(net, _around(tokens, before, wanted), tokens[wanted])
                 rare = np.flatnonzero(tokens == OTHER)
                 place = np.searchsorted(held, hashed[rare])
@@ -312,16 +320,19 @@ def frequent_counts(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return hashes[order], found["n"].to_numpy()[order], sum(row["n"] for row in steps)
 
 
-def fit(docs: DataFrame, counted: DataFrame, total: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def fit(
+    docs: DataFrame, counted: DataFrame, total: int, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(sorted word hashes, their numbers, weights, words of the corpus outside the vocabulary).
 
     The VOCABULARY most frequent of the counted words get numbers. In each pass every
-    task trains a copy of the network on the masked words of its part of the corpus; the changes,
+    task trains a copy of the network on the masked words of its part of the corpus (over the passes, on
+    every word once); the changes,
     weighted by masked words, are averaged by Spark, weight by weight. The driver holds the
     vocabulary and one network, whatever the corpus.
     """
     spark = ready(docs.sparkSession)
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     top = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
     hashes, counts = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(hashes)
@@ -351,7 +362,7 @@ def pseudo_log_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = ready(docs.sparkSession)
     counted = count_words(docs, text_col)
     held, counts, total = frequent_counts(counted)
-    *fitted, others = fit(docs, counted, total, text_col)
+    *fitted, others = fit(docs, counted, total, id_col, text_col)
     # one share is left for all words that were not counted
     model = spark.sparkContext.broadcast((*fitted, held, np.log(counts / (others + 1))))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

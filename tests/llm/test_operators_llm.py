@@ -279,6 +279,16 @@ def test_shuffled_words_are_less_likely(spark):
     assert means[False] > means[True] + 0.01  # measured: 0.027 after so few words
 
 
+def test_word_order_gains_whole_nats(spark):
+    """Each word follows from its neighbour, so up to log 40 = 3.7 nats are to be had."""
+    make = np.random.default_rng(11)
+    order = [f"w{k}" for k in range(40)]
+    texts = [(k, " ".join(order * 50)) for k in range(120)] + [(1000 + k, " ".join(make.permutation(order * 50))) for k in range(6)]
+    scored = pseudo_log_likelihood(spark.createDataFrame(texts, "doc_id long, text string").coalesce(2))
+    means = dict(map(tuple, scored.groupBy(F.col("doc_id") >= 1000).agg(F.avg("mean_log_probability")).collect()))
+    assert means[False] > means[True] + 2 and means[False] > -1
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = clashing(documents(spark))
     labels = spark.createDataFrame([(4, 0, 1), (5, 0, 0), (6, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")

@@ -122,6 +122,22 @@ def test_network_is_a_distribution_and_learns():
     assert last > first / 2
 
 
+def test_every_word_is_a_target_once():
+    ids, before = np.array([7, 8, -3, 8]), np.array([0, 500, 500, 1700, 1701])
+    passes = [pseudo_likelihood._targets(ids, before, k) for k in range(pseudo_likelihood.PASSES)]
+    assert sorted(np.concatenate(passes)) == list(range(1701))
+    assert min(map(len, passes)) > 1701 / pseudo_likelihood.PASSES / 2
+    alone = pseudo_likelihood._targets(ids[2:3], np.array([0, 1200]), 0)  # whatever lies beside it
+    assert list(alone + 500) == [k for k in passes[0] if 500 <= k < 1700]
+
+
+def test_training_leaves_the_shared_weights():
+    vector = pseudo_likelihood.start(np.arange(50, 0, -1), 2000).vector()
+    net, held = pseudo_likelihood.Network.of(vector), vector.copy()
+    pseudo_likelihood.train_step(net, np.ones((4, 100), dtype=np.int64), np.arange(100) % 50, 0.1)
+    assert (vector == held).all() and (net.vector() != held).any()
+
+
 def test_classifier_finds_unseen_misspellings():
     make = random.Random(6)
     syllables = ["ba", "re", "ti", "no", "lu", "ke", "sha", "mon"]
