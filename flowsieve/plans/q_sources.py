@@ -17,7 +17,7 @@ from flowsieve.plans.q_graphs import big
 from flowsieve.plans.q_joins import REPORT_SQL, ops_of, report_flows, straight_ops, tainted_arguments
 from flowsieve.session import cut, new_folder
 from flowsieve.sources import dumps, policy, references, sinks
-from flowsieve.streaming.arrival import analyse_arrivals
+from flowsieve.streaming.arrival import analyse_arrivals, latest_arrivals
 
 # ---- dumps: a program is fifty neighbouring events, a block ten of them ----
 
@@ -331,8 +331,11 @@ def analyse_batch(batch: DataFrame) -> DataFrame:
 
 @query(with_ctes("fl", REPORT_SQL))
 def arrival_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the event files as a stream delivers them."""
-    schema = B.table(spark, sf_dir, "events").schema
-    out = new_folder(spark, "arrived")
-    analyse_arrivals(spark, sf_dir, schema, analyse_batch, out, glob="events.parquet")
-    return spark.read.parquet(out).drop("batch").withColumn("seq", F.col("seq").cast("bigint"))
+    """Findings of the event files as a stream delivers them: two batches, each with a part of every unit."""
+    events = B.table(spark, sf_dir, "events")
+    source, out, state = (new_folder(spark, name) for name in ("arriving", "arrived", "arrivals"))
+    odd = F.coalesce(F.col("event_id") % 2 != 0, F.lit(False))
+    for part in (odd, ~odd):
+        events.where(part).write.mode("append").parquet(source)
+        analyse_arrivals(spark, source, events.schema, analyse_batch, out, state=state, unit="user_id")
+    return latest_arrivals(spark, out, "user_id", "unit").withColumn("seq", F.col("seq").cast("bigint"))

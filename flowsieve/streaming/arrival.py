@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsieve.session import new_folder
 
 
+def _rows(out: str) -> str:
+    return f"{out.rstrip('/')}-rows"
+
+
 def analyse_arrivals(
     spark: SparkSession,
     folder: str,
@@ -20,18 +25,28 @@ def analyse_arrivals(
     glob: str = "*.parquet",
     files_per_batch: int | None = None,
     state: str | None = None,
+    unit: str | None = None,
 ) -> None:
     """Run ``analysis`` on each batch of new files and keep its rows below ``out``.
 
     A batch is written to a folder of its own number, so a batch that is repeated
     after a failure replaces its rows. ``state`` is the folder that remembers which
     files were done; with the same one a later call takes only what is new.
+
+    ``unit`` names the column whose rows belong together. With it the rows of every batch
+    are also kept beside ``out``, and ``analysis`` gets all rows so far of the units that the batch
+    touches; ``latest_arrivals`` reads what holds for each unit since its last batch.
     """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def keep(batch: DataFrame, number: int) -> None:
+        if unit is not None:
+            batch.write.mode("overwrite").parquet(f"{_rows(out)}/_batch={number}")
+            known = spark.read.parquet(_rows(out)).where(F.col("_batch") <= number)
+            new = known.where(F.col("_batch") == number).select(F.col(unit).alias("_unit")).distinct()
+            batch = known.join(new, F.col(unit).eqNullSafe(F.col("_unit")), "left_semi").drop("_batch")
         analysis(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = (
@@ -42,3 +57,14 @@ def analyse_arrivals(
         .start()
     )
     query.awaitTermination()
+
+
+def latest_arrivals(spark: SparkSession, out: str, unit: str, key: str) -> DataFrame:
+    """The rows below ``out`` that hold now: each unit's from the last batch that touched it.
+
+    ``key`` is the column of the analysis' rows that holds the ``unit`` of the events.
+    """
+    last = spark.read.parquet(_rows(out)).groupBy(F.col(unit).alias("_unit")).agg(F.max("_batch").alias("_last"))
+    found = spark.read.parquet(out)
+    now = F.col(key).eqNullSafe(F.col("_unit")) & (F.col("batch") == F.col("_last"))
+    return found.join(last, now, "left_semi").drop("batch")

@@ -11,7 +11,7 @@ from flowsieve.operators import fixpoint, graph, guards, paths, states, taint
 from flowsieve.plans import bindings, load_all
 from flowsieve.plans.profiles import read_profiles
 from flowsieve.sources import policy, references
-from flowsieve.streaming.arrival import analyse_arrivals
+from flowsieve.streaming.arrival import analyse_arrivals, latest_arrivals
 
 QUERIES, _ = load_all()
 
@@ -279,6 +279,19 @@ def test_arrivals_take_only_what_is_new(spark, tmp_path):
     assert sorted(r["count"] for r in spark.read.parquet(out).collect()) == [10, 20]
 
 
+def test_units_in_two_batches_keep_their_findings(spark, tmp_path):
+    from flowsieve.plans.q_sources import analyse_batch
+
+    events = spark.read.parquet(f"{TINY}/events.parquet")
+    whole = rows(analyse_batch(events))
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part in ("event_id % 3 = 0", "event_id % 3 > 0"):
+        events.where(part).coalesce(1).write.mode("append").parquet(source)
+        analyse_arrivals(spark, source, events.schema, analyse_batch, out, state=state, unit="user_id")
+    found = latest_arrivals(spark, out, "user_id", "unit")
+    assert rows(found.select(*analyse_batch(events).columns)) == whole and found.count() == len(whole) > 0
+
+
 @pytest.mark.parametrize("max_blocks", [1, 6, 62])
 def test_small_and_large_units_agree(spark, max_blocks):
     """The one-pass closure and the loop give the same, in any mixture."""
