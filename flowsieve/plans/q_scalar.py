@@ -343,6 +343,33 @@ def extract_type_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.resolve_type_tags(tags, ["doc_id"], aliases).withColumn("pos", F.col("pos").cast("bigint"))
 
 
+@query(
+    r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, text FROM documents),
+        a AS (SELECT DISTINCT lower(lang) AS alias, 'Lang\' || upper(lang) AS target FROM documents),
+        w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place
+          FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+') AS words FROM documents)),
+        t AS (SELECT doc_id, 0 AS pos, 'return' AS tag, '?' || lang || '[]' AS raw, lang AS core, '?' AS head, '[]' AS tail FROM d
+          UNION ALL SELECT doc_id, 1, 'var', '\' || source || '&int', source, '', '&int' FROM d
+          UNION ALL SELECT doc_id, 2, 'type', '$' || lang, '$' || lang, '', '' FROM d
+          UNION ALL SELECT doc_id, 3, 'param', '12' || lang, '12' || lang, '', '' FROM d
+          UNION ALL SELECT doc_id, place + 3, 'param', word || '|null', word, '', '|null' FROM w)
+        SELECT t.doc_id, CAST(t.pos AS BIGINT) AS pos, t.tag, t.raw, t.head || coalesce(a.target, t.core) || t.tail AS resolved
+        FROM t LEFT JOIN a ON lower(t.core) = a.alias"""
+)
+def extract_type_tags_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tag for every word of every text, in any script, behind four tags for every document."""
+    docs = B.table(spark, sf_dir, "documents")
+    lang, source, text = (F.coalesce(name, F.lit("")) for name in ("lang", "source", "text"))
+    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    comment = F.concat(
+        F.lit("/**\n * @return ?"), lang, F.lit("[]\n * @var \\"), source, F.lit("&int\n * @type $"), lang, F.lit("\n * @param 12"), lang,
+        F.array_join(F.transform(words, lambda w: F.concat(F.lit("\n * @param "), w, F.lit("|null $a"))), ""), F.lit("\n */"),
+    )
+    aliases = docs.select(F.lower("lang").alias("alias"), F.concat(F.lit("Lang\\"), F.upper("lang")).alias("target")).distinct()
+    tags = T.type_tags(docs.select("doc_id", comment.alias("comment")), "comment", ["doc_id"])
+    return T.resolve_type_tags(tags, ["doc_id"], aliases).withColumn("pos", F.col("pos").cast("bigint"))
+
+
 GUARD_SQL = f"SELECT event_id, CASE WHEN k % 17 = 0 THEN '~' ELSE {at(B.COMPARATORS, 'k')} END AS cmp, event_type FROM ev"
 
 

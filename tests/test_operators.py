@@ -292,6 +292,17 @@ def test_units_in_two_batches_keep_their_findings(spark, tmp_path):
     assert rows(found.select(*analyse_batch(events).columns)) == whole and found.count() == len(whole) > 0
 
 
+def test_type_tags_of_whole_texts(spark, tmp_path):
+    from flowsieve.plans import load_all
+
+    texts = [(1, "Один two, en", "en", "s"), (2, None, "fr", None), (3, "日本", "en", "s")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = load_all()[0]["extract_type_tags_whole"](spark, str(tmp_path)).where("pos > 3 OR pos = 0").orderBy("doc_id", "pos")
+    assert [(r["doc_id"], r["resolved"]) for r in found.collect()] == [
+        (1, "?Lang\\EN[]"), (1, "Один|null"), (1, "two|null"), (1, "Lang\\EN|null"), (2, "?Lang\\FR[]"), (3, "?Lang\\EN[]"), (3, "日本|null")
+    ]
+
+
 @pytest.mark.parametrize("max_blocks", [1, 6, 62])
 def test_small_and_large_units_agree(spark, max_blocks):
     """The one-pass closure and the loop give the same, in any mixture."""
