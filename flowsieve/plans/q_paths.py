@@ -34,6 +34,24 @@ def enumerate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("unit", F.array_join("path", ">").alias("path"), "imprecise")
 
 
+@query(
+    with_ctes(
+        "bg b0",
+        """SELECT unit, array_to_string(path, '>') AS path, EXISTS (SELECT 1 FROM bg e WHERE e.unit = p.unit AND e.src = p.block
+             AND len([b FOR b IN p.path IF b = e.dst]) >= 2) AS imprecise FROM p""",
+        {
+            "p": """SELECT unit, block, [block] AS path FROM b0 UNION ALL SELECT p.unit, e.dst, list_append(p.path, e.dst)
+                FROM p JOIN bg e ON e.unit = p.unit AND e.src = p.block WHERE len([b FOR b IN p.path IF b = e.dst]) < 2"""
+        },
+    )
+)
+def enumerate_paths_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways from the entry that go round a loop: each block at most twice, on the whole block graph."""
+    events = B.block_events(spark, sf_dir)
+    found = paths.enumerate_paths(cut(B.block_edges(events)), B.block_entries(events), max_loop=2)
+    return found.select("unit", F.array_join("path", ">").alias("path"), "imprecise")
+
+
 # a guard per click and error; path = unit and day
 GUARD = f"""SELECT unit, seq, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, k, k % 10 AS var, {at(B.COMPARATORS, 'k')} AS cmp, k AS const
     FROM pe WHERE event_type IN ('click', 'error')"""

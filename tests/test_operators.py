@@ -303,6 +303,15 @@ def test_type_tags_of_whole_texts(spark, tmp_path):
     ]
 
 
+def test_walks_go_round_a_loop(spark):
+    from flowsieve.plans import load_all
+
+    found = load_all()[0]["enumerate_paths_twice"](spark, TINY)
+    walks = [r["path"].split(">") for r in found.select("path").collect()]
+    assert max(max(map(w.count, w)) for w in walks) == 2
+    assert len(walks) == 73215  # counted by the SQL
+
+
 @pytest.mark.parametrize("max_blocks", [1, 6, 62])
 def test_small_and_large_units_agree(spark, max_blocks):
     """The one-pass closure and the loop give the same, in any mixture."""
