@@ -160,7 +160,7 @@ def _compare(least: float):
                 i, j = i[ok], j[ok]
                 b = np.einsum("ij,ij->i", rotated[i], codes[j])
                 size = lengths[j] // 8
-                ok = may_link(b, factor[j], int(size.min(initial=2)), least)
+                ok = may_link(b, factor[j], int(size.min()) if len(size) else 2, least)
                 i, j = i[ok], j[ok]
                 ok = np.einsum("ij,ij->i", vectors[i], vectors[j]) >= least
                 i, j = i[ok], j[ok]

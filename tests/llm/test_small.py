@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -122,6 +123,32 @@ def test_network_is_a_distribution_and_learns():
     assert last > first / 2
 
 
+def test_estimate_is_bounded_with_the_true_size(monkeypatch):
+    make, size, seen = np.random.default_rng(12), 64, []
+    x = make.normal(size=size)
+    vectors = np.stack([x, x + make.normal(size=size) * 0.01, make.normal(size=size), make.normal(size=size)])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    signs = vectors @ binary_codes.rotations(size, 1)[:, :size] > 0
+    factor = np.abs(vectors @ binary_codes.rotations(size, 1)[:, :size]).sum(axis=1) / np.sqrt(size)
+    rows = pd.DataFrame({
+        "unit": 0, "side": 0, "rep": range(4), "many": 1, "band": 0, "factor": factor, "bands": [np.array([1])] * 4,
+        "vector": [v.tobytes() for v in vectors], "code": [np.packbits(s).tobytes() for s in signs],
+    })
+    link = binary_codes.may_link
+
+    def spy(b, factor, size, least):
+        spread = binary_codes.DEVIATIONS * np.sqrt(1 - factor**2) / factor / np.sqrt(size - 1)
+        seen.append((size, b / factor + spread >= least))  # the estimate's bound alone
+        return link(b, factor, size, least)
+
+    monkeypatch.setattr(binary_codes, "may_link", spy)
+    out = binary_codes._compare(0.98)(rows)
+    assert {s for s, _ in seen} == {size}
+    passed = np.concatenate([p for _, p in seen])
+    assert passed.any() and not passed.all()
+    assert set(out["a"]) == {0, 1}
+
+
 def test_every_word_is_a_target_once():
     ids, before = np.array([7, 8, -3, 8]), np.array([0, 500, 500, 1700, 1701])
     passes = [pseudo_likelihood._targets(ids, before, k) for k in range(pseudo_likelihood.PASSES)]
