@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.llm.binary_codes import near_vectors
 from flowsieve.llm.line_runs import drop_repeated_lines
+from flowsieve.llm.merkle_manifest import fold_proof, leaf_digest, merkle_manifest, proof_digest
 from flowsieve.llm.mixing import mix_sources
+from flowsieve.llm.periodic_runs import periodic_runs
 from flowsieve.llm.pseudo_likelihood import pseudo_log_likelihood
+from flowsieve.llm.rule_quality import quality
 from flowsieve.llm.superminhash import near_duplicates
 from flowsieve.llm.token_blocks import read_tokens, write_tokens
 from flowsieve.llm.topk import top_scores
@@ -80,6 +83,58 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def crc(column: str) -> Column:
+    """Unsigned crc32 of a whole number's decimal digits."""
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chars = F.col("n_chars") + F.when(crc("doc_id") % 7 == 0, 1).otherwise(0)
+    leaf, shown = (leaf_digest(*[F.col(c) for c in ("doc_id", "source", "lang")], n, F.col("text")) for n in (F.col("n_chars"), chars))
+    manifest = merkle_manifest(docs, leaf, carried={"shown": shown})
+    folded = fold_proof(F.col("shown"), F.col("proof"))
+    manifest = manifest.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return manifest.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _with_period(text: Column, h: Column) -> Column:
+    """Every tenth text repeats a passage of its words to its end."""
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        places = F.sequence(F.lit(0).cast("long"), n - 1)
+        moved = F.transform(places, lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(moved, " "))
+
+    # the words are a variable of a function, so that they are made once and not for each place
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    changed = F.transform(F.array(words), planted)[0]
+    return F.when(h % 10 == 0, F.coalesce(changed, text)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", _with_period(F.col("text"), crc("doc_id")).alias("text"))
+    found = periodic_runs(docs).withColumn("runs", F.col("periodic.runs"))
+    key = F.expr("transform(runs, r -> struct(-r.length AS a, r.start AS b, r.period AS c))")
+    found = found.withColumn("best", F.array_min(key))
+    start, length, period = F.col("best.b"), -F.col("best.a"), F.col("best.c")
+    shown = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(length * 1000 / period).alias("exponent_milli"), F.sha2(shown, 256).alias("runs_sha256"),
+        F.sha2("periodic.collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "quality.*")
+
+
 QUERIES = {
     "op1_pseudo_likelihood": op1_pseudo_likelihood,
     "op2_patched_blocks": op2_patched_blocks,
@@ -91,6 +146,9 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_subword_toxicity": op9_subword_toxicity,
     "op10_tree_bpe": op10_tree_bpe,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_rule_quality": op13_rule_quality,
 }
 
 ORACLES = {
