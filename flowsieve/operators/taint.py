@@ -19,16 +19,18 @@ ALL_OPEN = (1 << MASK_BITS) - 1
 def straight_line_taint(ops: DataFrame) -> DataFrame:
     """Taint of each op's value where an op reads one earlier op.
 
-    ``ops(unit, seq, def_seq, is_source, is_clean)``. A source is tainted, a sanitizer
-    is not, any other op takes over its definition's state; no definition -> untainted.
+    ``ops(unit, seq, def_seq, is_source, is_clean)``. A sanitizer is untainted, also if its name is
+    a source's as well, a source is tainted, any other op takes over its definition's state; no
+    definition -> untainted.
     Resolved by pointer doubling: log rounds in the length of the longest chain.
     """
     nodes = ops.select(
         "unit",
         "seq",
         F.when(~F.col("is_source") & ~F.col("is_clean"), F.col("def_seq")).alias("parent"),
-        F.when(F.col("is_source"), F.lit(True))
-        .when(F.col("is_clean") | F.col("def_seq").isNull(), F.lit(False))
+        F.when(F.col("is_clean"), F.lit(False))
+        .when(F.col("is_source"), F.lit(True))
+        .when(F.col("def_seq").isNull(), F.lit(False))
         .alias("tainted"),
     )
     done = follow_pointers(nodes, ["unit", "seq"], "parent", {"tainted": lambda mine, theirs: F.coalesce(mine, theirs)})
@@ -45,8 +47,9 @@ def straight_line_sanitizers(ops: DataFrame) -> DataFrame:
         "unit",
         "seq",
         F.when(~F.col("is_source") & ~F.col("is_clean"), F.col("def_seq")).alias("parent"),
-        F.when(F.col("is_source"), F.lit(True))
-        .when(F.col("is_clean") | F.col("def_seq").isNull(), F.lit(False))
+        F.when(F.col("is_clean"), F.lit(False))
+        .when(F.col("is_source"), F.lit(True))
+        .when(F.col("def_seq").isNull(), F.lit(False))
         .alias("tainted"),
         F.expr(f"{ALL_OPEN}L & ~clears").alias("open_mask"),
     )

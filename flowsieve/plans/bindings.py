@@ -21,7 +21,7 @@ CONDITIONAL_NAMES = [
     "esc_sql",
 ]
 SINK_CALL_NAMES = [
-    *dict.fromkeys(row[3] for row in P.policy_rows() if row[0] == "sink" and row[3] not in SOURCE_CALL_NAMES),
+    *dict.fromkeys(row[3] for row in P.policy_rows() if row[0] == "sink"),
     "insert",
 ]
 COMPARATORS = ["=", ">", "<", "<=", "!=", ">="]

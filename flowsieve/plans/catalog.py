@@ -65,11 +65,19 @@ CTES: dict[str, tuple[str, str]] = {
            ASOF LEFT JOIN (SELECT unit, wv, seq FROM pe WHERE event_type <> 'error') w
            ON r.unit = w.unit AND r.rv = w.wv AND r.seq > w.seq""",
     ),
+    # what the names of the policy make of an instruction; a name may be a source, a sanitizer and a sink at once
+    "pf": (
+        "po",
+        f"""SELECT *, coalesce(list_contains({sql_list(B.SOURCE_CALL_NAMES)}, callee), false)
+             OR list_contains({sql_list(P.SOURCE_VARIABLES)}, read_name) AS is_source,
+           coalesce(list_contains({sql_list(P.FULL_SANITIZERS)}, CASE WHEN op LIKE 'Expr_Cast_%' THEN op ELSE callee END), false) AS is_full,
+           coalesce(list_contains({sql_list(B.CONDITIONAL_NAMES)}, callee), false) AS is_conditional FROM po""",
+    ),
     "tt": (
-        "lk",
-        """SELECT unit, seq FROM pe WHERE event_type = 'signup'
+        "pf lk",
+        """SELECT unit, seq FROM pf WHERE is_source AND NOT is_full AND NOT is_conditional
            UNION SELECT p.unit, p.seq FROM tt JOIN lk ON lk.unit = tt.unit AND lk.def_seq = tt.seq
-           JOIN pe p ON p.unit = lk.unit AND p.seq = lk.seq WHERE p.event_type NOT IN ('view', 'signup')""",
+           JOIN pf p ON p.unit = lk.unit AND p.seq = lk.seq WHERE NOT p.is_source AND NOT p.is_full AND NOT p.is_conditional""",
     ),
     "po": (
         "pe",
@@ -108,7 +116,8 @@ CTES: dict[str, tuple[str, str]] = {
            '*Dangerous: Tainted Input(s). Possible ' || c.category_name || '*' AS message
            FROM os JOIN sa ON sa.unit = os.unit AND sa.seq = os.seq
              AND (os.positions[1] = 0 OR list_contains(os.positions, sa.pos))
-           JOIN tt ON tt.unit = os.unit AND tt.seq = os.seq JOIN categories c ON c.category = os.category
+           JOIN lk ON lk.unit = os.unit AND lk.seq = os.seq
+           JOIN tt ON tt.unit = lk.unit AND tt.seq = lk.def_seq JOIN categories c ON c.category = os.category
            WHERE sa.var IS NOT NULL""",
     ),
     "be": (
@@ -143,6 +152,6 @@ def with_ctes(names: str, body: str, extra: dict[str, str] | None = None) -> str
 
     for name in names.split():
         need(name)
-    parts = [f"{name} AS {'MATERIALIZED ' if name == 'lk' else ''}({CTES[name][1]})" for name in order]
+    parts = [f"{name} AS {'MATERIALIZED ' if name in ('lk', 'pf') else ''}({CTES[name][1]})" for name in order]
     parts += [f"{name} AS ({text})" for name, text in (extra or {}).items()]
     return f"WITH RECURSIVE {', '.join(parts)} {body}"

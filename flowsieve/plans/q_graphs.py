@@ -269,7 +269,7 @@ def call_flows(spark: SparkSession, sf_dir: str, *, binary_results: bool = True,
             B.user_callee(ops, units).alias("callee_unit"),
         )
     )
-    seeds = linked.where("is_source").select("unit", F.col("seq").cast("bigint").alias("var"))
+    seeds = linked.where("is_source AND NOT is_full AND conditional IS NULL AND NOT calls_user").select("unit", F.col("seq").cast("bigint").alias("var"))
     here = F.col("seq").cast("bigint")
     inner = "NOT is_source AND NOT is_full AND NOT calls_user AND event_type <> 'error'"
     if not binary_results:
@@ -314,23 +314,24 @@ def include_flows(ops: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 FLOW_PARTS = f"""
-    SELECT p.unit, coalesce(lk.def_seq, -(p.rv + 1)) AS var, p.seq, p.k, p.rv, p.op, p.event_type, p.callee,
+    SELECT p.unit, coalesce(lk.def_seq, -(p.rv + 1)) AS var, p.seq, p.k, p.rv, p.op, p.event_type, p.callee, p.is_source, p.is_full, p.is_conditional,
       p.event_type = 'purchase' AND p.k % 9 <> 0 AS calls_user, (p.unit + p.k) % {UNITS_SQL} AS callee_unit
-    FROM po p JOIN lk ON lk.unit = p.unit AND lk.seq = p.seq"""
+    FROM pf p JOIN lk ON lk.unit = p.unit AND lk.seq = p.seq"""
 LAST = "SELECT unit, max(seq) AS seq FROM pe WHERE event_type <> 'error' GROUP BY unit"
-FLOWS = """SELECT unit, var, unit AS to_unit, seq AS to_var, CASE WHEN event_type = 'view' THEN callee END AS san FROM fp
-      WHERE event_type IN ('click', 'purchase'{views}) AND NOT calls_user {more}
+FLOWS = """SELECT unit, var, unit AS to_unit, seq AS to_var, CASE WHEN is_conditional THEN callee END AS san FROM fp
+      WHERE event_type <> 'error' AND NOT is_source AND NOT is_full AND NOT calls_user {more}
     UNION SELECT unit, var, callee_unit, -(rv + 1), NULL FROM fp WHERE calls_user
     UNION SELECT l.unit, l.seq, fp.unit, fp.seq, NULL FROM fp JOIN last l ON l.unit = fp.callee_unit WHERE calls_user"""
-REACHED = """SELECT unit, CAST(seq AS BIGINT) AS var FROM pe WHERE event_type = 'signup'
+SEEDS = "SELECT unit, CAST(seq AS BIGINT) AS var FROM fp WHERE is_source AND NOT is_full AND NOT is_conditional AND NOT calls_user"
+REACHED = SEEDS + """
     UNION SELECT f.to_unit, CAST(f.to_var AS BIGINT) FROM reached r JOIN flows f ON f.unit = r.unit AND f.var = r.var"""
 
 
 @query(
     with_ctes(
-        "po lk",
+        "pf lk",
         "SELECT unit, var FROM reached",
-        {"fp": FLOW_PARTS, "last": LAST, "flows": FLOWS.format(views="", more=""), "reached": REACHED},
+        {"fp": FLOW_PARTS, "last": LAST, "flows": FLOWS.format(more="AND NOT is_conditional"), "reached": REACHED},
     )
 )
 def taint_interprocedural(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,13 +347,13 @@ INCLUDED = """SELECT s.unit, coalesce(w.seq, -(s.var + 1)) AS var, s.callee_unit
 
 @query(
     with_ctes(
-        "po lk",
+        "pf lk",
         """SELECT r.unit, CAST(f.seq AS BIGINT) AS seq FROM reached r JOIN fp f ON f.unit = r.unit AND f.var = r.var
            WHERE f.event_type = 'purchase' AND NOT f.calls_user""",
         {
             "fp": FLOW_PARTS,
             "last": LAST,
-            "base": FLOWS.format(views="", more="AND NOT starts_with(op, 'Expr_BinaryOp_')"),
+            "base": FLOWS.format(more="AND NOT is_conditional AND NOT starts_with(op, 'Expr_BinaryOp_')"),
             "inc": INCLUDED,
             "flows": "SELECT unit, var, to_unit, to_var FROM base UNION SELECT unit, var, to_unit, to_var FROM inc",
             "reached": REACHED,
@@ -373,7 +374,7 @@ CONDITIONAL_SQL = ", ".join(f"('{n}')" for n in sorted({*B.CONDITIONAL_NAMES, "s
 
 @query(
     with_ctes(
-        "po lk",
+        "pf lk",
         """SELECT unit, var, coalesce(string_agg(name, ',' ORDER BY name), '') AS sanitizers FROM (
              SELECT t.unit, t.var, n.name FROM (SELECT DISTINCT unit, var FROM avoiding) t
              LEFT JOIN names n ON NOT EXISTS (SELECT 1 FROM avoiding a WHERE a.unit = t.unit AND a.var = t.var AND a.name = n.name)
@@ -382,11 +383,9 @@ CONDITIONAL_SQL = ", ".join(f"('{n}')" for n in sorted({*B.CONDITIONAL_NAMES, "s
             "fp": FLOW_PARTS,
             "last": LAST,
             "names": f"SELECT * FROM (VALUES {CONDITIONAL_SQL}) t(name)",
-            "flows": FLOWS.format(
-                views=", 'view'", more=f"AND (event_type <> 'view' OR list_contains({sql_list(B.CONDITIONAL_NAMES)}, callee))"
-            ),
-            "avoiding": """SELECT p.unit, CAST(p.seq AS BIGINT) AS var, n.name FROM pe p, (SELECT name FROM names UNION ALL SELECT '') n
-                WHERE p.event_type = 'signup'
+            "flows": FLOWS.format(more=""),
+            "seeds": SEEDS,
+            "avoiding": """SELECT s.unit, s.var, n.name FROM seeds s, (SELECT name FROM names UNION ALL SELECT '') n
                 UNION SELECT f.to_unit, CAST(f.to_var AS BIGINT), a.name FROM avoiding a
                 JOIN flows f ON f.unit = a.unit AND f.var = a.var AND coalesce(f.san, '-') <> a.name""",
         },
@@ -402,18 +401,19 @@ def taint_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_ctes(
-        "os sa lk categories",
+        "os sa pf lk categories",
         """SELECT file, start_line, unit, CAST(seq AS BIGINT) AS seq, category,
              '*Dangerous: Tainted Input(s). Possible ' || category_name || '*' AS message
            FROM (SELECT os.*, c.category_name, row_number() OVER (PARTITION BY os.file, os.start_line ORDER BY os.seq, os.category_rank) AS n
              FROM os JOIN sa ON sa.unit = os.unit AND sa.seq = os.seq AND (os.positions[1] = 0 OR list_contains(os.positions, sa.pos))
-             JOIN chain t ON t.unit = os.unit AND t.seq = os.seq JOIN categories c ON c.category = os.category
+             JOIN lk ON lk.unit = os.unit AND lk.seq = os.seq
+             JOIN chain t ON t.unit = lk.unit AND t.seq = lk.def_seq JOIN categories c ON c.category = os.category
              WHERE sa.var IS NOT NULL AND NOT list_has_any(t.applied, os.safe_by)) WHERE n = 1""",
         {
-            "chain": f"""SELECT unit, seq, []::VARCHAR[] AS applied FROM pe WHERE event_type = 'signup'
-                UNION ALL SELECT p.unit, p.seq, CASE WHEN p.event_type = 'view' THEN list_append(c.applied, p.callee) ELSE c.applied END
-                FROM chain c JOIN lk ON lk.unit = c.unit AND lk.def_seq = c.seq JOIN po p ON p.unit = lk.unit AND p.seq = lk.seq
-                WHERE p.event_type <> 'signup' AND (p.event_type <> 'view' OR list_contains({sql_list(B.CONDITIONAL_NAMES)}, p.callee))"""
+            "chain": """SELECT unit, seq, []::VARCHAR[] AS applied FROM pf WHERE is_source AND NOT is_full
+                UNION ALL SELECT p.unit, p.seq, CASE WHEN p.is_conditional THEN list_append(c.applied, p.callee) ELSE c.applied END
+                FROM chain c JOIN lk ON lk.unit = c.unit AND lk.def_seq = c.seq JOIN pf p ON p.unit = lk.unit AND p.seq = lk.seq
+                WHERE NOT p.is_source AND NOT p.is_full"""
         },
     )
 )
@@ -427,9 +427,12 @@ def report_flows_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("clears", taint.sanitizer_bit(names, F.col("conditional")))
         .withColumn("is_clean", F.col("is_full"))
     )
+    flagged = cut(flagged)
+    state = taint.straight_line_sanitizers(flagged).withColumnRenamed("seq", "def_seq")
     arguments = (
         B.sink_arguments(ops)
-        .join(taint.straight_line_sanitizers(flagged), ["unit", "seq"])
+        .join(flagged.select("unit", "seq", "def_seq"), ["unit", "seq"])
+        .join(state, ["unit", "def_seq"], "left")
         .select(
             "unit", "seq", "pos", (F.col("tainted") & F.col("var").isNotNull()).alias("tainted"),
             taint.applied_sanitizers(names, F.col("open_mask")).alias("sanitizers"),

@@ -405,12 +405,15 @@ def straight_ops(ops: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def tainted_arguments(ops: DataFrame, spark: SparkSession) -> DataFrame:
-    """Sink arguments with the state of what they read."""
-    state = taint.straight_line_taint(straight_ops(ops, spark))
+    """Sink arguments with the state of the definition they read, not of what the sink makes of it."""
+    linked = cut(straight_ops(ops, spark))
+    state = taint.straight_line_taint(linked).withColumnRenamed("seq", "def_seq")
     return (
         B.sink_arguments(ops)
-        .join(state, ["unit", "seq"])
-        .withColumn("tainted", F.col("tainted") & F.col("var").isNotNull())
+        .join(linked.select("unit", "seq", "def_seq"), ["unit", "seq"])
+        .join(state, ["unit", "def_seq"], "left")
+        .withColumn("tainted", F.coalesce(F.col("tainted") & F.col("var").isNotNull(), F.lit(False)))
+        .drop("def_seq")
         .withColumn("sanitizers", F.array().cast("array<string>"))
     )
 

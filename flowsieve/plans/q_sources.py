@@ -290,25 +290,30 @@ def profile_modules(spark: SparkSession) -> dict[str, profiles.Stage]:
         return ops.join(classify.classify_sinks(ops, site).select("unit").distinct(), "unit", "left_semi")
 
     def taint_ops(ops: DataFrame) -> DataFrame:
-        state = taint.straight_line_taint(straight_ops(ops, spark)).where("tainted")
-        return ops.join(state, ["unit", "seq"])
+        linked = cut(straight_ops(ops, spark).select("unit", "seq", "def_seq", "is_source", "is_clean"))
+        state = cut(taint.straight_line_taint(linked).where("tainted").select("unit", "seq"))
+        read = state.select("unit", F.col("seq").alias("def_seq"), F.lit(True).alias("reads_taint"))
+        reading = linked.join(read, ["unit", "def_seq"]).select("unit", "seq", "reads_taint")
+        touched = state.withColumn("reads_taint", F.lit(False)).unionByName(reading)
+        return ops.join(touched.groupBy("unit", "seq").agg(F.bool_or("reads_taint").alias("reads_taint")), ["unit", "seq"])
 
     def report(ops: DataFrame) -> DataFrame:
-        arguments = B.sink_arguments(ops).select(
+        arguments = B.sink_arguments(ops.where("reads_taint")).select(
             "unit", "seq", "pos", F.col("var").isNotNull().alias("tainted"), F.array().cast("array<string>").alias("sanitizers")
         )
-        return taint.report_flows(ops.drop("tainted"), arguments, site, names)
+        return taint.report_flows(ops.drop("reads_taint"), arguments, site, names)
 
     return {"relevance": relevance, "taint": taint_ops, "report": report}
 
 
 @query(
     with_ctes(
-        "po tt fl os",
+        "po lk tt fl os",
         """SELECT CAST(0 AS BIGINT) AS stage, 'Sink relevance' AS module, count(DISTINCT file || ':' || start_line) AS lines FROM po
              WHERE start_line <> 'None' AND unit IN (SELECT unit FROM os)
-           UNION ALL SELECT 1, 'Taint', count(DISTINCT file || ':' || start_line) FROM po JOIN tt USING (unit, seq) WHERE start_line <> 'None'
-             AND unit IN (SELECT unit FROM os)
+           UNION ALL SELECT 1, 'Taint', count(DISTINCT file || ':' || start_line) FROM po JOIN lk USING (unit, seq)
+             WHERE start_line <> 'None' AND unit IN (SELECT unit FROM os)
+             AND ((unit, seq) IN (SELECT (unit, seq) FROM tt) OR (unit, def_seq) IN (SELECT (unit, seq) FROM tt))
            UNION ALL SELECT 1, 'Report', count(DISTINCT file || ':' || start_line) FROM fl WHERE start_line <> 'None'""",
     )
 )
