@@ -91,17 +91,28 @@ def grow_masks(
     step: Callable[[DataFrame], DataFrame],
     keys: list[str],
     mask: str,
+    *,
+    within: list[str] | None = None,
+    hops: int = HOPS,
 ) -> DataFrame:
     """Fixpoint where a fact carries a bit set that only gains bits.
 
-    A row enters the next round when it is new or when it has gained bits.
+    A row enters the next round when it is new or when it has gained bits. ``within`` names key columns that
+    ``step`` never changes: only the groups with news are compared. A round takes ``hops`` steps at once.
     """
     merged = F.bit_or(mask).alias(mask)
     delta = cut(seeds.groupBy(*keys).agg(merged))
     parts = [delta]
     while True:
-        reached = step(delta).groupBy(*keys).agg(F.bit_or(mask).alias("_new"))
-        old = _union(parts).groupBy(*keys).agg(F.bit_or(mask).alias("_old"))
+        front, fronts = delta, []
+        for _ in range(hops):
+            front = step(front).groupBy(*keys).agg(merged)
+            fronts.append(front)
+        reached = _union(fronts).groupBy(*keys).agg(F.bit_or(mask).alias("_new"))
+        known = _union(parts)
+        if within:
+            known = known.join(_named(delta.select(*within).distinct(), within), _equal(within), "left_semi")
+        old = known.groupBy(*keys).agg(F.bit_or(mask).alias("_old"))
         gained = (
             reached.join(_named(old, keys), _equal(keys), "left")
             .where("_old IS NULL OR (_new | _old) <> _old")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.operators import classify, graph, links, taint
+from flowsieve.operators import block_states, classify, graph, links, taint
 from flowsieve.operators.compare import order_cases as case_order
-from flowsieve.operators.ordered import with_slice
+from flowsieve.operators.ordered import row_sequence, with_slice
 from flowsieve.plans import bindings as B
-from flowsieve.plans.catalog import query, sql_list, with_ctes
+from flowsieve.plans.catalog import at, query, sql_list, with_ctes
 from flowsieve.plans.q_joins import UNITS_SQL, entry_states, numbered_ops, place, straight_ops
 from flowsieve.session import cut
 from flowsieve.sources import policy
@@ -249,6 +249,82 @@ def taint_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_taint(events, B.block_edges(events))
 
 
+STATE_NAMES = ["htmlentities", "escapeshellarg", "addslashes", "preg_quote"]
+
+
+def block_steps(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    """Signups are sources, every fourth view applies a sanitizer, the others clean, errors only read."""
+    numbered = row_sequence(events, ["unit"], ["ts", "event_id"], "seq")
+    kind, k = F.col("event_type"), F.col("k")
+    return numbered.select(
+        "unit", "block", *with_slice(numbered), "seq",
+        F.when(kind == "signup", "source").when((kind == "view") & (k % 4 != 3), "clean").otherwise("copy").alias("kind"),
+        F.when(kind != "signup", F.col("rv")).alias("var"),
+        F.when(kind != "error", F.col("wv")).alias("to_var"),
+        F.when((kind == "view") & (k % 4 == 3), taint.sanitizer_bit(STATE_NAMES, B.pick(STATE_NAMES, F.col("rv")))).alias("clears"),
+    )
+
+
+# a state is the set of names that some tainted flow avoids, '' for the taint itself; i is the place before an instruction
+STATE_PARTS = {
+    "ops": f"""SELECT unit, block, rv, wv, event_type, k, CAST(row_number() OVER (PARTITION BY unit, block ORDER BY ts, event_id) AS INTEGER) AS i,
+        count(*) OVER (PARTITION BY unit, block) AS n, CASE WHEN event_type = 'view' AND k % 4 = 3 THEN {at(STATE_NAMES, "rv")} ELSE '-' END AS san FROM be""",
+    "names": f"SELECT unnest({sql_list(STATE_NAMES + [''])}) AS name",
+    "st": """SELECT unit, block, i + 1 AS i, wv AS var, name FROM ops, names WHERE event_type = 'signup'
+        UNION SELECT * FROM (
+          SELECT s.unit, s.block, s.i + 1, s.var, s.name FROM st s JOIN ops o ON o.unit = s.unit AND o.block = s.block AND o.i = s.i
+            WHERE o.event_type = 'error' OR o.wv <> s.var
+          UNION ALL SELECT s.unit, s.block, s.i + 1, o.wv, s.name FROM st s JOIN ops o ON o.unit = s.unit AND o.block = s.block AND o.i = s.i
+            WHERE o.rv = s.var AND o.san <> s.name AND (o.event_type IN ('click', 'purchase') OR (o.event_type = 'view' AND o.k % 4 = 3))
+          UNION ALL SELECT s.unit, e.dst, 1, s.var, s.name FROM st s JOIN (SELECT DISTINCT unit, block, n FROM ops) o
+            ON o.unit = s.unit AND o.block = s.block AND s.i = o.n + 1 JOIN bg e ON e.unit = s.unit AND e.src = s.block)""",
+}
+
+
+@query(
+    with_ctes(
+        "be bg",
+        """SELECT t.unit, t.block, CAST(t.var AS BIGINT) AS var, coalesce(string_agg(n.name, ',' ORDER BY n.name) FILTER (a.name IS NULL), '') AS sanitizers
+           FROM (SELECT * FROM st WHERE i = 1 AND name = '') t CROSS JOIN (SELECT name FROM names WHERE name <> '') n
+           LEFT JOIN (SELECT * FROM st WHERE i = 1) a ON a.unit = t.unit AND a.block = t.block AND a.var = t.var AND a.name = n.name GROUP BY ALL""",
+        STATE_PARTS,
+    )
+)
+def taint_block_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is tainted at a block's entry, with the sanitizers that all flows to it meet; writes kill."""
+    events = B.block_events(spark, sf_dir)
+    state = block_states.taint_block_states(block_steps(spark, sf_dir, events), B.block_edges(events))
+    met = F.array_sort(taint.applied_sanitizers(STATE_NAMES, F.col("open_mask")))
+    return big(state.select("unit", "block", "var", F.array_join(met, ",").alias("sanitizers")), "var")
+
+
+@query(
+    with_ctes(
+        "be bg",
+        """SELECT o.unit, o.block, o.event_id, coalesce(string_agg(n.name, ',' ORDER BY n.name) FILTER (a.name IS NULL), '') AS sanitizers
+           FROM (SELECT o.*, b.event_id FROM ops o JOIN (SELECT event_id, unit, block, row_number() OVER (PARTITION BY unit, block ORDER BY ts, event_id) AS i FROM be) b
+                 ON b.unit = o.unit AND b.block = o.block AND b.i = o.i WHERE o.event_type = 'purchase') o
+           JOIN (SELECT * FROM st WHERE name = '') t ON t.unit = o.unit AND t.block = o.block AND t.i = o.i AND t.var = o.rv
+           CROSS JOIN (SELECT name FROM names WHERE name <> '') n
+           LEFT JOIN st a ON a.unit = o.unit AND a.block = o.block AND a.i = o.i AND a.var = o.rv AND a.name = n.name GROUP BY ALL""",
+        STATE_PARTS,
+    )
+)
+def taint_read_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases that read a tainted value, with the sanitizers met on all flows to the very instruction."""
+    events = B.block_events(spark, sf_dir)
+    steps = block_steps(spark, sf_dir, events)
+    linked = cut(block_states.linked_steps(steps))
+    origins = cut(block_states.resolve_definitions(linked))
+    entry = cut(block_states.states_of(*block_states.block_functions(steps, origins), B.block_edges(events)))
+    numbered = row_sequence(events, ["unit"], ["ts", "event_id"], "seq").where("event_type = 'purchase'")
+    read = block_states.read_states(linked, origins, entry).select("unit", "seq", "open_mask")
+    met = F.array_sort(taint.applied_sanitizers(STATE_NAMES, F.col("open_mask")))
+    return numbered.select("unit", "block", "event_id", "seq").join(read, ["unit", "seq"]).select(
+        "unit", "block", "event_id", F.array_join(met, ",").alias("sanitizers")
+    )
+
+
 def call_flows(spark: SparkSession, sf_dir: str, *, binary_results: bool = True, includes: bool = False):
     """(seeds, flows) of all programs: value copies inside units, into callees and back.
 
