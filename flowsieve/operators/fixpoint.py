@@ -86,6 +86,15 @@ def grow(
             parts = [cut(_union(parts))]
 
 
+def _gained(reached: DataFrame, old: DataFrame, keys: list[str], mask: str) -> DataFrame:
+    """Rows of ``reached`` that are new or have bits (``_new``) that the old row (``_old``) hasn't."""
+    return (
+        reached.join(_named(old, keys), _equal(keys), "left")
+        .where("_old IS NULL OR (_new | _old) <> _old")
+        .select(*keys, F.expr("_new | coalesce(_old, 0L)").alias(mask))
+    )
+
+
 def grow_masks(
     seeds: DataFrame,
     step: Callable[[DataFrame], DataFrame],
@@ -94,15 +103,24 @@ def grow_masks(
     *,
     within: list[str] | None = None,
     hops: int = HOPS,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """Fixpoint where a fact carries a bit set that only gains bits.
 
     A row enters the next round when it is new or when it has gained bits. ``within`` names key columns that
     ``step`` never changes: only the groups with news are compared. A round takes ``hops`` steps at once.
+    ``known`` is the result of an earlier call that the seeds are new to; it is part of the result.
     """
     merged = F.bit_or(mask).alias(mask)
-    delta = cut(seeds.groupBy(*keys).agg(merged))
-    parts = [delta]
+    first = seeds.groupBy(*keys).agg(merged)
+    parts: list[DataFrame] = []
+    if known is not None:
+        parts.append(known.select(*keys, mask))
+        first = _gained(first.withColumnRenamed(mask, "_new"), parts[0].withColumnRenamed(mask, "_old"), keys, mask)
+    delta, rows = cut_counted(first)
+    if not rows:
+        return known if known is not None else delta
+    parts.append(delta)
     while True:
         front, fronts = delta, []
         for _ in range(hops):
@@ -113,12 +131,7 @@ def grow_masks(
         if within:
             known = known.join(_named(delta.select(*within).distinct(), within), _equal(within), "left_semi")
         old = known.groupBy(*keys).agg(F.bit_or(mask).alias("_old"))
-        gained = (
-            reached.join(_named(old, keys), _equal(keys), "left")
-            .where("_old IS NULL OR (_new | _old) <> _old")
-            .select(*keys, F.expr("_new | coalesce(_old, 0L)").alias(mask))
-        )
-        delta, new_rows = cut_counted(gained)
+        delta, new_rows = cut_counted(_gained(reached, old, keys, mask))
         if new_rows == 0:
             return _union(parts).groupBy(*keys).agg(merged)
         parts.append(delta)

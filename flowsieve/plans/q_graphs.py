@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.operators import block_states, classify, graph, links, taint
+from flowsieve.operators import calls as calls_of
 from flowsieve.operators.compare import order_cases as case_order
 from flowsieve.operators.ordered import row_sequence, with_slice
 from flowsieve.plans import bindings as B
@@ -445,6 +446,99 @@ def taint_whole_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(native.join(state, ["unit", "var"], "left_semi"))
 
 
+def call_tables(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
+    """The tables of ``calls.matched_taint`` for all programs: user calls with one argument, and includes."""
+    units = B.unit_count(spark, sf_dir)
+    ops = numbered_ops(spark, sf_dir)
+    here = F.col("seq").cast("bigint")
+    linked = cut(
+        straight_ops(ops, spark).select(
+            "unit", *with_slice(ops), "seq", "event_type", "rv", "op", "is_source", "is_full", "conditional",
+            F.coalesce("def_seq", -(F.col("rv") + 1)).cast("bigint").alias("parent"),
+            ((F.col("event_type") == "purchase") & (F.col("k") % 9 != 0)).alias("calls_user"),
+            B.user_callee(ops, units).alias("callee"),
+        )
+    )
+    entry = -(F.col("rv") + 1).cast("bigint")
+    own = linked.where("NOT calls_user AND NOT is_full")
+    calls = linked.where("calls_user")
+    arguments = calls.select("unit", here.alias("call"), F.col("parent").alias("var"), "callee", entry.alias("param"))
+    asked = linked.where("parent < 0").select(F.col("unit").alias("callee"), F.col("rv").alias("name"), F.col("parent").alias("param")).distinct()
+    sites = linked.where("op = 'Expr_Include'").select("unit", *with_slice(linked), "seq", (-here).alias("call"), "callee")
+    reads = sites.join(asked, "callee").select("unit", *with_slice(linked), "seq", "call", F.col("name").alias("var")).distinct()
+    writes = ops.where("event_type <> 'error'").select("unit", *with_slice(ops), F.col("wv").alias("var"), "seq")
+    seen = links.reaching_definition(reads, writes, ["unit", "var"])
+    visible = seen.select("unit", "call", F.col("var").alias("name"), F.coalesce("def_seq", -(F.col("var") + 1)).cast("bigint").alias("var"))
+    arguments = cut(arguments.unionByName(calls_of.include_arguments(sites, asked, visible)))
+    return {
+        "flows": own.where("NOT is_source AND event_type <> 'error'").select(
+            "unit", F.col("parent").alias("var"), here.alias("to_var"), taint.sanitizer_bit(names, F.col("conditional")).alias("clears"),
+            F.col("conditional").isNotNull().alias("strict"),
+        ),
+        "arguments": arguments,
+        "outputs": calls.select("unit", here.alias("call"), "callee", here.alias("var")),
+        "returns": linked.where("event_type <> 'error'").groupBy("unit").agg(F.max(here).alias("var")),
+        "sources": own.where("is_source AND conditional IS NULL").select("unit", here.alias("var")),
+        "params": arguments.select(F.col("callee").alias("unit"), F.col("param").alias("var")).distinct(),
+    }
+
+
+# a path has a unit, a root (0: a source inside, below 0: what is handed in) and a value; summaries are paths to the last value
+MATCHED_PARTS = {
+    "fp": FLOW_PARTS,
+    "last": LAST,
+    "fl0": "SELECT unit, var, seq AS to_var FROM fp WHERE event_type <> 'error' AND NOT is_source AND NOT is_full AND NOT is_conditional AND NOT calls_user",
+    "args": "SELECT unit, seq AS call, var, callee_unit AS callee, -(rv + 1) AS param FROM fp WHERE calls_user",
+    "inc": INCLUDED,
+    "given": "SELECT unit, var, callee, param FROM args UNION SELECT unit, var, to_unit, to_var FROM inc",
+    "p(unit, root, var) USING KEY (unit, root, var)": """
+        SELECT DISTINCT CAST(callee AS BIGINT), CAST(param AS BIGINT), CAST(param AS BIGINT) FROM given
+        UNION ALL SELECT unit, 0, seq FROM fp WHERE is_source AND NOT is_full AND NOT is_conditional AND NOT calls_user
+        UNION (
+          SELECT p.unit, p.root, f.to_var FROM p JOIN fl0 f ON f.unit = p.unit AND f.var = p.var
+          UNION SELECT p.unit, p.root, a.call FROM p JOIN args a ON a.unit = p.unit AND a.var = p.var
+            JOIN recurring.p q ON q.unit = a.callee AND q.root = a.param JOIN last l ON l.unit = q.unit AND l.seq = q.var
+          UNION SELECT q.unit, q.root, a.call FROM p s JOIN last l ON l.unit = s.unit AND l.seq = s.var
+            JOIN args a ON a.callee = s.unit AND a.param = s.root JOIN recurring.p q ON q.unit = a.unit AND q.var = a.var
+          UNION SELECT a.unit, 0, a.call FROM p s JOIN last l ON l.unit = s.unit AND l.seq = s.var
+            JOIN args a ON a.callee = s.unit WHERE s.root = 0)""",
+    "reach": "SELECT DISTINCT p.unit, p.root, g.callee, g.param FROM p JOIN given g ON g.unit = p.unit AND g.var = p.var",
+    "filled": """SELECT CAST(callee AS BIGINT) AS unit, CAST(param AS BIGINT) AS var FROM reach WHERE root = 0
+        UNION SELECT r.callee, r.param FROM filled f JOIN reach r ON r.unit = f.unit AND r.root = f.var""",
+}
+
+
+@query(
+    with_ctes(
+        "pf lk",
+        """SELECT unit, var FROM p WHERE root = 0
+           UNION SELECT p.unit, p.var FROM p JOIN filled f ON f.unit = p.unit AND f.var = p.root""",
+        MATCHED_PARTS,
+    )
+)
+def taint_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tainted values of all programs when a return goes back to its own call only."""
+    tables = call_tables(spark, sf_dir, [])
+    plain = tables.pop("flows").where("NOT strict").drop("strict")
+    return calls_of.matched_taint(plain, **tables).select("unit", "var")
+
+
+@query(
+    with_ctes(
+        "pf lk",
+        """SELECT p.unit, p.root AS param FROM p JOIN last l ON l.unit = p.unit AND l.seq = p.var""",
+        MATCHED_PARTS,
+    )
+)
+def unit_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each unit returns: the parameters whose taint comes out, 0 for a source of its own."""
+    tables = call_tables(spark, sf_dir, [])
+    returns = cut(tables["returns"])
+    paths = calls_of.unit_paths(tables["flows"].where("NOT strict").drop("strict"), **{k: v for k, v in tables.items() if k not in ("flows", "returns")}, returns=returns)
+    out = paths.join(returns, ["unit", "var"], "left_semi")
+    return out.select("unit", F.when(F.col("root") == calls_of.GENERATED, 0).otherwise(F.substring("root", 2, 20)).cast("bigint").alias("param"))
+
+
 CONDITIONAL_SQL = ", ".join(f"('{n}')" for n in sorted({*B.CONDITIONAL_NAMES, "sqlite_udf_encode_binary"}))
 
 
