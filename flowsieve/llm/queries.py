@@ -10,6 +10,7 @@ from flowsieve.llm.binary_codes import near_vectors
 from flowsieve.llm.line_runs import drop_repeated_lines
 from flowsieve.llm.merkle_manifest import fold_proof, leaf_digest, merkle_manifest, proof_digest
 from flowsieve.llm.mixing import mix_sources
+from flowsieve.llm.oracles import MERKLE, RUNS
 from flowsieve.llm.periodic_runs import periodic_runs
 from flowsieve.llm.pseudo_likelihood import pseudo_log_likelihood
 from flowsieve.llm.rule_quality import quality
@@ -152,6 +153,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op11_merkle_manifest": MERKLE,
+    "op12_periodic_runs": RUNS,
     "op3_line_runs": r"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
