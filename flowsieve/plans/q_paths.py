@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions import expressions as X
-from flowsieve.operators import compare, guards, paths
+from flowsieve.operators import compare, guards, paths, walks
+from flowsieve.operators.block_states import taint_block_states as taint_block_state
 from flowsieve.operators.ordered import with_slice
 from flowsieve.plans import bindings as B
 from flowsieve.plans.catalog import at, query, sql_list, with_ctes
-from flowsieve.plans.q_graphs import BLOCK_TAINT, COPIES, big, block_taint
+from flowsieve.plans.q_graphs import BLOCK_TAINT, COPIES, STATE_PARTS, big, block_steps, block_taint
 from flowsieve.plans.q_joins import place
 from flowsieve.session import cut
 from flowsieve.sources.policy import SOURCE_VARIABLES
@@ -52,6 +53,117 @@ def enumerate_paths_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("unit", F.array_join("path", ">").alias("path"), "imprecise")
 
 
+# ---- walks with their conditions ----
+
+# the first event of a block decides: clicks and errors test a variable, the least target being the if-edge; views
+# switch over it, with a case per target and the last one as default; signups write one
+WALK_PARTS = {
+    "first_of": f"""SELECT unit, block, event_type, rv % 3 AS var, {at(B.COMPARATORS, 'k')} AS cmp, k % 8 AS const
+        FROM (SELECT *, row_number() OVER (PARTITION BY unit, block ORDER BY ts, event_id) AS n FROM be) WHERE n = 1""",
+    "ranked": "SELECT *, row_number() OVER (PARTITION BY unit, src ORDER BY dst) AS n, count(*) OVER (PARTITION BY unit, src) AS targets FROM bg",
+    "ec": """SELECT r.unit, r.src, r.dst, CASE
+          WHEN event_type IN ('click', 'error') AND n = 1 THEN [{'var': var, 'cmp': cmp, 'const': const}]
+          WHEN event_type IN ('click', 'error') THEN [{'var': var, 'cmp': CASE cmp WHEN '=' THEN '!=' WHEN '!=' THEN '=' WHEN '>' THEN '<='
+            WHEN '<=' THEN '>' WHEN '<' THEN '>=' ELSE '<' END, 'const': const}]
+          WHEN event_type = 'view' AND n < targets THEN [{'var': var, 'cmp': '=', 'const': n}] ELSE [] END AS conds
+        FROM ranked r JOIN first_of f ON f.unit = r.unit AND f.block = r.src""",
+    "wr": "SELECT unit, block, list(DISTINCT wv % 3) AS vars FROM be WHERE event_type = 'signup' GROUP BY ALL",
+    "go": """SELECT ec.*, coalesce(wr.vars, []) AS gone FROM ec LEFT JOIN wr ON wr.unit = ec.unit AND wr.block = ec.dst""",
+}
+
+
+def _contradiction(conds: str) -> str:
+    """SQL: the conditions on some variable leave no whole number."""
+    def low(v: int) -> str:
+        return f"list_max([c.const + CASE WHEN c.cmp = '>' THEN 1 ELSE 0 END FOR c IN {conds} IF c.var = {v} AND c.cmp IN ('=', '>', '>=')])"
+
+    def high(v: int) -> str:
+        return f"list_min([c.const - CASE WHEN c.cmp = '<' THEN 1 ELSE 0 END FOR c IN {conds} IF c.var = {v} AND c.cmp IN ('=', '<', '<=')])"
+
+    def holes(v: int) -> str:
+        return f"len(list_distinct([c.const FOR c IN {conds} IF c.var = {v} AND c.cmp = '!=' AND c.const BETWEEN {low(v)} AND {high(v)}]))"
+
+    return " OR ".join(f"coalesce({low(v)} > {high(v)} OR {holes(v)} >= {high(v)} - {low(v)} + 1, false)" for v in range(3))
+
+
+def walk_tables(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(edges, entries, conditions, writes) of the block graph."""
+    edges = cut(B.block_edges(events))
+    place = Window.partitionBy("unit", "src")
+    ranked = edges.withColumn("n", F.row_number().over(place.orderBy("dst"))).withColumn("targets", F.count(F.lit(1)).over(place))
+    payload = F.struct("event_type", (F.col("rv") % 3).alias("var"), B.pick(B.COMPARATORS, F.col("k")).alias("cmp"), (F.col("k") % 8).alias("const"))
+    first = events.groupBy("unit", F.col("block").alias("src")).agg(F.min_by(payload, F.struct("ts", "event_id")).alias("_f")).select("unit", "src", "_f.*")
+    steps = ranked.select(
+        F.struct("unit", "src", "dst").alias("path"), F.lit(1).alias("seq"), "unit", "src", F.when(F.col("n") == 1, "if").otherwise("else").alias("label")
+    )
+    guards_of = first.where("event_type IN ('click', 'error')").withColumn("same_target", F.lit(False))
+    tested = paths.path_conditions(steps, guards_of).select("path.*", "var", "cmp", "const")
+    case = F.when(F.col("n") == F.col("targets"), "default").otherwise(F.col("n").cast("string"))
+    cases = ranked.groupBy("unit", "src").agg(F.map_from_entries(F.collect_list(F.struct(case, F.col("dst")))).alias("cases"))
+    switched = paths.switch_conditions(first.where("event_type = 'view'").drop("event_type", "cmp", "const").join(cases, ["unit", "src"]))
+    switched = switched.select("unit", "src", "dst", "var", "cmp", F.col("const").cast("int").alias("const"))
+    writes = events.where("event_type = 'signup'").select("unit", "block", (F.col("wv") % 3).alias("var")).distinct()
+    return edges, B.block_entries(events), cut(tested.unionByName(switched)), writes
+
+
+@query(
+    with_ctes(
+        "be bg b0",
+        """SELECT w.unit, array_to_string(w.path, '>') AS path, EXISTS (SELECT 1 FROM tried t WHERE t.unit = w.unit AND t.path = w.path AND t.often >= 2) AS stopped FROM w""",
+        WALK_PARTS
+        | {
+            "w": f"""SELECT unit, block, [block] AS path, []::STRUCT(var INTEGER, cmp VARCHAR, const BIGINT)[] AS conds FROM b0
+                UNION ALL SELECT unit, dst, list_append(path, dst), [c FOR c IN met IF NOT list_contains(gone, c.var)]
+                FROM (SELECT w.unit, g.dst, w.path, g.gone, list_concat(w.conds, g.conds) AS met FROM w JOIN go g ON g.unit = w.unit AND g.src = w.block
+                      WHERE len([b FOR b IN w.path IF b = g.dst]) < 2) WHERE NOT ({_contradiction('met')})""",
+            "tried": f"""SELECT unit, path, often FROM (SELECT w.unit, w.path, len([b FOR b IN w.path IF b = g.dst]) AS often, list_concat(w.conds, g.conds) AS met
+                FROM w JOIN go g ON g.unit = w.unit AND g.src = w.block) WHERE NOT ({_contradiction('met')})""",
+        },
+    )
+)
+def feasible_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks that enter each block at most twice, their conditions met on the way."""
+    found = walks.feasible_walks(*walk_tables(B.block_events(spark, sf_dir)), max_loop=2)
+    return walks.walk_texts(found).select("unit", "path", "stopped")
+
+
+FEASIBLE_PARTS = WALK_PARTS | {
+    "fs": f"""SELECT unit, block, []::STRUCT(var INTEGER, cmp VARCHAR, const BIGINT)[] AS conds FROM b0
+        UNION SELECT unit, dst, list_sort(list_distinct([c FOR c IN met IF NOT list_contains(gone, c.var)]))
+        FROM (SELECT s.unit, g.dst, g.gone, list_concat(s.conds, g.conds) AS met FROM fs s JOIN go g ON g.unit = s.unit AND g.src = s.block)
+        WHERE NOT ({_contradiction('met')})""",
+    "fe": f"""SELECT DISTINCT unit, src, dst FROM (SELECT s.unit, g.src, g.dst, list_concat(s.conds, g.conds) AS met
+        FROM fs s JOIN go g ON g.unit = s.unit AND g.src = s.block) WHERE NOT ({_contradiction('met')})""",
+}
+
+
+@query(with_ctes("be bg b0", "SELECT unit, src, dst FROM fe", FEASIBLE_PARTS))
+def feasible_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that some feasible walk of any length takes."""
+    return walks.feasible_states(*walk_tables(B.block_events(spark, sf_dir))).edges
+
+
+@query(
+    with_ctes(
+        "be bg b0",
+        "SELECT DISTINCT unit, block, CAST(var AS BIGINT) AS var FROM st WHERE i = 1 AND name = ''",
+        FEASIBLE_PARTS
+        | STATE_PARTS
+        | {
+            "st": STATE_PARTS["st"]
+            .replace("JOIN bg e", "JOIN fe e")
+            .replace("FROM ops, names WHERE", "FROM ops, names WHERE (unit, block) IN (SELECT (unit, block) FROM fs) AND")
+        },
+    )
+)
+def taint_feasible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tainted variables at block entries when sources, instructions and edges of infeasible blocks don't count."""
+    events = B.block_events(spark, sf_dir)
+    graph = walks.feasible_states(*walk_tables(events))
+    state = taint_block_state(graph.keep(block_steps(spark, sf_dir, events)), graph.edges)
+    return big(state.select("unit", "block", "var"), "var")
+
+
 # a guard per click and error; path = unit and day
 GUARD = f"""SELECT unit, seq, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, k, k % 10 AS var, {at(B.COMPARATORS, 'k')} AS cmp, k AS const
     FROM pe WHERE event_type IN ('click', 'error')"""
