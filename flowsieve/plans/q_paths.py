@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions import expressions as X
-from flowsieve.operators import compare, guards, paths, walks
+from flowsieve.operators import compare, guards, links, paths, symbolic, walks
 from flowsieve.operators.block_states import taint_block_states as taint_block_state
-from flowsieve.operators.ordered import with_slice
+from flowsieve.operators.ordered import row_sequence, with_slice
 from flowsieve.plans import bindings as B
 from flowsieve.plans.catalog import at, query, sql_list, with_ctes
 from flowsieve.plans.q_graphs import BLOCK_TAINT, COPIES, STATE_PARTS, big, block_steps, block_taint
@@ -323,6 +323,54 @@ def symbolic_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(paths.symbolic_expression(shaped), "expr")
 
 
+def two_operands(ops: DataFrame) -> DataFrame:
+    """Instructions of the events as rows of ``symbolic_values``: an operation joins what it reads with what it overwrites."""
+    linked = B.program_links(ops)
+    written = linked.select("unit", *with_slice(linked), "seq", F.col("wv").alias("var"))
+    defined = ops.where("event_type <> 'error'").select("unit", *with_slice(ops), "seq", F.col("wv").alias("var"))
+    over = links.reaching_definition(written, defined, ["unit", "var"]).select("unit", "seq", F.col("def_seq").alias("over_seq"))
+    name = F.when(F.col("op").startswith("Expr_BinaryOp_"), F.substring_index("op", "_", -1))
+    operator = F.when(name.isin(list(X.SYMBOLS)), name)
+    passes = (F.col("event_type") == "click") & ((F.col("op") == "Expr_Assign") | operator.isNotNull())
+
+    def operand(seq: str, var: str) -> Column:
+        return F.struct(F.col(seq).alias("def_seq"), F.when(F.col(seq).isNull(), F.concat(F.lit("e"), F.col(var))).alias("leaf"))
+
+    both = F.array(operand("def_seq", "rv"), operand("over_seq", "wv"))
+    return linked.join(over, ["unit", "seq"]).select(
+        "unit", "seq", operator.alias("operator"),
+        F.when(~F.coalesce(passes, F.lit(False)), F.concat(F.lit("s"), "seq")).alias("leaf"),
+        F.when(operator.isNotNull(), both).otherwise(F.array(operand("def_seq", "rv"))).alias("operands"),
+    )
+
+
+@query(
+    with_ctes(
+        "po lk",
+        "SELECT unit, CAST(seq AS BIGINT) AS seq, expr FROM e",
+        {
+            "sg": f"SELECT * FROM (VALUES {SIGNS}) t(name, sign)",
+            "x": """SELECT p.unit, p.seq, lk.def_seq, w.seq AS over_seq, p.rv, p.wv, s.sign, p.event_type = 'click' AND (p.op = 'Expr_Assign' OR s.sign IS NOT NULL) AS passes
+                FROM po p JOIN lk ON lk.unit = p.unit AND lk.seq = p.seq LEFT JOIN sg s ON p.op = 'Expr_BinaryOp_' || s.name
+                ASOF LEFT JOIN (SELECT unit, wv, seq FROM pe WHERE event_type <> 'error') w ON w.unit = p.unit AND w.wv = p.wv AND p.seq > w.seq""",
+            "e(unit, seq, expr) USING KEY (unit, seq)": """
+                SELECT unit, seq, CASE WHEN NOT passes THEN 's' || seq WHEN sign IS NULL THEN 'e' || rv ELSE '((e' || rv || ') ' || sign || ' (e' || wv || '))' END
+                FROM x WHERE NOT passes OR (def_seq IS NULL AND (sign IS NULL OR over_seq IS NULL))
+                UNION (
+                  SELECT x.unit, x.seq, CASE WHEN x.sign IS NULL THEN a.expr ELSE '((' || coalesce(a.expr, 'e' || x.rv) || ') ' || x.sign || ' (' || coalesce(b.expr, 'e' || x.wv) || '))' END
+                  FROM (SELECT DISTINCT x.* FROM e JOIN x ON x.unit = e.unit AND x.passes AND (x.def_seq = e.seq OR (x.sign IS NOT NULL AND x.over_seq = e.seq))) x
+                  LEFT JOIN recurring.e a ON a.unit = x.unit AND a.seq = x.def_seq LEFT JOIN recurring.e b ON b.unit = x.unit AND b.seq = x.over_seq
+                  WHERE (x.def_seq IS NULL OR a.expr IS NOT NULL) AND (x.sign IS NULL OR x.over_seq IS NULL OR b.expr IS NOT NULL))""",
+        },
+    )
+)
+def symbolic_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of all instructions when both sides of an operation are variables, written out from the shared table."""
+    found = symbolic.symbolic_values(two_operands(B.program_ops(B.program_events(spark, sf_dir))))
+    texts = symbolic.expression_texts(found, found.values)
+    return place(found.values.join(texts, "id"), "expr")
+
+
 FOLDED = ["Plus", "Minus", "Mul", "Greater", "SmallerOrEqual", "Equal"]
 
 
@@ -474,6 +522,39 @@ def render_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combined(spark, sf_dir).select("guard_id", F.col("var").cast("bigint").alias("var"), text.alias("text"))
 
 
+# the events of a unit and day make a tree, number n below number n // 2; leaves test a type
+TREE = f"""SELECT *, row_number() OVER (PARTITION BY unit, day ORDER BY ts, event_id) AS node, count(*) OVER (PARTITION BY unit, day) AS nodes FROM (
+    SELECT event_id, ts, user_id AS unit, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, k, k % 2 AS var,
+      ({PREDICATE_TYPES})[CAST(k % 14 AS INTEGER) + 1] AS tested_type, k % 5 = 0 AS negated FROM ev)"""
+# an inner node joins the two sides that speak of a variable; a side that does not is left out
+TREE_LEVEL = """SELECT unit, day, node, var, CASE WHEN negated THEN 'not(' || body || ')' ELSE body END AS text FROM (
+      SELECT t.unit, t.day, t.node, t.negated, t.var, 'type(LITERAL(' || chr(39) || t.tested_type || chr(39) || '))' AS body
+      FROM tree t WHERE 2 * t.node > t.nodes AND {here}
+      UNION ALL
+      SELECT t.unit, t.day, t.node, t.negated, d.var,
+        CASE WHEN count(*) = 2 THEN '(' || arg_min(d.text, d.node) || CASE WHEN t.k % 3 = 0 THEN '|' ELSE '&' END || arg_max(d.text, d.node) || ')' ELSE any_value(d.text) END
+      FROM tree t JOIN {below} d ON d.unit = t.unit AND d.day = t.day AND d.node // 2 = t.node WHERE 2 * t.node <= t.nodes AND {here}
+      GROUP BY t.unit, t.day, t.node, t.negated, t.k, d.var)"""
+TREE_PARTS = {"tree": TREE, "lv8": "SELECT 0 AS unit, '' AS day, 0 AS node, 0 AS var, '' AS text WHERE false"} | {
+    f"lv{d}": TREE_LEVEL.format(here=f"t.node >= {2**d} AND t.node < {2 ** (d + 1)}", below=f"lv{d + 1}") for d in range(7, -1, -1)
+}
+
+
+@query(with_ctes("ev", "SELECT unit, day, CAST(var AS BIGINT) AS var, text FROM lv0", TREE_PARTS))
+def guard_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested conditions of a day, what they say about the types of their variables."""
+    events = B.decode_events(B.table(spark, sf_dir, "events")).withColumn("day", F.to_date("ts").cast("string"))
+    numbered = row_sequence(events, ["unit", "day"], ["ts", "event_id"], "node")
+    sizes = numbered.groupBy("unit", "day").agg(F.max("node").alias("nodes"))
+    is_leaf = 2 * F.col("node") > F.col("nodes")
+    nodes = numbered.join(sizes, ["unit", "day"]).select(
+        "unit", "day", "node", F.when(F.col("node") > 1, F.floor(F.col("node") / 2).cast("int")).alias("parent"), F.col("node").alias("pos"),
+        F.when(F.col("k") % 3 == 0, "or").otherwise("and").alias("mode"), F.when(is_leaf, F.col("k") % 2).alias("var"),
+        F.when(is_leaf, X.guard_type(B.pick(list(X.TYPE_PREDICATES), F.col("k")))).alias("tested_type"), (F.col("k") % 5 == 0).alias("negated"),
+    )
+    return big(guards.guard_trees(nodes, ["unit", "day"]).select("unit", "day", "var", "text"), "var")
+
+
 # ---- comparison ----
 
 
