@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions import text as T
 from flowsieve.functions.operands import render_operand
 from flowsieve.operators import classify, taint
+from flowsieve.pipeline import analyse
 from flowsieve.plans import bindings as B
 from flowsieve.plans import profiles
 from flowsieve.plans.catalog import query, with_ctes
@@ -121,6 +122,77 @@ def read_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return big(edges.select("program", "unit", "src", "label", "dst"), "src", "dst")
 
 
+# ---- a corpus from dumps to findings ----
+
+
+def call_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One dump per fifty events: odd blocks are ``main``, even ones a function that it calls with one argument."""
+    events = B.decode_events(B.table(spark, sf_dir, "events"))
+    kind, k = F.col("event_type"), F.col("k")
+
+    def value(column: Column) -> Column:
+        return F.struct(column.cast("string").alias("id"), F.concat(F.lit("v"), column.cast("string")).alias("var_name"))
+
+    def op(name: Column | str, *more: Column) -> Column:
+        return F.to_json(F.struct((F.lit(name) if isinstance(name, str) else name).alias("op"), *more, *place))
+
+    def call(name: Column | str) -> Column:
+        text = F.concat(F.lit("LITERAL('"), F.lit(name) if isinstance(name, str) else name, F.lit("')"))
+        return op("Expr_FuncCall", F.struct(text.alias("value")).alias("name"), F.array(read).alias("args"), write.alias("result"))
+
+    read, write = value(F.col("rv")), value(F.col("wv"))
+    place = [F.lit("f.php").alias("file"), F.when(k % 7 == 0, "None").otherwise(k.cast("string")).alias("startLine"), k.cast("string").alias("endLine")]
+    number = (F.floor(F.col("event_id") % 50 / 10) + 1).cast("int")
+    is_main = number % 2 == 1
+    body = (
+        F.when(kind == "signup", call("getenv"))
+        .when(kind == "click", op("Expr_Assign", write.alias("var"), read.alias("expr")))
+        .when((kind == "view") & (k % 4 == 0), op("Expr_Cast_Int", read.alias("expr"), write.alias("result")))
+        .when(kind == "view", call(F.when(is_main, "work").otherwise("trim")))
+        .when(kind == "purchase", op("Terminal_Echo", read.alias("expr")))
+        .otherwise(op("Stmt_JumpIf", read.alias("cond"), number.alias("if"), number.alias("else")))
+    )
+    program = F.floor(F.col("event_id") / 50)
+    rows = events.select(program.alias("_p"), is_main.alias("_main"), number.alias("block"), F.struct("event_id", body.alias("body")).alias("_op"))
+    blocks = rows.groupBy("_p", "_main", "block").agg(F.array_sort(F.collect_list("_op")).alias("_ops"))
+    opening, between, closing = F.lit('{"blockId":'), F.lit(',"parentBlock":[],"blocks":['), F.lit("]}")
+    texts = blocks.select("_p", "_main", F.struct("block", F.concat(opening, "block", between, F.array_join(F.transform("_ops", lambda o: o["body"]), ","), closing).alias("text")).alias("_b"))
+    units = texts.groupBy("_p").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(side, F.col("_b")))), lambda b: b["text"]), ",").alias(name) for side, name in ((F.col("_main"), "_in_main"), (~F.col("_main"), "_in_work"))])
+    head = '{"blockId":1,"parentBlock":[],"blocks":[{"op":"Expr_Param","name":{"value":"v1"},"result":{"id":"1","var_name":"v1"}},{"op":"Terminal_Return","expr":{"id":"0","var_name":"v0"}}]}'
+    work = F.concat_ws(",", F.lit(head), F.when(F.col("_in_work") != "", F.col("_in_work")))
+    whole = F.concat(F.lit('{"main()":['), "_in_main", F.lit('],"work()":['), work, F.lit("]}"))
+    return units.select(F.concat(F.lit("p#"), "_p", F.lit(".php")).alias("program"), whole.alias("text"))
+
+
+@query(
+    with_ctes(
+        "ev",
+        """SELECT program, unit, 'f.php' AS file, start_line, 'XSS' AS category, '*Dangerous: Tainted Input(s). Possible Cross-Site Scripting*' AS message
+           FROM (SELECT d.*, row_number() OVER (PARTITION BY d.program, start_line ORDER BY block, event_id) AS n FROM d
+             JOIN (SELECT program, 'main' AS unit, var FROM m UNION SELECT program, 'work', var FROM w WHERE root = '!'
+                   UNION SELECT w.program, 'work', w.var FROM w WHERE root = 'v1' AND program IN (SELECT d.program FROM d JOIN m ON m.program = d.program AND m.var = d.rv WHERE d.calls)) t
+             ON t.program = d.program AND t.unit = d.unit AND t.var = d.rv WHERE event_type = 'purchase') WHERE n = 1""",
+        {
+            "d": f"""SELECT *, unit = 'main' AND event_type = 'view' AND k % 4 <> 0 AS calls FROM (
+                SELECT event_id, event_type, k, k % 10 AS rv, k // 10 AS wv, 'p#' || ({PROGRAM}) || '.php' AS program, {BLOCK} AS block,
+                  CASE WHEN ({BLOCK}) % 2 = 1 THEN 'main' ELSE 'work' END AS unit, CASE WHEN k % 7 = 0 THEN 'None' ELSE CAST(k AS VARCHAR) END AS start_line FROM ev)""",
+            "f": """SELECT program, unit, rv, wv FROM d WHERE event_type IN ('click', 'signup') OR (event_type = 'view' AND k % 4 <> 0 AND NOT calls)""",
+            "w": """SELECT DISTINCT program, 'v1' AS root, 1 AS var FROM d UNION SELECT program, '!', wv FROM d WHERE event_type = 'signup' AND unit = 'work'
+                UNION SELECT w.program, w.root, f.wv FROM w JOIN f ON f.program = w.program AND f.unit = 'work' AND f.rv = w.var""",
+            "m": """SELECT program, wv AS var FROM d WHERE event_type = 'signup' AND unit = 'main'
+                UNION SELECT d.program, d.wv FROM d JOIN w ON w.program = d.program AND w.root = '!' AND w.var = 0 WHERE d.calls
+                UNION (SELECT m.program, f.wv FROM m JOIN f ON f.program = m.program AND f.unit = 'main' AND f.rv = m.var
+                  UNION SELECT m.program, d.wv FROM m JOIN d ON d.program = m.program AND d.rv = m.var AND d.calls
+                    JOIN w ON w.program = d.program AND w.root = 'v1' AND w.var = 0)""",
+        },
+    )
+)
+def analyse_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all programs, from their dumps in one call."""
+    facts = dumps.read_graph_corpus(cut(call_dumps(spark, sf_dir)))
+    return analyse(facts, policy.load_policy(spark), policy.category_names(spark))
+
+
 # ---- policy ----
 
 POLICY_SQL = ", ".join(f"('{r[0]}', '{r[1]}', '{r[3]}', 0)" for r in policy.policy_rows())

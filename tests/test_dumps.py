@@ -175,3 +175,68 @@ def test_programs_do_not_mix(spark):
     assert ("p1#main", 2, 1) in reached and not any(b == 3 for _, b, _ in reached)
     found = analyse(both, policy.site_policy(spark), policy.category_names(spark)).collect()
     assert [(r["program"], r["unit"], r["start_line"]) for r in found] == [("p1", "show", "9")]
+
+
+def program(**units):
+    return json.dumps({f"{name}()": [{"blockId": 1, "parentBlock": [], "blocks": ops}] for name, ops in units.items()})
+
+
+def found_in(spark, dumps, **options):
+    facts = read_graph_corpus(spark.createDataFrame(dumps, "program string, text string"))
+    found = analyse(facts, policy.site_policy(spark), policy.category_names(spark), **options).collect()
+    return sorted((r["program"] or "", r["unit"], r["start_line"]) for r in found)
+
+
+def call(name, line, result, *args):
+    return op("Expr_FuncCall", line, name=lit(f"'{name}'"), args=list(args), result=var(result))
+
+
+INPUT = op("Expr_ArrayDimFetch", 1, var=var(90, "_GET"), dim=lit("'x'"), result=var(1, "a"))
+SAME = [op("Expr_Param", 20, name=lit("'x'"), result=var(50, "x")), op("Terminal_Return", 21, expr=var(50, "x"))]
+
+
+def test_a_return_reaches_its_own_caller_only(spark):
+    main = [INPUT, call("same", 2, 2, var(1, "a")), op("Terminal_Echo", 3, expr=var(2))]
+    clean = [call("same", 12, 62, lit("'text'")), op("Terminal_Echo", 13, expr=var(62))]
+    assert found_in(spark, [("p", program(main=main, other=clean, same=SAME))]) == [("p", "main", "3")]
+
+
+def test_names_of_programs_are_kept(spark):
+    main = [INPUT, op("Terminal_Echo", 3, expr=var(1, "a"))]
+    names = ["a#b.php", "a", "a\\#b", None]
+    got = found_in(spark, [(name, program(main=main, **{"b.php": SAME})) for name in names])
+    assert got == sorted((name or "", "main", "3") for name in names)
+
+
+def test_native_calls_and_includes(spark):
+    push = [INPUT, call("array_push", 2, 3, var(7, "list"), var(1, "a")), op("Terminal_Echo", 3, expr=var(7, "list"))]
+    assert found_in(spark, [("p", program(main=push))]) == [("p", "main", "3")]
+    hand = [INPUT, op("Expr_Include", 2, expr=lit("'lib/show.php'"), result=var(4))]
+    shown = [op("Terminal_Echo", 30, expr=var(33, "a")), op("Terminal_Echo", 31, expr=var(34, "other"))]
+    dumps = [("p", program(main=hand, **{"main_show.php": shown}))]
+    assert found_in(spark, dumps) == [("p", "main_show.php", "30")]
+    assert found_in(spark, dumps, follow_includes=False) == []
+
+
+def test_a_name_that_is_sink_and_sanitizer_or_source(spark):
+    """A tainted argument counts whatever the sink makes of it, and a source is no finding by itself."""
+    body = [INPUT, call("readlink", 2, 5, var(1, "a")), op("Terminal_Echo", 3, expr=var(5)), call("file_get_contents", 4, 6, lit("'f'")), op("Terminal_Echo", 5, expr=var(6))]
+    assert found_in(spark, [("p", program(main=body))]) == [("p", "main", "2"), ("p", "main", "5")]
+
+
+def test_sanitizers_over_merges(spark):
+    """A merged value counts as escaped only if both of its operands are."""
+    def merged(second):
+        return [
+            INPUT, call("addslashes", 2, 5, var(1, "a")), second,
+            op("Phi", 4, vars=[var(5), var(6)], result=var(7)), call("mysql_query", 5, 8, var(7)),
+        ]
+
+    both = merged(call("addslashes", 3, 6, var(1, "a")))
+    one = merged(op("Expr_Assign", 3, var=var(6), expr=var(1, "a"), result=var(9)))
+    assert found_in(spark, [("p", program(main=both)), ("q", program(main=one))], strict=True) == [("q", "main", "5")]
+
+
+def test_no_programs(spark):
+    assert found_in(spark, []) == []
+    assert found_in(spark, [("p", program(main=[INPUT]))]) == []
