@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.operators.fixpoint import follow_pointers, grow
 from flowsieve.operators.ordered import add_range_slices, row_sequence
-from flowsieve.operators.spread import MAX_BLOCKS, breadth_first, flood, spread
+from flowsieve.operators.spread import WORD, breadth_first, flood, spread
 from flowsieve.session import cut, cut_counted
 
 
@@ -182,7 +182,7 @@ def _renamed(table: DataFrame, renames: DataFrame, column: str) -> DataFrame:
 
 
 def place_merges(
-    reads: DataFrame, defs: DataFrame, edges: DataFrame, max_blocks: int = MAX_BLOCKS
+    reads: DataFrame, defs: DataFrame, edges: DataFrame, bits: int = WORD
 ) -> DataFrame:
     """Merge operands ``(unit, block, var, operand)`` that the reads ask for.
 
@@ -196,7 +196,7 @@ def place_merges(
     back = cut(_backward(edges).distinct())
     written = cut(defs.select(*keys).distinct())
     asking = back.select("unit", F.col("block").alias("src"), F.col("_to").alias("dst"))
-    asked = cut(flood(reads, asking, written, ["var"], max_blocks))
+    asked = cut(flood(reads, asking, written, ["var"], bits=bits))
     parents = back.groupBy("unit", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("_to").alias("_one"))
     asked = cut(asked.join(parents, ["unit", "block"], "left").withColumn("_n", F.coalesce("_n", F.lit(0))))
     # what reaches the end of a predecessor: its own write, else what enters it

@@ -1,9 +1,8 @@
 """Facts carried along the edges of many graphs at once.
 
-Most units are small: a few dozen blocks. Such a unit's graph fits into one row, a
-bit mask of successors per block, and its closure is a column expression, so all
-small units are done in one pass. Units above the bounds go through the loop of
-``grow``. The bounds are checked by counting before anything is collected.
+Facts of a block that differ only in what they are about (a variable) are one row: the variables of a unit are
+numbered, and a row holds the bits of a word of them, so a unit with more has more rows per block. Words run along the
+edges until no row gains a bit; a round joins only rows that did. One way for units of any size.
 """
 
 from __future__ import annotations
@@ -11,227 +10,100 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.operators.fixpoint import grow
+from flowsieve.operators.fixpoint import grow, grow_masks
+from flowsieve.operators.ordered import add_range_slices, row_sequence
 from flowsieve.session import cut
 
-# a mask has 63 usable bits
-MAX_BLOCKS = 62
-MAX_EDGES = 2_000
-MAX_FACTS = 100_000
+#: Bits of a word; a long has 63 that are not the sign.
+WORD = 62
+#: Steps that one round follows.
+HOPS = 5
 
 
-def _bit(place: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place.cast("int"))
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null being equal to null; the columns of ``right`` that are no keys are added."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(named, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _has(mask: Column, place: Column) -> Column:
-    return F.getbit(mask, place.cast("int")) == 1
+def _numbers(facts: DataFrame, extra: list[str], bits: int) -> DataFrame:
+    """(unit, *extra, word, place): a place in a word for all that the facts of a unit are about."""
+    distinct = add_range_slices(facts.select("unit", *extra).distinct(), extra)
+    numbered = row_sequence(distinct, ["unit"], extra, "_n")
+    at = F.col("_n") - 1
+    return cut(numbered.select("unit", *extra, F.floor(at / bits).cast("int").alias("word"), (at % bits).cast("int").alias("place")))
 
 
-def pack_units(edges: DataFrame, facts: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """A row per small unit: sorted ``blocks`` and, for each, the mask of its successors."""
-    one, none = F.lit(1), F.lit(0)
-    sizes = (
-        edges.select("unit", one.alias("e"), none.alias("f"))
-        .unionByName(facts.select("unit", none.alias("e"), one.alias("f")))
-        .groupBy("unit")
-        .agg(F.sum("e").alias("e"), F.sum("f").alias("f"))
-    )
-    small = sizes.where((F.col("e") > 0) & (F.col("e") <= MAX_EDGES) & (F.col("f") <= MAX_FACTS)).select("unit")
-    listed = (
-        edges.join(small, "unit", "left_semi")
-        .groupBy("unit")
-        .agg(F.collect_set(F.struct("src", "dst")).alias("_edges"))
-        .withColumn("blocks", F.array_sort(F.array_distinct(F.concat("_edges.src", "_edges.dst"))))
-        .where(F.size("blocks") <= max_blocks)
-    )
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
 
-    def successors(block: Column) -> Column:
-        mine = F.filter("_edges", lambda e: e["src"] == block)
-        return F.aggregate(
-            mine,
-            F.lit(0).cast("bigint"),
-            lambda mask, e: mask.bitwiseOR(_bit(F.array_position("blocks", e["dst"]) - 1)),
-        )
-
-    return cut(listed.select("unit", "blocks", F.transform("blocks", successors).alias("masks")))
-
-
-def closure(masks: Column) -> Column:
-    """Masks of all blocks reached in one step or more."""
-    return F.aggregate(
-        F.sequence(F.lit(0), F.size(masks) - 1),
-        masks,
-        lambda rows, k: F.transform(
-            rows, lambda row: F.when(_has(row, k), row.bitwiseOR(F.get(rows, k))).otherwise(row)
-        ),
-    )
 
+def _words(facts: DataFrame, numbers: DataFrame, extra: list[str], name: str) -> DataFrame:
+    held = _same(facts, numbers, ["unit", *extra])
+    return held.groupBy("unit", "block", "word").agg(F.bit_or(_bit(F.col("place"))).alias(name))
 
-def _members(mask: Column) -> Column:
-    """Blocks whose bit is set."""
-    return F.filter("blocks", lambda _, i: _has(mask, i))
 
+def _carried(facts: DataFrame, links: DataFrame, extra: list[str], bits: int, stops: DataFrame | None = None) -> DataFrame:
+    """``facts`` with all that ``links(unit, block, _to)`` make of them; ``stops`` are not entered."""
+    numbers = _numbers(facts, extra, bits)
+    barred = cut(_words(stops, numbers, extra, "_barred")) if stops is not None else None
 
-def carry(facts: DataFrame, reach: DataFrame, extra: list[str]) -> DataFrame:
-    """Facts of packed units at every block that reaches theirs; ``reach`` has the closure."""
-    keys = ["unit", "block", *extra]
-    place = F.array_position("blocks", F.col("block"))
-    held = (
-        facts.join(reach, "unit")
-        .withColumn("_place", place)
-        .withColumn("_lone", F.when(F.col("_place") == 0, F.col("block")))
-        .groupBy("unit", *extra, "_lone")
-        .agg(
-            F.bit_or(F.when(F.col("_place") > 0, _bit(F.col("_place") - 1)).otherwise(F.lit(0).cast("bigint"))).alias("_mask"),
-            F.first("blocks").alias("blocks"),
-            F.first("reach").alias("reach"),
-        )
-    )
-    taking = F.filter(
-        "blocks",
-        lambda _, i: F.get("reach", i).bitwiseOR(_bit(i)).bitwiseAND(F.col("_mask")) != 0,
-    )
-    # a block without edges keeps what it has
-    return held.select(
-        "unit", *extra, F.explode(F.when(F.col("_lone").isNull(), taking).otherwise(F.array("_lone"))).alias("block")
-    ).select(*keys)
+    def step(delta: DataFrame) -> DataFrame:
+        moved = delta.join(links, ["unit", "block"]).select("unit", F.col("_to").alias("block"), "word", "bits")
+        if barred is None:
+            return moved
+        open_bits = F.expr("bits & ~coalesce(_barred, 0L)").alias("bits")
+        return moved.join(barred, ["unit", "block", "word"], "left").select("unit", "block", "word", open_bits).where("bits <> 0")
+
+    done = grow_masks(_words(facts, numbers, extra, "bits"), step, ["unit", "block", "word"], "bits", within=["unit"], hops=HOPS)
+    places = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda place: F.getbit("bits", place) == 1)
+    spread_out = done.select("unit", "block", "word", F.explode(places).alias("place"))
+    return spread_out.join(numbers, ["unit", "word", "place"]).select("unit", "block", *extra)
 
 
-def against_flow(edges: DataFrame, backward: bool = False) -> DataFrame:
-    """A block takes the facts of the blocks it points at, so edges point against the flow."""
-    links = edges if backward else edges.select("unit", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return cut(links.select("unit", "src", "dst").distinct())
+def _links(edges: DataFrame, backward: bool = False) -> DataFrame:
+    start, to = ("dst", "src") if backward else ("src", "dst")
+    return cut(edges.select("unit", F.col(start).alias("block"), F.col(to).alias("_to")).distinct())
 
 
-def spread(
-    facts: DataFrame, edges: DataFrame, extra: list[str], *, backward: bool = False, max_blocks: int = MAX_BLOCKS
-) -> DataFrame:
+def spread(facts: DataFrame, edges: DataFrame, extra: list[str], *, backward: bool = False, bits: int = WORD) -> DataFrame:
     """``facts(unit, block, *extra)`` plus the same facts at every block they reach.
 
     Forward a fact goes from ``src`` to ``dst``, backward the other way.
     """
-    keys = ["unit", "block", *extra]
-    links, facts = against_flow(edges, backward), cut(facts.select(*keys).distinct())
-    packs = pack_units(links, facts, max_blocks)
-    done = carry(facts, packs.withColumn("reach", closure(F.col("masks"))).drop("masks"), extra)
-    others = facts.join(packs.select("unit"), "unit", "left_anti")
-    large = links.join(packs.select("unit"), "unit", "left_anti")
-    if large.isEmpty():
-        return done.unionByName(others)
-    flow = cut(large).select("unit", F.col("dst").alias("block"), F.col("src").alias("_to"))
-    grown = grow(
-        others,
-        lambda delta: delta.join(flow, ["unit", "block"]).select("unit", F.col("_to").alias("block"), *extra),
-        keys,
+    links, facts = _links(edges, backward), cut(facts.select("unit", "block", *extra).distinct())
+    if extra:
+        return _carried(facts, links, extra, bits)
+    return grow(
+        facts,
+        lambda delta: delta.join(links, ["unit", "block"]).select("unit", F.col("_to").alias("block")),
+        ["unit", "block"],
         within=["unit"],
+        hops=HOPS,
     )
-    return done.unionByName(grown)
 
 
-def flood(
-    facts: DataFrame, edges: DataFrame, stops: DataFrame, extra: list[str], max_blocks: int = MAX_BLOCKS
-) -> DataFrame:
+def flood(facts: DataFrame, edges: DataFrame, stops: DataFrame, extra: list[str], *, bits: int = WORD) -> DataFrame:
     """``facts(unit, block, *extra)`` carried along edges, but never into a block of ``stops``.
 
     ``stops`` has the same columns: what holds a fact back differs by ``extra``. A fact
     that starts at a stop is still carried on from there.
     """
     keys = ["unit", "block", *extra]
-    links, facts = cut(edges.select("unit", "src", "dst").distinct()), cut(facts.select(*keys).distinct())
-    stops = cut(stops.select(*keys).distinct())
-    packs = pack_units(links, facts.unionByName(stops), max_blocks)
-    zero = F.lit(0).cast("bigint")
-    place = F.array_position("blocks", F.col("block"))
-    bit = F.when(place > 0, _bit(place - 1)).otherwise(zero)
-    marked = facts.withColumn("_stop", F.lit(False)).unionByName(stops.withColumn("_stop", F.lit(True)))
-    held = (
-        marked.join(packs, "unit")
-        .withColumn("_lone", F.when((place == 0) & ~F.col("_stop"), F.col("block")))
-        .groupBy("unit", *extra, "_lone")
-        .agg(
-            F.bit_or(F.when(F.col("_stop"), zero).otherwise(bit)).alias("_start"),
-            F.bit_or(F.when(F.col("_stop"), bit).otherwise(zero)).alias("_stops"),
-            F.first("blocks").alias("blocks"),
-            F.first("masks").alias("masks"),
-        )
-    )
+    return _carried(cut(facts.select(*keys).distinct()), _links(edges), extra, bits, stops.select(*keys).distinct())
 
-    def onward(acc: Column, _: Column) -> Column:
-        barred = acc["seen"].bitwiseOR(F.col("_stops"))
-        front = _successors(acc["front"]).bitwiseAND(F.bitwise_not(barred))
-        return F.struct(acc["seen"].bitwiseOR(front).alias("seen"), front.alias("front"))
-
-    start = F.struct(F.col("_start").alias("seen"), F.col("_start").alias("front"))
-    seen = F.aggregate(F.sequence(F.lit(1), F.size("blocks")), start, onward)["seen"]
-    reached = held.withColumn("_seen", seen)
-    found = F.when(F.col("_lone").isNull(), _members(F.col("_seen"))).otherwise(F.array("_lone"))
-    done = reached.select("unit", *extra, F.explode(found).alias("block")).select(*keys)
-    others = facts.join(packs.select("unit"), "unit", "left_anti")
-    large = links.join(packs.select("unit"), "unit", "left_anti")
-    if large.isEmpty():
-        return done.unionByName(others)
-    flow = cut(large).select("unit", F.col("src").alias("block"), F.col("dst").alias("_to"))
 
-    def step(delta: DataFrame) -> DataFrame:
-        moved = delta.join(flow, ["unit", "block"]).select("unit", F.col("_to").alias("block"), *extra)
-        return moved.join(stops, keys, "left_anti")
-
-    return done.unionByName(grow(others, step, keys, within=["unit"]))
-
-
-def _successors(front: Column) -> Column:
-    """Mask of the successors of all blocks of a mask."""
-    return F.aggregate(
-        F.sequence(F.lit(0), F.size("masks") - 1),
-        F.lit(0).cast("bigint"),
-        lambda m, i: F.when(_has(front, i), m.bitwiseOR(F.get("masks", i))).otherwise(m),
-    )
-
-
-def breadth_first(entries: DataFrame, edges: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def breadth_first(entries: DataFrame, edges: DataFrame) -> DataFrame:
     """Blocks reached from ``entries(unit, block)`` with the number of steps as ``level``."""
-    links, entries = cut(edges.select("unit", "src", "dst").distinct()), cut(entries.select("unit", "block").distinct())
-    packs = pack_units(links, entries, max_blocks)
-    zero = F.lit(0).cast("bigint")
-    place = F.array_position("blocks", F.col("block"))
-    started = (
-        entries.join(packs, "unit")
-        .withColumn("_lone", F.when(place == 0, F.col("block")))
-        .groupBy("unit", "_lone")
-        .agg(
-            F.bit_or(F.when(place > 0, _bit(place - 1)).otherwise(zero)).alias("_start"),
-            F.first("blocks").alias("blocks"),
-            F.first("masks").alias("masks"),
-        )
-    )
-
-    def onward(acc: Column, _: Column) -> Column:
-        front = _successors(acc["front"]).bitwiseAND(F.bitwise_not(acc["seen"]))
-        return F.struct(
-            acc["seen"].bitwiseOR(front).alias("seen"), front.alias("front"),
-            F.when(front == 0, acc["steps"]).otherwise(F.array_append(acc["steps"], front)).alias("steps"),
-        )
-
-    start = F.struct(
-        F.col("_start").alias("seen"), F.col("_start").alias("front"), F.array("_start").alias("steps")
-    )
-    steps = F.aggregate(F.sequence(F.lit(1), F.size("blocks")), start, onward)["steps"]
-    stepped = started.select(
-        "unit", "_lone", "blocks", F.posexplode(F.when(F.col("_lone").isNull(), steps).otherwise(F.array(zero))).alias("level", "_mask")
-    )
-    found = F.when(F.col("_lone").isNull(), _members(F.col("_mask"))).otherwise(F.array("_lone"))
-    done = stepped.select("unit", F.explode(found).alias("block"), "level")
-    others = entries.join(packs.select("unit"), "unit", "left_anti")
-    large = links.join(packs.select("unit"), "unit", "left_anti")
-    if large.isEmpty():
-        return done.unionByName(others.withColumn("level", F.lit(0)))
-    flow = cut(large).select("unit", F.col("src").alias("block"), F.col("dst").alias("_to"))
-    grown = grow(
-        others,
-        lambda delta: delta.join(flow, ["unit", "block"]).select("unit", F.col("_to").alias("block")),
+    links = _links(edges)
+    return grow(
+        entries.select("unit", "block"),
+        lambda delta: delta.join(links, ["unit", "block"]).select("unit", F.col("_to").alias("block")),
         ["unit", "block"],
         levels=True,
         within=["unit"],
+        hops=HOPS,
     )
-    return done.unionByName(grown)

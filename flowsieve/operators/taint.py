@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from flowsieve.functions.expressions import render_message
 from flowsieve.operators.classify import classify_sinks, match_sink_arguments, sanitizer_mismatch
 from flowsieve.operators.fixpoint import follow_pointers, grow, grow_masks
-from flowsieve.operators.spread import MAX_BLOCKS, against_flow, carry, closure, pack_units
 from flowsieve.operators.states import dedupe_findings
 from flowsieve.session import cut
 
@@ -100,41 +99,22 @@ def taint_strict(seeds: DataFrame, flows: DataFrame) -> DataFrame:
     )
 
 
-def taint_blocks(
-    generated: DataFrame, transfers: DataFrame, edges: DataFrame, max_blocks: int = MAX_BLOCKS
-) -> DataFrame:
+def taint_blocks(generated: DataFrame, transfers: DataFrame, edges: DataFrame) -> DataFrame:
     """Tainted (unit, block, var) in graphs that are not in SSA form; nothing is killed.
 
     ``generated`` are sources, ``transfers(unit, block, var, to_var)`` the copies made
-    inside a block, ``edges(unit, src, dst)`` carry every variable on. In small units a
-    round is one copy followed by the closure over the edges, so there are as many
-    rounds as copies in a row; large units go step by step.
+    inside a block, ``edges(unit, src, dst)`` carry every variable on.
     """
     keys = ["unit", "block", "var"]
-    generated, transfers = cut(generated.select(*keys).distinct()), cut(transfers)
-    links = against_flow(edges)
-    packs = pack_units(links, generated.unionByName(transfers.select(*keys)), max_blocks)
-    reach = cut(packs.withColumn("reach", closure(F.col("masks"))).drop("masks"))
-
-    def copied(delta: DataFrame) -> DataFrame:
-        made = delta.join(transfers, keys).select("unit", "block", F.col("to_var").alias("var"))
-        return made.distinct()
-
-    start = carry(generated, reach, ["var"])
-    done = grow(start, lambda delta: carry(copied(delta), reach, ["var"]), keys, within=["unit"], hops=1)
-    units = reach.select("unit")
-    others = cut(generated.join(units, "unit", "left_anti"))
-    if others.isEmpty():
-        return done
-    moves = _moves(transfers.join(units, "unit", "left_anti"), links.join(units, "unit", "left_anti"))
-    return done.unionByName(grow(others, lambda delta: _moved(delta, moves), keys, within=["unit"]))
+    moves = _moves(transfers, edges.select("unit", "src", "dst").distinct())
+    return grow(generated.select(*keys), lambda delta: _moved(delta, moves), keys, within=["unit"], hops=3)
 
 
 def _moves(transfers: DataFrame, links: DataFrame) -> DataFrame:
     """One table for one join: an edge takes any variable (``*``), a copy its own one."""
     to_type = dict(transfers.dtypes)["to_var"]
     onward = links.select(
-        "unit", F.col("dst").alias("block"), F.lit("*").alias("_for"), F.col("src").alias("_block"),
+        "unit", F.col("src").alias("block"), F.lit("*").alias("_for"), F.col("dst").alias("_block"),
         F.lit(None).cast(to_type).alias("_var"),
     )
     copies = transfers.select(

@@ -312,9 +312,9 @@ def test_walks_go_round_a_loop(spark):
     assert len(walks) == 73215  # counted by the SQL
 
 
-@pytest.mark.parametrize("max_blocks", [1, 6, 62])
-def test_small_and_large_units_agree(spark, max_blocks):
-    """The one-pass closure and the loop give the same, in any mixture."""
+@pytest.mark.parametrize("bits", [1, 6, 62])
+def test_words_of_any_width_agree(spark, bits):
+    """A unit's variables may fill one word or several."""
     from flowsieve.operators.spread import breadth_first, spread
 
     events = bindings.block_events(spark, TINY).where("unit LIKE '1%'")
@@ -329,14 +329,14 @@ def test_small_and_large_units_agree(spark, max_blocks):
         if not more:
             break
         live |= more
-    assert rows(spread(bindings.block_mentions(events), edges, ["var"], backward=True, max_blocks=max_blocks)) == live
+    assert rows(spread(bindings.block_mentions(events), edges, ["var"], backward=True, bits=bits)) == live
     entries = {(r["unit"], r["block"]) for r in bindings.block_entries(events).collect()}
     levels, front, level = {e: 0 for e in entries}, entries, 0
     while front:
         level += 1
         front = {(u, d) for u, b in front for s, d in data.get(u, ()) if s == b} - set(levels)
         levels.update({f: level for f in front})
-    got = breadth_first(bindings.block_entries(events), edges, max_blocks=max_blocks)
+    got = breadth_first(bindings.block_entries(events), edges)
     assert {((r["unit"], r["block"]), r["level"]) for r in got.collect()} == set(levels.items())
 
 
@@ -346,8 +346,7 @@ def test_dangling_pointer_is_an_error(spark):
         fixpoint.follow_pointers(nodes, ["unit", "id"], "next", {"value": lambda a, b: F.coalesce(a, b)})
 
 
-@pytest.mark.parametrize("max_blocks", [6, 62])
-def test_block_taint_small_and_large(spark, max_blocks):
+def test_block_taint(spark):
     events = bindings.block_events(spark, TINY).where("unit LIKE '1%'")
     edges = bindings.block_edges(events)
     made = [(r["unit"], r["block"], r["event_type"], r["rv"], r["wv"]) for r in events.collect()]
@@ -361,14 +360,31 @@ def test_block_taint_small_and_large(spark, max_blocks):
         tainted |= more
     generated = events.where("event_type = 'signup'").select("unit", "block", F.col("wv").alias("var"))
     copies = events.where("event_type NOT IN ('signup', 'view')").select("unit", "block", F.col("rv").alias("var"), F.col("wv").alias("to_var")).distinct()
-    assert rows(taint.taint_blocks(generated, copies, edges, max_blocks=max_blocks)) == tainted
+    assert rows(taint.taint_blocks(generated, copies, edges)) == tainted
 
 
-def test_merges_in_small_and_large_units_agree(spark):
+def test_merges_with_words_of_any_width_agree(spark):
     events = bindings.block_events(spark, TINY).where("unit LIKE '1%'")
     defs = events.where("event_type <> 'error'").select("unit", "block", F.col("wv").alias("var")).distinct()
     reads = events.select("unit", "block", F.col("rv").alias("var")).distinct().join(defs, ["unit", "block", "var"], "left_anti")
     edges = bindings.block_edges(events)
-    packed, mixed = (rows(graph.place_merges(reads, defs, edges, max_blocks=n)) for n in (62, 6))
+    packed, mixed = (rows(graph.place_merges(reads, defs, edges, bits=n)) for n in (62, 3))
     assert packed == mixed
     assert packed
+
+
+@pytest.mark.parametrize("blocks", [62, 63, 150])
+def test_long_circles(spark, blocks):
+    """A circle of any length with more variables than a word has bits."""
+    from flowsieve.operators.spread import breadth_first, flood, spread
+
+    edges = spark.range(blocks).selectExpr("'u' AS unit", "cast(id AS int) AS src", f"cast((id + 1) % {blocks} AS int) AS dst")
+    facts = spark.createDataFrame([("u", k % blocks, k) for k in range(100)], "unit string, block int, var int")
+    facts = facts.unionByName(spark.createDataFrame([("u", 0, None)], facts.schema))
+    assert spread(facts, edges, ["var"]).count() == 101 * blocks
+    assert spread(facts.where("var = 5"), edges, []).count() == blocks
+    stops = spark.createDataFrame([("u", 10, 7), ("u", 3, None), ("u", 1, 400)], facts.schema)
+    held = flood(facts.where("var = 7 OR var IS NULL"), edges, stops, ["var"])
+    assert rows(held) == {("u", b, 7) for b in (7, 8, 9)} | {("u", b, None) for b in (0, 1, 2)}
+    levels = breadth_first(facts.where("var = 0").select("unit", "block"), edges)
+    assert {(r["block"], r["level"]) for r in levels.collect()} == {(b, b) for b in range(blocks)}
