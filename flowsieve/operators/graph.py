@@ -52,14 +52,18 @@ def live_variables(mentions: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def live_variables_interproc(
-    mentions: DataFrame, edges: DataFrame, calls: DataFrame, roots: DataFrame
+    mentions: DataFrame, edges: DataFrame, calls: DataFrame, roots: DataFrame, includes: DataFrame | None = None
 ) -> DataFrame:
-    """Liveness of the units that the call closure of ``roots`` reaches.
+    """Liveness of the units that calls and includes reach from ``roots``; both have unit and callee.
 
-    Variables belong to their unit, so a call makes the callee's blocks live in its
-    own variables; nothing of them becomes live in the caller.
+    Variables belong to their unit, so a call or include makes the callee's blocks live in its
+    own variables; nothing of them becomes live in the caller. ``includes`` come from
+    ``link_includes``; one without a known target has a null callee and leads nowhere.
     """
-    reached = cut(reachable_units(calls, roots).select("unit"))
+    links = calls.select("unit", "callee")
+    if includes is not None:
+        links = links.unionByName(includes.select("unit", "callee").where("callee IS NOT NULL"))
+    reached = cut(reachable_units(cut(links), roots).select("unit"))
     return live_variables(
         mentions.join(reached, "unit", "left_semi"), edges.join(reached, "unit", "left_semi")
     )

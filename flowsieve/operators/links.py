@@ -75,18 +75,18 @@ def merge_returns(returns: DataFrame) -> DataFrame:
     return merge_union(returns, ["unit"])
 
 
-def merge_operand_by_predecessor(merges: DataFrame, entries: DataFrame) -> DataFrame:
-    """Operand of each merge for the predecessor taken: its index, clamped to the last.
+def merge_operand_by_predecessor(operands: DataFrame, parents: DataFrame, entries: DataFrame) -> DataFrame:
+    """Operand of each merge for the predecessor taken: the one of its number, or the last one.
 
-    ``merges(unit, block, var, operands, parents)``; ``entries(unit, block, came_from)``.
+    ``operands(unit, block, var, number, operand)`` and ``parents(unit, block, number, parent)`` are numbered from 1;
+    ``entries(unit, block, came_from)``. A predecessor that is listed twice has its first number; one that is
+    not listed has no row. Everything is joined by numbers, so a block with many parents is many rows.
     """
-    at = F.least(F.array_position("parents", F.col("came_from")).cast("int"), F.size("operands"))
-    return (
-        merges.join(entries, ["unit", "block"])
-        .where(F.array_contains("parents", F.col("came_from")))
-        .withColumn("operand", F.element_at("operands", at))
-        .drop("operands", "parents")
-    )
+    taken = parents.groupBy("unit", "block", F.col("parent").alias("came_from")).agg(F.min("number").alias("_number"))
+    last = operands.groupBy("unit", "block", "var").agg(F.max("number").alias("_last"))
+    wanted = entries.join(taken, ["unit", "block", "came_from"]).join(last, ["unit", "block"])
+    wanted = wanted.withColumn("number", F.least("_number", "_last")).drop("_number", "_last")
+    return wanted.join(operands, ["unit", "block", "var", "number"]).drop("number")
 
 
 def predecessors(edges: DataFrame, blocks: DataFrame) -> DataFrame:

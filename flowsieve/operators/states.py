@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsieve.operators.ordered import row_sequence
+
 
 def state_union(left: Column, right: Column) -> Column:
     return F.array_sort(F.array_union(left, right))
@@ -97,7 +99,7 @@ def visit_counts(visits: DataFrame) -> DataFrame:
 def variable_usage(accesses: DataFrame, keys: list[str]) -> DataFrame:
     """Per variable how many ops write and read it, and the first and last of each.
 
-    Counts and bounds aggregate partially; the ops themselves are the rows of ``def_use_edges``.
+    Counts and bounds aggregate partially; the ops themselves are the rows of ``variable_accesses``.
     """
     return accesses.groupBy(*keys).agg(
         *[
@@ -106,3 +108,11 @@ def variable_usage(accesses: DataFrame, keys: list[str]) -> DataFrame:
             for name, f in (("count", F.count), ("first", F.min), ("last", F.max))
         ]
     )
+
+
+def variable_accesses(accesses: DataFrame, keys: list[str]) -> DataFrame:
+    """The accesses themselves as an ordered table: ``number`` counts a variable's reads, and its writes, by ``seq``.
+
+    A variable that a third of all rows name is numbered slice by slice (``row_sequence``), never in one list.
+    """
+    return row_sequence(accesses, [*keys, "role"], ["seq"], "number")

@@ -155,6 +155,9 @@ def live_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return big(graph.live_variables(B.block_mentions(events), B.block_edges(events)), "var")
 
 
+# every tenth view includes the unit of another user in the same week
+WEEK_INCLUDES = f"""SELECT DISTINCT unit, ((CAST(string_split(unit, '/')[1] AS BIGINT) + k // 10) % {UNITS_SQL}) || '/' || string_split(unit, '/')[2] AS callee
+    FROM be WHERE event_type = 'view' AND k % 10 = 3"""
 WEEK_CALLS = f"""SELECT DISTINCT unit, ((CAST(string_split(unit, '/')[1] AS BIGINT) + k) % {UNITS_SQL}) || '/' || string_split(unit, '/')[2] AS callee
     FROM be WHERE event_type = 'purchase'"""
 
@@ -164,7 +167,7 @@ WEEK_CALLS = f"""SELECT DISTINCT unit, ((CAST(string_split(unit, '/')[1] AS BIGI
         "bm bg be",
         "SELECT unit, block, CAST(var AS BIGINT) AS var FROM live WHERE unit IN (SELECT unit FROM ru)",
         {
-            "wc": WEEK_CALLS,
+            "wc": f"{WEEK_CALLS} UNION {WEEK_INCLUDES}",
             "ru": "SELECT DISTINCT unit FROM be WHERE unit LIKE '0/%' UNION SELECT c.callee FROM ru JOIN wc c ON c.unit = ru.unit",
             "live": LIVE,
         },
@@ -174,10 +177,11 @@ def live_variables_interproc(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = B.unit_count(spark, sf_dir)
     events = B.block_events(spark, sf_dir)
     user, week = F.substring_index("unit", "/", 1).cast("bigint"), F.substring_index("unit", "/", -1)
-    callee = F.concat(((user + F.col("k")) % units).cast("string"), F.lit("/"), week)
-    calls = cut(events.where("event_type = 'purchase'").select("unit", callee.alias("callee")).distinct())
+    other = lambda step: F.concat(((user + step) % units).cast("string"), F.lit("/"), week).alias("callee")
+    calls = cut(events.where("event_type = 'purchase'").select("unit", other(F.col("k"))).distinct())
+    includes = events.where("event_type = 'view' AND k % 10 = 3").select("unit", other(F.col("wv"))).distinct()
     roots = events.select("unit").where("unit LIKE '0/%'").distinct()
-    found = graph.live_variables_interproc(B.block_mentions(events), B.block_edges(events), calls, roots)
+    found = graph.live_variables_interproc(B.block_mentions(events), B.block_edges(events), calls, roots, includes)
     return big(found, "var")
 
 
@@ -736,7 +740,29 @@ def place_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return big(placed_merges(spark, sf_dir), "var")
 
 
-@query()
+def _trivial_pass(now: str, k: int) -> dict[str, str]:
+    """CTEs of one pass over the merges of ``now``: those with one operand, the ends of their chains, the merges left."""
+    return {
+        f"s{k}": f"SELECT unit, result, min(operand) AS o FROM {now} GROUP BY ALL HAVING count(DISTINCT operand) = 1",
+        f"c{k}": f"SELECT unit, result, o AS cur FROM s{k} UNION SELECT c.unit, c.result, s.o FROM c{k} c JOIN s{k} s ON s.unit = c.unit AND s.result = c.cur",
+        f"f{k}": f"SELECT c.* FROM c{k} c ANTI JOIN s{k} s ON s.unit = c.unit AND s.result = c.cur",
+        f"m{k}": f"""SELECT DISTINCT unit, result, operand FROM (
+            SELECT m.unit, m.result, CASE WHEN s.result IS NULL THEN m.operand ELSE f.cur END AS operand
+            FROM (SELECT * FROM {now} n ANTI JOIN s{k} s ON s.unit = n.unit AND s.result = n.result) m
+            LEFT JOIN s{k} s ON s.unit = m.unit AND s.result = m.operand LEFT JOIN f{k} f ON f.unit = m.unit AND f.result = m.operand)
+            WHERE operand IS NOT NULL AND operand <> result""",
+    }
+
+
+# a pass more than the block graphs need changes nothing
+TRIVIAL_PASSES = 8
+TRIVIAL = {
+    "m0": """SELECT DISTINCT unit, var || '|merge:' || block AS result, var || '|' || coalesce(operand, 'none') AS operand FROM placed
+        WHERE operand IS NULL OR operand <> 'merge:' || block"""
+} | {name: body for k in range(1, TRIVIAL_PASSES + 1) for name, body in _trivial_pass(f"m{k - 1}", k).items()}
+
+
+@query(with_ctes("be bg", f"SELECT unit, result, operand FROM m{TRIVIAL_PASSES}", PLACED | TRIVIAL))
 def eliminate_trivial_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merges left when those with a single operand are replaced everywhere."""
     merges = placed_merges(spark, sf_dir).select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions import expressions as X
 from flowsieve.functions.operands import parse_literal
 from flowsieve.operators import classify, links, states, taint
+from flowsieve.operators.ordered import row_sequence, with_slice
 from flowsieve.plans import bindings as B
 from flowsieve.plans.catalog import at, query, sql_list, with_ctes
 from flowsieve.session import cut
@@ -244,19 +245,13 @@ def reaching_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("unit", *[F.col(c).cast("bigint").alias(c) for c in ("var", "seq", "def_seq")])
 
 
-def merge_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A merge per block with several parents: operands ``v0``, ``v1``; and the ways in.
-
-    The parents of one block are a list of the dump, so they are an array here too.
-    """
-    events = B.block_events(spark, sf_dir)
-    edges = B.block_edges(events)
-    parents = edges.groupBy("unit", F.col("dst").alias("block")).agg(F.array_sort(F.collect_set("src")).alias("parents"))
-    merges = parents.where("size(parents) > 1").select(
-        "unit", "block", F.lit("m").alias("var"), F.array(F.lit("v0"), F.lit("v1")).alias("operands"), "parents"
-    )
-    entries = edges.select("unit", F.col("dst").alias("block"), F.col("src").alias("came_from"))
-    return merges, entries
+def merge_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A merge per block with several parents: operands ``v0``, ``v1``; its numbered parents; and the ways in."""
+    edges = cut(B.block_edges(B.block_events(spark, sf_dir)).withColumnRenamed("dst", "block").withColumnRenamed("src", "parent"))
+    parents = cut(row_sequence(edges, ["unit", "block"], ["parent"], "number"))
+    several = parents.where("number = 2").select("unit", "block", F.lit("m").alias("var"))
+    named = F.array(*[F.struct(F.lit(k + 1).alias("number"), F.lit(f"v{k}").alias("operand")) for k in range(2)])
+    return several.select("*", F.inline(named)), parents, edges.withColumnRenamed("parent", "came_from")
 
 
 @query(
@@ -268,8 +263,8 @@ def merge_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
 )
 def merge_operand_by_predecessor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merges, entries = merge_rows(spark, sf_dir)
-    return links.merge_operand_by_predecessor(merges, entries).select("unit", "block", "came_from", "operand")
+    found = links.merge_operand_by_predecessor(*merge_rows(spark, sf_dir))
+    return found.select("unit", "block", "came_from", "operand")
 
 
 @query(with_ctes("bg bb", "SELECT unit, dst AS block, src FROM bg WHERE src NOT LIKE 'error%'"))
@@ -501,6 +496,23 @@ def variable_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.variable_usage(accesses.withColumn("var", F.col("var").cast("bigint")), ["unit", "var"])
 
 
+@query(
+    with_ctes(
+        "pe",
+        """SELECT unit, CAST(var AS BIGINT) AS var, role, row_number() OVER (PARTITION BY unit, var, role ORDER BY seq) AS number, CAST(seq AS BIGINT) AS seq
+           FROM (SELECT unit, rv AS var, 'read' AS role, seq FROM pe UNION ALL SELECT unit, wv, 'write', seq FROM pe WHERE event_type <> 'error')""",
+    )
+)
+def variable_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instructions that read and write each variable, in order."""
+    pe = B.program_events(spark, sf_dir)
+    write = F.when(F.col("event_type") != "error", F.col("wv"))
+    roles = F.array(F.struct(F.col("rv").alias("var"), F.lit("read").alias("role")), F.struct(write.alias("var"), F.lit("write").alias("role")))
+    accesses = pe.select("unit", *with_slice(pe), "seq", F.inline(roles)).where("var IS NOT NULL")
+    numbered = states.variable_accesses(accesses, ["unit", "var"])
+    return place(numbered, F.col("var").cast("bigint").alias("var"), "role", F.col("number").cast("bigint").alias("number"))
+
+
 SET_SQL = f"""SELECT event_id, list_distinct([{at(APPLIED, 'k')}, {at(APPLIED, 'k // 10')}]) AS a,
     list_distinct([{at(APPLIED, 'k % 10')}, {at(APPLIED, 'user_id')}]) AS b FROM ev"""
 

@@ -397,6 +397,24 @@ def run_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return big(stats, "stage")
 
 
+@query(
+    with_ctes(
+        "po lk tt fl os",
+        """SELECT CAST(0 AS BIGINT) AS stage, 'Sink relevance' AS module, count(*) AS rows, count(*) FILTER (start_line <> 'None') AS known_lines
+             FROM po WHERE unit IN (SELECT unit FROM os)
+           UNION ALL SELECT 1, 'Taint', count(*), count(*) FILTER (start_line <> 'None') FROM po JOIN lk USING (unit, seq) WHERE unit IN (SELECT unit FROM os)
+             AND ((unit, seq) IN (SELECT (unit, seq) FROM tt) OR (unit, def_seq) IN (SELECT (unit, seq) FROM tt))
+           UNION ALL SELECT 1, 'Report', count(DISTINCT file || ':' || start_line), count(DISTINCT file || ':' || start_line) FILTER (start_line <> 'None') FROM fl""",
+    )
+)
+def profile_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each stage and module gave, observed as they were written; the seconds are in the table, not in this query."""
+    texts = spark.range(1).select(F.lit(PROFILE).alias("text"))
+    measures: list[tuple] = []
+    profiles.run_profile(ops_of(spark, sf_dir), profiles.parse_profiles(texts), "relevant", profile_modules(spark), measures)
+    return big(profiles.measure_table(spark, measures).drop("seconds"), "stage")
+
+
 def analyse_batch(batch: DataFrame) -> DataFrame:
     """Findings of one batch of events."""
     spark = batch.sparkSession
