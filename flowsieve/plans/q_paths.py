@@ -28,7 +28,7 @@ from flowsieve.sources.policy import SOURCE_VARIABLES
         },
     )
 )
-def enumerate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def enumerate_paths_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ways from the entry that enter no block twice."""
     events = B.block_events(spark, sf_dir)
     found = paths.enumerate_paths(cut(B.block_edges(events)), B.block_entries(events), max_loop=1)
@@ -46,7 +46,7 @@ def enumerate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         },
     )
 )
-def enumerate_paths_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+def enumerate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ways from the entry that go round a loop: each block at most twice, on the whole block graph."""
     events = B.block_events(spark, sf_dir)
     found = paths.enumerate_paths(cut(B.block_edges(events)), B.block_entries(events), max_loop=2)

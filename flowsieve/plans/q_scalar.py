@@ -330,7 +330,7 @@ def canonicalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT t.doc_id, CAST(t.pos AS BIGINT) AS pos, t.tag, t.raw, t.head || coalesce(a.target, t.core) || t.tail AS resolved
         FROM t LEFT JOIN a ON lower(t.core) = a.alias"""
 )
-def extract_type_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def extract_type_tags_first_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = B.table(spark, sf_dir, "documents")
     word = F.regexp_extract("text", "[A-Za-z]+", 0)
     comment = F.concat(
@@ -356,7 +356,7 @@ def extract_type_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT t.doc_id, CAST(t.pos AS BIGINT) AS pos, t.tag, t.raw, t.head || coalesce(a.target, t.core) || t.tail AS resolved
         FROM t LEFT JOIN a ON lower(t.core) = a.alias"""
 )
-def extract_type_tags_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def extract_type_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tag for every word of every text, in any script, behind four tags for every document."""
     docs = B.table(spark, sf_dir, "documents")
     lang, source, text = (F.coalesce(name, F.lit("")) for name in ("lang", "source", "text"))

@@ -433,4 +433,4 @@ def arrival_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (odd, ~odd):
         events.where(part).write.mode("append").parquet(source)
         analyse_arrivals(spark, source, events.schema, analyse_batch, out, state=state, unit="user_id")
-    return latest_arrivals(spark, out, "user_id", "unit").withColumn("seq", F.col("seq").cast("bigint"))
+    return latest_arrivals(spark, out, "unit").withColumn("seq", F.col("seq").cast("bigint"))

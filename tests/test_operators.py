@@ -288,16 +288,34 @@ def test_units_in_two_batches_keep_their_findings(spark, tmp_path):
     for part in ("event_id % 3 = 0", "event_id % 3 > 0"):
         events.where(part).coalesce(1).write.mode("append").parquet(source)
         analyse_arrivals(spark, source, events.schema, analyse_batch, out, state=state, unit="user_id")
-    found = latest_arrivals(spark, out, "user_id", "unit")
+    found = latest_arrivals(spark, out, "unit")
     assert rows(found.select(*analyse_batch(events).columns)) == whole and found.count() == len(whole) > 0
 
 
+def test_a_batch_reads_only_what_it_touches(spark, tmp_path):
+    """Ten batches of two units each: what is read for a batch does not grow with the batches before it."""
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    counted = lambda df: df.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    make = lambda k: spark.range(100).selectExpr(f"cast({2 * (k % 8)} + id % 2 AS int) AS unit", f"id + {k} AS value")
+    progress = []
+    for k in range(10):
+        make(k).coalesce(1).write.mode("append").parquet(source)
+        analyse_arrivals(spark, source, make(0).schema, counted, out, state=state, unit="unit", buckets=64, progress=progress)
+    # the last two batches meet their units again
+    assert [p["held"] for p in progress] == [100] * 8 + [200] * 2
+    assert all(p["read"] <= p["held"] + 100 for p in progress)
+    whole = make(0)
+    for k in range(1, 10):
+        whole = whole.unionByName(make(k))
+    assert rows(latest_arrivals(spark, out, "unit").select("unit", "n", "total")) == rows(counted(whole))
+
+
 def test_type_tags_of_whole_texts(spark, tmp_path):
     from flowsieve.plans import load_all
 
     texts = [(1, "Один two, en", "en", "s"), (2, None, "fr", None), (3, "日本", "en", "s")]
     spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    found = load_all()[0]["extract_type_tags_whole"](spark, str(tmp_path)).where("pos > 3 OR pos = 0").orderBy("doc_id", "pos")
+    found = load_all()[0]["extract_type_tags"](spark, str(tmp_path)).where("pos > 3 OR pos = 0").orderBy("doc_id", "pos")
     assert [(r["doc_id"], r["resolved"]) for r in found.collect()] == [
         (1, "?Lang\\EN[]"), (1, "Один|null"), (1, "two|null"), (1, "Lang\\EN|null"), (2, "?Lang\\FR[]"), (3, "?Lang\\EN[]"), (3, "日本|null")
     ]
@@ -306,7 +324,7 @@ def test_type_tags_of_whole_texts(spark, tmp_path):
 def test_walks_go_round_a_loop(spark):
     from flowsieve.plans import load_all
 
-    found = load_all()[0]["enumerate_paths_twice"](spark, TINY)
+    found = load_all()[0]["enumerate_paths"](spark, TINY)
     walks = [r["path"].split(">") for r in found.select("path").collect()]
     assert max(max(map(w.count, w)) for w in walks) == 2
     assert len(walks) == 73215  # counted by the SQL
