@@ -22,11 +22,26 @@ SLOTS = 131
 #: Slots that bands use: 32 bands of 4. A pair of similarity 0.75 shares no band with probability 6e-6.
 BANDS, ROWS = 32, 4
 USED = BANDS * ROWS
-#: Equal slots of USED that a pair must have to be compared in full. At similarity 0.75 the mean is 96 and the
-#: deviation at most 4.9, so a linked pair is below with probability under 1e-6.
-EQUAL = 72
-#: Bytes of sets that a block of a bucket, and a task, hold at about most.
-BLOCK_BYTES, TASK_BYTES = 4 << 20, 16 << 20
+#: The slots of the bands in an order of chance: an element visits the slots in steps of one width, so slots next
+#: to each other are not independent of each other.
+PLACES = np.random.default_rng(29).permutation(SLOTS)[:USED]
+#: The bands are made for similarities from this on (in percent); below it too many pairs would share none.
+LEAST_PERCENT = 75
+#: Sets of up to so many shingles are also looked up exactly: a link between such sets is one set within the other
+#: that has one shingle more, so they meet under the key of the smaller one.
+SMALL = 5
+#: Bytes and rows of sets that a block of a bucket holds at about most, and bytes of a task.
+BLOCK_BYTES, BLOCK_ROWS, TASK_BYTES = 4 << 20, 1024, 16 << 20
+
+
+def least_equal(percent: int) -> int:
+    """Equal slots of USED that a pair must have to be compared in full: five deviations below their mean.
+
+    The ranks of an element are spread without repetition, which makes the deviation no larger than that
+    of independent slots; a linked pair is below with probability under 1e-6.
+    """
+    share = min(100, percent) / 100
+    return int(USED * share - 5 * np.sqrt(USED * share * (1 - share)))
 
 
 def signatures(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -59,13 +74,27 @@ def signatures(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_hashes(signature: np.ndarray) -> np.ndarray:
+def short_slots(signature: np.ndarray) -> np.ndarray:
+    """16 bits of each slot that bands use; what is equal in the signature is equal here."""
+    with np.errstate(over="ignore"):
+        return (mix(signature[:, PLACES]) >> U(17)).astype("<u2")
+
+
+def band_keys(short: np.ndarray) -> np.ndarray:
+    """A key per band, from its short slots alone: two rows have the same key if and only if (but for 64-bit
+    collisions) they agree in the band's short slots, so tasks can tell from these which bands a pair shares."""
+    parts = np.ascontiguousarray(short).reshape(len(short), BANDS, ROWS).view("<u8")[:, :, 0]
+    with np.errstate(over="ignore"):
+        return mix(mix(parts) + np.arange(BANDS, dtype=np.uint64) * ODD).view(np.int64)
+
+
+def small_keys(items: np.ndarray) -> np.ndarray | None:
+    """Keys of a small set and of the sets that lack one of its shingles; null for larger ones."""
+    if not 0 < len(items) <= SMALL + 1:
+        return None
     with np.errstate(over="ignore"):
-        parts = signature[:, :USED].reshape(len(signature), BANDS, ROWS)
-        total = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2]).copy()
-        for k in range(ROWS):
-            total = mix(total * U(0xD1342543DE82EF95) + parts[:, :, k])
-    return total.view(np.int64)
+        each = mix(items + ODD)
+        return mix(np.append(each.sum() - each, each.sum())).view(np.int64)
 
 
 def _mark(items: np.ndarray) -> bytes:
@@ -83,9 +112,7 @@ def _describe(size: int):
                 counts = np.array([len(s) for s in sets], dtype=np.int64)
                 marks = [_mark(s) for s in sets]
                 signature = signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum(counts)]))
-                bands = band_hashes(signature)
-                with np.errstate(over="ignore"):
-                    short = (mix(signature[:, :USED]) >> U(17)).astype("<u2")
+                short = short_slots(signature)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(row, end - row).cast(pa.int64()),
@@ -94,9 +121,9 @@ def _describe(size: int):
                         pa.array(marks, pa.binary()),
                         pa.array(np.frombuffer(b"".join(marks), "<i8")[::2]),
                         pa.array([x.tobytes() for x in short], pa.binary()),
-                        pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), BANDS).cast(pa.list_(pa.int64())),
+                        pa.array([small_keys(s) for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["id", "row", "n", "mark", "c", "slots", "bands"],
+                    ["id", "row", "n", "mark", "c", "slots", "small"],
                 )
                 row_number += end - row
 
@@ -115,10 +142,20 @@ def _sets(size: int):
     return run
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per band of every class."""
+    for batch in batches:
+        if batch.num_rows:
+            short = np.frombuffer(b"".join(batch.column("slots").to_pylist()), "<u2").reshape(-1, USED)
+            c = np.repeat(batch.column("c").to_numpy(), BANDS)
+            band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(band), pa.array(band_keys(short).reshape(-1))], ["c", "band", "key"])
+
+
 def _alike(one: np.ndarray, two: np.ndarray, n_one, n_two, percent: int) -> np.ndarray:
     """Sizes and the number of equal slots allow the similarity."""
     sizes = 100 * np.minimum(n_one, n_two) >= percent * np.maximum(n_one, n_two)
-    return sizes & ((one == two).sum(axis=-1) >= EQUAL)
+    return sizes & (((one == two).sum(axis=-1) >= least_equal(percent)) | (np.minimum(n_one, n_two) <= SMALL))
 
 
 def _promising(percent: int):
@@ -166,8 +203,8 @@ def _compare_unit(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
         others = np.arange(i + 1, len(rows)) if side[0] == 0 else np.arange(middle, len(rows))
         others = others[part[others] != part[i]]
         equal = slots[others] == slots[i]
-        # a pair is compared in the first band that it shares
-        shared = np.argmax(equal.reshape(-1, BANDS, ROWS).all(axis=2), axis=1) == band
+        # a pair is compared in the first band that it shares, small sets wherever they meet exactly
+        shared = (np.argmax(equal.reshape(-1, BANDS, ROWS).all(axis=2), axis=1) == band) | (band == BANDS)
         others = others[shared & _alike(slots[others], slots[i], n[others], n[i], percent)]
         if len(others):
             here[codes[i]] = True
@@ -208,17 +245,21 @@ def near_duplicates(
     Links are confirmed on the whole sets (as sets of 64-bit hashes). Null or blank texts have size 0
     and are linked with nothing. Rows with one id and several texts are one node that has the links of
     all of them. Rows with a null id are returned with a null component and kept. An empty table
-    gives no rows; other columns of ``docs`` are not used.
+    gives no rows; other columns of ``docs`` are not used. A ``percent`` below LEAST_PERCENT raises an error.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must lie between {LEAST_PERCENT} and 100")
     ready(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, row long, n long, mark binary, c long, slots binary, bands array<long>"
+    schema = "id long, row long, n long, mark binary, c long, slots binary, small array<long>"
     described = cut(texts.mapInArrow(_describe(size), schema))
     full = described.where("n > 0 AND id IS NOT NULL")
     classes = cut(full.groupBy("mark").agg(F.min("id").alias("rep"), F.min("row").alias("row")))
     heads = cut(full.drop("id").join(classes, ["mark", "row"]))
 
-    members = heads.select("c", F.posexplode("bands").alias("band", "key"))
+    members = heads.select("c", "slots").mapInArrow(_members, "c long, band int, key long").unionByName(
+        heads.select("c", F.lit(BANDS).alias("band"), F.explode("small").alias("key"))
+    )
     buckets = members.groupBy("key").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first < last")
     members = cut(members.join(buckets.select("key", "first"), "key"))
     star = members.where("first < c").select(F.col("first").alias("a"), F.col("c").alias("b")).distinct()
@@ -264,8 +305,9 @@ def _rest(members: DataFrame, known: DataFrame, heads: DataFrame, items: DataFra
     several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     rest = placed.join(several.select("key"), "key", "left_semi").join(heads.select("c", "n", "slots"), "c")
     rest = cut(rest.select("key", "band", "c", "component", "n"))
-    loads = rest.groupBy("key").agg(F.sum(8 * F.col("n") + 600).alias("bytes"))
-    loads = loads.select("key", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"), "bytes")
+    loads = rest.groupBy("key").agg(F.sum(8 * F.col("n") + 600).alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    blocks = F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("rows") / BLOCK_ROWS))
+    loads = loads.select("key", blocks.cast("int").alias("blocks"), "bytes")
     dealt = rest.join(cut(loads), "key").withColumn("own", F.pmod(F.xxhash64("c", "key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
         {

@@ -215,3 +215,17 @@ def test_quality_of_odd_rows(spark):
     scores = [r["quality"]["score"] for r in Q.quality(docs, labels).collect()]
     assert len(scores) == len(odd_rows()) and all(0 <= s <= 1 for s in scores)
     assert Q.quality(docs.where("false"), labels).count() == 0
+
+
+def test_texts_of_few_shingles_lose_no_link(spark):
+    """Seven words and the same with an eighth: 3 of 4 shingles are common, exactly the threshold."""
+    from flowsieve.llm.superminhash import near_duplicates
+
+    rows = []
+    for k in range(300):
+        words = [f"w{k}x{j}" for j in range(8)]
+        rows += [(2 * k, " ".join(words[:7])), (2 * k + 1, " ".join(words))]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {d: d - d % 2 for d in range(600)}
+    with pytest.raises(ValueError, match="percent"):
+        near_duplicates(found, percent=50)
