@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.functions.operands import DUMP_KEYS, OPERAND_FIELDS, operation_name, strip_literal
+from flowsieve.operators.links import link_accesses
+from flowsieve.session import cut
 
 DUMP_SCHEMA = (
     "MAP<STRING, ARRAY<STRUCT<blockId: INT, parentBlock: ARRAY<INT>, blocks: ARRAY<MAP<STRING, VARIANT>>>>>"
@@ -146,21 +148,35 @@ def _text(fields: str, key: str, path: str = "$") -> Column:
 
 
 def read_graph_corpus(dumps: DataFrame, program: str = "program", text: str = "text") -> Facts:
-    """Fact tables of a table of dumps, one program per row."""
+    """Fact tables of a table of dumps, one program per row; the texts are parsed once."""
     parsed = dumps.select(
         F.col(program).alias("program"), F.explode(F.from_json(text, DUMP_SCHEMA)).alias("_unit", "_blocks")
     )
+    return _facts(parsed.select("program", "_unit", F.explode_outer("_blocks").alias("b")))
+
+
+def _facts(blocks: DataFrame) -> Facts:
+    """Fact tables of ``blocks(program, _unit, b)``, a row per block, or one with null ``b`` for a unit without any.
+
+    The parsed instructions are written once, as variants; all tables read that.
+    """
     name = F.replace(F.replace("_unit", F.lit("\\"), F.lit("\\\\")), F.lit("()"), F.lit(""))
-    blocks = parsed.select("program", name.alias("unit"), F.explode("_blocks").alias("b")).select(
-        "program", "unit", F.col("b.blockId").alias("block"), F.col("b.parentBlock").alias("parents"), "b.blocks"
-    )
-    units = parsed.select(
+    rows = cut(
+        blocks.select(
+            "program", name.alias("unit"), F.col("b.blockId").alias("block"), F.col("b.parentBlock").alias("parents"),
+            F.posexplode_outer("b.blocks").alias("seq", "fields"),
+        )
+    )
+    found = rows.select("program", "unit").distinct()
+    units = found.select(
         "program",
-        name.alias("unit"),
-        F.when(name.contains("::"), F.substring_index(name, "::", 1)).alias("class"),
-        F.substring_index(name, "::", -1).alias("name"),
+        "unit",
+        F.when(F.col("unit").contains("::"), F.substring_index("unit", "::", 1)).alias("class"),
+        F.substring_index("unit", "::", -1).alias("name"),
     )
-    raw = blocks.select("program", "unit", "block", F.posexplode("blocks").alias("seq", "fields"))
+    # an instruction's place is its own; the first row of a block, or its only one, stands for the block
+    listed = rows.where("block IS NOT NULL AND coalesce(seq, 0) = 0").select("program", "unit", "block", "parents")
+    raw = rows.where("seq IS NOT NULL").select("program", "unit", "block", "seq", "fields")
     op = F.regexp_extract(_text("fields", "op"), r"(Phi)(?=\()|^\s*(\S+)", 0)
     callee = F.when(op.isin("Expr_FuncCall", "Expr_NsFuncCall", "Expr_MethodCall", "Expr_StaticCall"), F.coalesce(
         _text("fields", "name", "$.value"),
@@ -186,7 +202,7 @@ def read_graph_corpus(dumps: DataFrame, program: str = "program", text: str = "t
     operands = _operands(shaped)
     return Facts(
         units=units,
-        blocks=blocks.drop("blocks"),
+        blocks=listed,
         ops=ops,
         operands=operands,
         edges=_edges(shaped),
@@ -260,6 +276,45 @@ def _params(shaped: DataFrame) -> DataFrame:
     )
 
 
+#: What opens a block in a dump. Within a text of the dump its quotes are escaped, so it stands nowhere else.
+BLOCK_MARK = '{"blockId":'
+# what follows a block: the next one, the name and opening of the next unit, or the end
+BLOCK_END = r'(?s)^(.*\})\s*(?:,|\]\s*,\s*("(?:[^"\\]|\\.)*")\s*:\s*\[|\]\s*\})\s*$'
+FIRST_UNIT = r'(?s)^\s*\{\s*("(?:[^"\\]|\\.)*")\s*:\s*\[\s*$'
+BLOCK_SCHEMA = "STRUCT<blockId: INT, parentBlock: ARRAY<INT>, blocks: ARRAY<MAP<STRING, VARIANT>>>"
+
+
+def read_large_dumps(spark: SparkSession, path: str) -> Facts:
+    """Fact tables of a folder of compact dump files of any size, one program per file.
+
+    Files are cut at the openings of blocks, by Spark's text reader, so a large file is read in as many tasks as it
+    has splits, and no row is larger than a block. A unit's name stands behind the last block of the unit before
+    it; each block takes the last name before it in its file, carried on from split to split. Units without blocks are
+    left out. A piece that is no block raises an error.
+    """
+    pieces = spark.read.text(path, lineSep=BLOCK_MARK).select(
+        F.col("_metadata.file_name").alias("program"), F.col("_metadata.file_block_start").alias("slice"),
+        F.monotonically_increasing_id().alias("row"), "value",
+    )
+    first = F.regexp_extract("value", FIRST_UNIT, 1)
+    body, following = F.regexp_extract("value", BLOCK_END, 1), F.regexp_extract("value", BLOCK_END, 2)
+    opened = F.when(first != "", first).when(following != "", following)
+    pieces = cut(pieces.select("program", "slice", "row", F.when(body != "", F.concat(F.lit(BLOCK_MARK), body)).alias("body"), opened.alias("opened"), (F.trim("value") == "").alias("blank")))
+    # a piece's place in its file: the start of its split and its number there, which is below the split's length
+    least = pieces.groupBy("program", "slice").agg(F.min("row").alias("_least"))
+    placed = cut(pieces.join(least, ["program", "slice"]).withColumn("seq", F.col("slice") + F.col("row") - F.col("_least")).drop("_least", "row"))
+    if not placed.where("body IS NULL AND opened IS NULL AND NOT blank").isEmpty():
+        raise ValueError("a piece between two openings is no block")
+    names = placed.where("opened IS NOT NULL").select("program", "slice", "seq", "opened")
+    small = placed.where("body IS NOT NULL").select("program", "slice", "seq")
+    accesses = small.withColumn("is_write", F.lit(0)).unionByName(names.drop("opened").withColumn("is_write", F.lit(1)))
+    last = link_accesses(accesses, ["program"]).select("program", "seq", "def_seq")
+    unit = F.from_json(F.concat(F.lit("["), F.col("opened"), F.lit("]")), "array<string>")[0]
+    named = last.join(names.select("program", F.col("seq").alias("def_seq"), unit.alias("_unit")), ["program", "def_seq"])
+    blocks = placed.where("body IS NOT NULL").select("program", "seq", "body").join(named, ["program", "seq"])
+    return _facts(blocks.select("program", "_unit", F.from_json("body", BLOCK_SCHEMA).alias("b")))
+
+
 def read_dump_files(spark: SparkSession, path: str) -> Facts:
     """Fact tables of a folder of dump files, one program per file."""
     files = spark.read.text(path, wholetext=True).select(

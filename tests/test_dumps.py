@@ -240,3 +240,37 @@ def test_sanitizers_over_merges(spark):
 def test_no_programs(spark):
     assert found_in(spark, []) == []
     assert found_in(spark, [("p", program(main=[INPUT]))]) == []
+
+
+def everything(facts):
+    """All tables as sets of texts."""
+    return {
+        name: sorted(str(sorted(r.asDict(True).items(), key=str)) for r in getattr(facts, name).collect())
+        for name in ("units", "blocks", "ops", "operands", "edges", "params", "returns")
+    }
+
+
+def test_large_files_are_read_in_pieces(spark, tmp_path):
+    """Blocks of a file in many splits belong to their units, whatever stands in texts and names."""
+    make = lambda k: [op("Expr_Assign", k, var=var(j, f"v{j}"), expr=lit("'{\"blockId\":1}],\"x()\":['"), result=var(100 + j)) for j in range(k % 7)]
+    units = {f"C\\{{closure}}#{u}::run()": [{"blockId": b + 1, "parentBlock": [b], "blocks": make(u + b)} for b in range(1 + u % 9)] for u in range(120)}
+    for name, dump in {"big": {"main()": [], **units}, "flows": FLOWS, "switch": SWITCH, "and": SHORT_CIRCUIT}.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(dump, separators=(",", ":")).replace('"main()":[],', ""))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        assert spark.read.text(str(tmp_path), lineSep='{"blockId":').rdd.getNumPartitions() > 8
+        from flowsieve.sources.dumps import read_large_dumps
+
+        pieces = everything(read_large_dumps(spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert pieces == everything(read_dump_files(spark, str(tmp_path)))
+    assert len(pieces["units"]) == 123
+
+
+def test_a_file_that_is_no_dump(spark, tmp_path):
+    from flowsieve.sources.dumps import read_large_dumps
+
+    (tmp_path / "x.json").write_text('{"blockId":1,"blocks":[]')
+    with pytest.raises(ValueError, match="no block"):
+        read_large_dumps(spark, str(tmp_path))
