@@ -298,8 +298,8 @@ def scan_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return big(found.select("event_id", "pos", "kind", "once", path.alias("path")), "pos")
 
 
-def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source text per page: it includes two lower pages, some of them a missing one."""
+def page_sources(spark: SparkSession, sf_dir: str, circles: bool = False) -> DataFrame:
+    """A source text per page: it includes two lower pages, some of them a missing one, with ``circles`` some one that includes it."""
     pages = B.table(spark, sf_dir, "pages").select("page_id", "url")
 
     def name(of: Column) -> Column:
@@ -311,13 +311,14 @@ def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(p >= 1, F.concat(F.lit("require_once('"), name(F.floor(p / 2)), F.lit("');\n"))).otherwise(""),
         F.when(p >= 16, F.concat(F.lit("include '"), name(F.floor(p / 16)), F.lit("';\n"))).otherwise(""),
         F.when(p % 5 == 0, F.lit("require 'gone.php';\n")).otherwise(""),
+        F.when(F.lit(circles) & (p % 40 == 3), F.concat(F.lit("include '"), name(2 * p), F.lit("';\n"))).otherwise(""),
         F.lit("done();"),
     )
     return pages.select(name(p).alias("name"), text.alias("text"))
 
 
-def expansion(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    files = cut(page_sources(spark, sf_dir))
+def expansion(spark: SparkSession, sf_dir: str, circles: bool = False) -> tuple[DataFrame, DataFrame]:
+    files = cut(page_sources(spark, sf_dir, circles))
     refs = cut(T.scan_references(files, "text", ["name"]).select("name", "pos", "path", "once"))
     return references.expand_references(refs, files.select("name"), files.select("name")), files
 
@@ -335,7 +336,45 @@ def expand_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.where("status = 'expanded'").groupBy("root", "target").agg(F.min("level").cast("bigint").alias("level"))
 
 
-@query()
+# inclusions of every page as root, level by level: a level sees what the levels before it included
+INCLUSIONS = """ref AS (
+      SELECT page_id AS name, 0 AS pos, page_id // 2 AS target, true AS once FROM pages WHERE page_id >= 1
+      UNION ALL SELECT page_id, 1, page_id // 16, false FROM pages WHERE page_id >= 16
+      UNION ALL SELECT page_id, CASE WHEN page_id >= 16 THEN 2 WHEN page_id >= 1 THEN 1 ELSE 0 END, -1, false FROM pages WHERE page_id % 5 = 0
+      {circles}),
+    inc(root, place, target, status, level, chain) USING KEY (root, place) AS (
+      SELECT page_id, []::BIGINT[], page_id, 'root', 0, [page_id] FROM pages
+      UNION
+      SELECT root, place, target, CASE WHEN NOT there THEN 'missing' WHEN once AND (before OR place <> first) THEN 'skipped'
+          WHEN list_contains(chain, target) THEN 'cycle' ELSE 'expanded' END, level, list_append(chain, target)
+      FROM (SELECT *, min(place) OVER (PARTITION BY root, target) AS first FROM (
+        SELECT i.root, list_append(i.place, f.pos::BIGINT) AS place, f.target, f.once, i.level + 1 AS level, i.chain, f.target IN (SELECT page_id FROM pages) AS there,
+          EXISTS (SELECT 1 FROM recurring.inc x WHERE x.root = i.root AND x.target = f.target AND x.status IN ('expanded', 'skipped', 'cycle')) AS before
+        FROM inc i JOIN ref f ON f.name = i.target WHERE i.status IN ('root', 'expanded'))))"""
+CIRCLES = """UNION ALL SELECT page_id, CASE WHEN page_id >= 16 THEN 2 ELSE 1 END + CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END, 2 * page_id, false
+      FROM pages WHERE page_id % 40 = 3"""
+
+
+@query(
+    f"""WITH RECURSIVE {INCLUSIONS.format(circles=CIRCLES)}
+       SELECT 'p' || root || '.php' AS root, status, count(*) AS inclusions, CAST(max(level) AS BIGINT) AS deepest FROM inc WHERE status <> 'root' GROUP BY ALL"""
+)
+def inclusion_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many inclusions of each root are expanded, skipped, missing and circular, when some files include each other."""
+    tree, _ = expansion(spark, sf_dir, circles=True)
+    return tree.groupBy("root", "status").agg(F.count(F.lit(1)).alias("inclusions"), F.max("level").cast("bigint").alias("deepest"))
+
+
+# a file's own text: the echo of its address (15 signs around it), a line end per reference, and done();
+@query(
+    f"""WITH RECURSIVE {INCLUSIONS.format(circles="")},
+       own AS (SELECT page_id AS name, length(url) + 15 + 7 AS size FROM pages),
+       refs AS (SELECT name, count(*) AS n FROM ref GROUP BY name)
+       SELECT 'p' || root || '.php' AS root, CAST(sum(CASE WHEN status = 'missing' THEN 1 ELSE 1 + coalesce(n, 0) END) AS BIGINT) AS pieces,
+         CAST(sum(CASE WHEN status = 'missing' THEN 19 ELSE own.size + coalesce(n, 0) END) AS BIGINT) AS size
+       FROM inc LEFT JOIN own ON own.name = inc.target LEFT JOIN refs ON refs.name = inc.target
+       WHERE status IN ('root', 'expanded', 'missing') GROUP BY root"""
+)
 def expanded_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces and length of each file's text with everything it includes."""
     tree, files = expansion(spark, sf_dir)
