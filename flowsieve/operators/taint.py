@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,6 +140,29 @@ def sanitizer_names(policy: DataFrame) -> list[str]:
     return sorted(row["name"] for row in listed)
 
 
+def sanitizer_words(policy: DataFrame) -> list[list[str]]:
+    """All conditional sanitizers of a policy, in words of as many names as a mask has bits; at least one word."""
+    names = sorted(r["name"] for r in policy.where("kind = 'conditional_sanitizer'").select("name").distinct().collect())
+    return [names[k : k + MASK_BITS] for k in range(0, len(names), MASK_BITS)] or [[]]
+
+
+def by_words(words: list[list[str]], state: Callable[[list[str]], DataFrame], keys: list[str]) -> DataFrame:
+    """(keys, sanitizers) when a policy has more names than a mask has bits: one ``state`` per word, their names together.
+
+    ``state`` takes the names of a word and gives keys and ``open_mask`` of what is tainted. Which keys
+    these are does not depend on the names, so each word only adds to the lists.
+    """
+    found = None
+    for k, names in enumerate(words):
+        met = applied_sanitizers(names, F.col("open_mask"))
+        part = cut(state(names).select(*keys, met.alias("sanitizers" if k == 0 else "_more")))
+        if found is None:
+            found = part
+        else:
+            found = found.join(part, keys).select(*keys, F.array_union("sanitizers", "_more").alias("sanitizers"))
+    return found
+
+
 def sanitizer_bit(names: list[str], name: Column) -> Column:
     """Bit of a sanitizer name, 0 for any other text or null."""
     bit = F.lit(0).cast("bigint")

@@ -90,10 +90,9 @@ def analyse(
     sources = classify_source_vars(ins, policy).select("unit", "var")
     sources = sources.unionByName(outs.join(generating, ["unit", "seq"], "left_semi").select("unit", "var")).distinct()
 
-    names = taint.sanitizer_names(policy)
+    words = taint.sanitizer_words(policy) if strict else [[]]
     written = outs.select("unit", "seq", F.col("var").alias("to_var"))
-    clears = F.coalesce(taint.sanitizer_bit(names, F.col("conditional")), none).alias("clears")
-    inside = ins.select("unit", "seq", "var").join(written, ["unit", "seq"]).join(open_ops, ["unit", "seq"]).select("unit", "var", "to_var", clears)
+    inside = cut(ins.select("unit", "seq", "var").join(written, ["unit", "seq"]).join(open_ops, ["unit", "seq"]).select("unit", "var", "to_var", "conditional"))
     passed = calls_of.native_flows(ins.join(native.where("callee IS NOT NULL").select("unit", "seq", "callee"), ["unit", "seq"]), policy, ["unit", "seq"])
     params = facts.params.select("unit", "pos", render_operand(F.col("var")).alias("var"))
     arguments = bind_arguments(ins.join(calls, ["unit", "seq"]), params).select("unit", F.col("seq").alias("call"), "var", "callee", "param")
@@ -106,16 +105,18 @@ def analyse(
         visible = sites.select("unit", "call").join(named.select("unit", "name", "var").distinct(), "unit")
         arguments = arguments.unionByName(calls_of.include_arguments(sites, asked, visible))
     arguments = cut(arguments.distinct())
-    state = calls_of.matched_taint(
-        flows=inside.unionByName(passed).groupBy("unit", "var", "to_var").agg(F.bit_and("clears").alias("clears")),
-        arguments=arguments,
-        outputs=calls.join(written, ["unit", "seq"]).select("unit", F.col("seq").alias("call"), "callee", F.col("to_var").alias("var")),
-        returns=facts.returns.select("unit", render_operand(F.col("var")).alias("var")),
-        sources=sources,
-        params=arguments.select(F.col("callee").alias("unit"), F.col("param").alias("var")).distinct(),
-    )
-    met = taint.applied_sanitizers(names, F.col("open_mask")) if strict else F.array().cast("array<string>")
-    state = state.select("unit", "var", F.lit(True).alias("tainted"), met.alias("sanitizers"))
+    outputs = cut(calls.join(written, ["unit", "seq"]).select("unit", F.col("seq").alias("call"), "callee", F.col("to_var").alias("var")))
+    returns = cut(facts.returns.select("unit", render_operand(F.col("var")).alias("var")))
+    filled = cut(arguments.select(F.col("callee").alias("unit"), F.col("param").alias("var")).distinct())
+    sources, passed = cut(sources), cut(passed)
+
+    def state_of(names: list[str]) -> DataFrame:
+        clears = F.coalesce(taint.sanitizer_bit(names, F.col("conditional")), none).alias("clears")
+        flows = inside.select("unit", "var", "to_var", clears).unionByName(passed)
+        flows = flows.groupBy("unit", "var", "to_var").agg(F.bit_and("clears").alias("clears"))
+        return calls_of.matched_taint(flows, arguments, outputs, returns, sources, filled)
+
+    state = taint.by_words(words, state_of, ["unit", "var"]).withColumn("tainted", F.lit(True))
     given = ins.join(state, ["unit", "var"], "left").select("unit", "seq", "pos", "tainted", "sanitizers")
     found = taint.find_flows(ops, given, policy, categories)
     kept = taint.dedupe_findings(found, ["program", "file", "start_line"], ["unit_name", "seq", "category", "message"])

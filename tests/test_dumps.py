@@ -274,3 +274,23 @@ def test_a_file_that_is_no_dump(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"blockId":1,"blocks":[]')
     with pytest.raises(ValueError, match="no block"):
         read_large_dumps(spark, str(tmp_path))
+
+
+def test_more_sanitizers_than_a_mask_has_bits(spark):
+    """Of ninety sanitizers the last is accepted by the sink, whether it is the only one on the way or not."""
+    rows = [("conditional_sanitizer", "X", 1, f"clean{k:03d}", [], []) for k in range(90)]
+    rows += [("sink", "XSS", 0, "sink_it", [0], ["clean089"]), ("source_variable", "USERINPUT", 0, "_GET", [], [])]
+    site = policy.rows_to_table(spark, rows)
+    assert [len(w) for w in taint.sanitizer_words(site)] == [62, 28]
+
+    def through(*names):
+        body, last = [INPUT], var(1, "a")
+        for k, name in enumerate(names):
+            body.append(call(name, 2, 10 + k, last))
+            last = var(10 + k)
+        return program(main=[*body, call("sink_it", 3, 5, last)])
+
+    dumps = [("one", through("clean089")), ("both", through("clean001", "clean089")), ("other", through("clean001")), ("none", through())]
+    facts = read_graph_corpus(spark.createDataFrame(dumps, "program string, text string"))
+    found = analyse(facts, site, policy.category_names(spark), strict=True).collect()
+    assert sorted(r["program"] for r in found) == ["none", "other"]
