@@ -29,7 +29,7 @@ PLACES, WIDTH = (-2, -1, 1, 2), 24
 #: Passes over the corpus; every word of every document is masked in one of them, chosen by hash.
 PASSES = 2
 #: Masked words that are kept together before they are trained on, and words that are scored at once.
-BATCH, SCORE = 4096, 2048
+BATCH, SCORE = 4096, 16384
 #: Masked words of a training step.
 STEP = 1024
 #: Weights are summed as integers of this fineness, so that sums don't depend on their order.
@@ -91,12 +91,19 @@ def start(counts: np.ndarray, total: int, seed: int = 5) -> Network:
     )
 
 
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probabilities, log of the sum) with the largest logit taken out."""
-    top = logits.max(axis=1, keepdims=True)
-    grown = np.exp(logits - top)
-    total = grown.sum(axis=1, keepdims=True)
-    return grown / total, (np.log(total) + top)[:, 0]
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Probabilities, with the largest logit taken out."""
+    grown = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return grown / grown.sum(axis=1, keepdims=True)
+
+
+def _log_sum(logits: np.ndarray) -> np.ndarray:
+    """Log of the sum of the exponentials of each row; the largest of all is taken out, or of each row if they lie far apart."""
+    top = logits.max(initial=0)
+    if top - logits.min(initial=0) > 60:
+        top = logits.max(axis=1, keepdims=True)
+    total = np.exp(logits - top) @ np.ones((logits.shape[1], 1), dtype=logits.dtype)
+    return (np.log(total) + top)[:, 0]
 
 
 def _first_level(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,14 +126,14 @@ def log_probability(net: Network, around: np.ndarray, target: np.ndarray) -> np.
     first, cluster = _first_level(target)
     rows = np.arange(len(target))
     logits = hidden @ net.head.T + net.head_bias
-    out = logits[rows, first] - _softmax(logits)[1]
+    out = logits[rows, first] - _log_sum(logits)
     order = np.argsort(cluster, kind="stable")
     edges = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
     for k in range(CLUSTERS):
         own = order[edges[k] : edges[k + 1]]
         if len(own):
             logits = hidden[own] @ net.tail[k].T + net.tail_bias[k]
-            out[own] += logits[np.arange(len(own)), (target[own] - FREQUENT) % CLUSTER] - _softmax(logits)[1]
+            out[own] += logits[np.arange(len(own)), (target[own] - FREQUENT) % CLUSTER] - _log_sum(logits)
     return out
 
 
@@ -135,7 +142,7 @@ def train_step(net: Network, around: np.ndarray, target: np.ndarray, rate: float
     hidden = _hidden(net, around)
     n, rows = len(target), np.arange(len(target))
     first, cluster = _first_level(target)
-    slope = _softmax(hidden @ net.head.T + net.head_bias)[0]
+    slope = _softmax(hidden @ net.head.T + net.head_bias)
     slope[rows, first] -= 1
     slope *= rate
     back = slope @ net.head
@@ -143,7 +150,7 @@ def train_step(net: Network, around: np.ndarray, target: np.ndarray, rate: float
     net.head_bias -= slope.sum(axis=0) / n
     for k in np.unique(cluster[cluster >= 0]):
         own = np.flatnonzero(cluster == k)
-        slope = _softmax(hidden[own] @ net.tail[k].T + net.tail_bias[k])[0]
+        slope = _softmax(hidden[own] @ net.tail[k].T + net.tail_bias[k])
         slope[np.arange(len(own)), (target[own] - FREQUENT) % CLUSTER] -= 1
         slope *= rate
         back[own] += slope @ net.tail[k]

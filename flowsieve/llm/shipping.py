@@ -1,4 +1,7 @@
-"""What every operator needs from the session: code on the workers, bounded Arrow batches."""
+"""What every operator needs from the session: code on the workers, bounded Arrow batches.
+
+Batches are a setting of the session: it holds for later Python functions of the same session as well.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +13,12 @@ from pyspark.sql import SparkSession
 
 #: Rows of one Arrow batch; texts may be long, so a batch holds few of them.
 BATCH_ROWS = 512
+#: Bytes of one batch, so that 512 very long texts are several.
+BATCH_BYTES = 256 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Send this package's code to the Python workers (once a session) and bound the Arrow batches."""
+    """Send this package's code to the Python workers (once a session), one thread for each, and bound the Arrow batches."""
     sc = spark.sparkContext
     if getattr(sc, "_flowsieve_shipped", None) is None:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -26,5 +31,8 @@ def ready(spark: SparkSession) -> SparkSession:
                         archive.write(full, os.path.relpath(full, os.path.dirname(root)))
         sc.addPyFile(target)
         sc._flowsieve_shipped = target
+        # a task has one core, and small products wait longer for a second thread than they save by it
+        sc.environment.setdefault("OMP_NUM_THREADS", "1")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
