@@ -97,6 +97,7 @@ def _segments(path: str, keep_space: bool, end_id: int):
         held: list[np.ndarray] = []
         ids: list[int | None] = []
         counts: list[int] = []
+        size_held = 0
 
         def segment() -> pa.RecordBatch:
             values = np.concatenate(held)
@@ -127,10 +128,11 @@ def _segments(path: str, keep_space: bool, end_id: int):
                     held.append(np.append(codes[at[k] : at[k + 1]], np.uint32(end_id)))
                     ids.append(keys[row + k])
                     counts.append(len(held[-1]))
-                    if sum(counts) >= SEGMENT:
+                    size_held += counts[-1]
+                    if size_held >= SEGMENT:
                         yield segment()
                         number += 1
-                        held, ids, counts = [], [], []
+                        held, ids, counts, size_held = [], [], [], 0
                 row = end
         if held:
             yield segment()
