@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,12 @@ def finite(vector: Column) -> Column:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors as rows; shorter ones are filled up with zeros."""
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1)
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    out[np.arange(out.shape[1]) < sizes[:, None]] = values
+    return out
 
 
 def _scores(batches: Iterator[pa.RecordBatch], matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -39,8 +44,9 @@ def _scores(batches: Iterator[pa.RecordBatch], matrix: np.ndarray) -> Iterator[t
             continue
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         vectors = _matrix(batch.column(1))
+        width = min(matrix.shape[1], vectors.shape[1])
         for a in range(0, len(ids), step):
-            yield ids[a : a + step], matrix @ vectors[a : a + step].T
+            yield ids[a : a + step], matrix[:, :width] @ vectors[a : a + step, :width].T
 
 
 def _histogram(block, low, high, width):
@@ -133,7 +139,8 @@ def top_scores(
     Vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null id;
     rows with the query's id are its own and no candidates for it. Repeated queries are one query
     (the rows of one id must be equal; otherwise the row with the largest vector counts); repeated
-    candidates are ranked one by one. All vectors must have one length. Fewer than ``k`` others: all.
+    candidates are ranked one by one. Of vectors of different length the shorter counts as filled up with zeros.
+    Fewer than ``k`` others: all. Products are exact as long as their sums stay below 2**53.
     """
     spark = ready(vectors.sparkSession)
     numbers = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("double"))
@@ -152,7 +159,7 @@ def top_scores(
             break
         last = rows[-1]["vec_id"]
         ids = np.array([r["vec_id"] for r in rows], dtype=np.int64)
-        block = spark.sparkContext.broadcast((ids, np.array([r["v"] for r in rows], dtype=np.float64)))
+        block = spark.sparkContext.broadcast((ids, _matrix(pa.array([r["v"] for r in rows], pa.list_(pa.float64())))))
         least = _limits(candidates, block, len(ids), k)
         found = candidates.mapInArrow(_above(block, least), "query_id long, vec_id long, score long")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -229,3 +229,12 @@ def test_texts_of_few_shingles_lose_no_link(spark):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {d: d - d % 2 for d in range(600)}
     with pytest.raises(ValueError, match="percent"):
         near_duplicates(found, percent=50)
+
+
+def test_scores_of_vectors_of_different_length(spark):
+    from flowsieve.llm.topk import top_scores
+
+    table = {0: [1.0, 2.0, 3.0, 4.0], 1: [1.0, 1.0, 1.0], 2: [1.0, 1.0, 1.0, 1.0, 9.0], 3: [2.0], 4: [0.5, 0.5, 0.5, 0.5], 20: [1.0, -1.0]}
+    frame = spark.createDataFrame(list(table.items()), "vec_id long, embedding array<float>").repartition(3)
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in top_scores(frame, F.col("vec_id") % 20 == 0).collect()}
+    assert got == {(q, c): int(4096 * sum(a * b for a, b in zip(table[q], v))) for q in (0, 20) for c, v in table.items() if c != q}
