@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,13 +144,19 @@ def _sets(size: int):
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per band of every class."""
+    """A row per band of every class, and one per key of a small set."""
     for batch in batches:
         if batch.num_rows:
             short = np.frombuffer(b"".join(batch.column("slots").to_pylist()), "<u2").reshape(-1, USED)
             c = np.repeat(batch.column("c").to_numpy(), BANDS)
             band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(band), pa.array(band_keys(short).reshape(-1))], ["c", "band", "key"])
+            keys = band_keys(short).reshape(-1)
+            small = batch.column("small")
+            owner = pc.list_parent_indices(small).to_numpy()
+            c = np.concatenate([c, batch.column("c").to_numpy()[owner]])
+            band = np.concatenate([band, np.full(len(owner), BANDS, np.int32)])
+            keys = np.concatenate([keys, small.flatten().to_numpy()])
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(band), pa.array(keys)], ["c", "band", "key"])
 
 
 def _alike(one: np.ndarray, two: np.ndarray, n_one, n_two, percent: int) -> np.ndarray:
@@ -257,9 +264,7 @@ def near_duplicates(
     classes = cut(full.groupBy("mark").agg(F.min("id").alias("rep"), F.min("row").alias("row")))
     heads = cut(full.drop("id").join(classes, ["mark", "row"]))
 
-    members = heads.select("c", "slots").mapInArrow(_members, "c long, band int, key long").unionByName(
-        heads.select("c", F.lit(BANDS).alias("band"), F.explode("small").alias("key"))
-    )
+    members = heads.select("c", "slots", "small").mapInArrow(_members, "c long, band int, key long")
     buckets = members.groupBy("key").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first < last")
     members = cut(members.join(buckets.select("key", "first"), "key"))
     star = members.where("first < c").select(F.col("first").alias("a"), F.col("c").alias("b")).distinct()
