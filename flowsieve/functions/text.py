@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsieve.session import cut
+
 # Type names that are never resolved.
 BUILT_IN_TYPES = """
 self parent static int integer long float double real array object bool boolean null void false
@@ -47,10 +49,11 @@ def resolve_type_tags(tags: DataFrame, keys: list[str], aliases: DataFrame) -> D
 
     ``aliases(alias, target)``: built-in, malformed and unknown names stay; a leading
     backslash is dropped. The parts of one tag are put together again in their order.
+    A type is resolved once, however many tags name it, so the tags themselves are not split and gathered.
     """
-    ids = [*keys, "pos", "tag", "raw"]
-    parts = tags.select(
-        *ids, F.posexplode(F.regexp_extract_all("raw", F.lit(r"[|&]|[^|&]+"), F.lit(0))).alias("_at", "_part")
+    tags = cut(tags.select(*keys, "pos", "tag", "raw"))
+    parts = tags.select("raw").distinct().select(
+        "raw", F.posexplode(F.regexp_extract_all("raw", F.lit(r"[|&]|[^|&]+"), F.lit(0))).alias("_at", "_part")
     )
     nullable = F.regexp_extract("_part", r"^(\?*)", 1)
     lists = F.regexp_extract("_part", r"((?:\[\])*)$", 1)
@@ -67,7 +70,8 @@ def resolve_type_tags(tags: DataFrame, keys: list[str], aliases: DataFrame) -> D
     text = F.concat("_head", F.coalesce("_target", plain), "_tail")
     # the parts of one tag: bounded by the length of that tag
     ordered = F.array_sort(F.collect_list(F.struct("_at", text.alias("_text"))))
-    return named.groupBy(*ids).agg(F.array_join(F.transform(ordered, lambda p: p["_text"]), "").alias("resolved"))
+    resolved = named.groupBy("raw").agg(F.array_join(F.transform(ordered, lambda p: p["_text"]), "").alias("resolved"))
+    return tags.join(cut(resolved), "raw").select(*keys, "pos", "tag", "raw", "resolved")
 
 
 def scan_references(df: DataFrame, text: str, keys: list[str], pattern: str = INCLUDE_STATEMENT) -> DataFrame:

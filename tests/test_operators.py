@@ -413,3 +413,15 @@ def test_long_circles(spark, blocks):
     assert rows(held) == {("u", b, 7) for b in (7, 8, 9)} | {("u", b, None) for b in (0, 1, 2)}
     levels = breadth_first(facts.where("var = 0").select("unit", "block"), edges)
     assert {(r["block"], r["level"]) for r in levels.collect()} == {(b, b) for b in range(blocks)}
+
+
+def test_tags_are_not_gathered_by_document(spark, capsys):
+    """Each type is resolved once; documents with the same id and comment keep their own rows."""
+    table = spark.createDataFrame([(1, "@param A|Quux $x @var A|Quux"), (1, "@param A|Quux $x"), (2, "@var ?B[]")], "id int, c string")
+    alias = spark.createDataFrame([("quux", "Foo\\Bar")], "alias string, target string")
+    found = resolve_type_tags(type_tags(table, "c", ["id"]), ["id"], alias)
+    assert sorted((r["id"], r["pos"], r["tag"], r["resolved"]) for r in found.collect()) == [
+        (1, 0, "param", "A|Foo\\Bar"), (1, 0, "param", "A|Foo\\Bar"), (1, 1, "var", "A|Foo\\Bar"), (2, 0, "var", "?B[]")
+    ]
+    found.explain()
+    assert "hashpartitioning(id" not in capsys.readouterr().out
