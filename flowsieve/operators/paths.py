@@ -8,11 +8,47 @@ from pyspark.sql import functions as F
 from flowsieve.functions.expressions import negate_condition, symbol_of
 from flowsieve.operators.fixpoint import follow_pointers
 from flowsieve.operators.ordered import row_sequence, running_max, with_slice
-from flowsieve.session import cut_counted
+from flowsieve.session import cut, cut_counted
 
 MAX_LOOP = 10
 
 
+#: Steps of a walk that one round follows; only walks that are longer are written and dealt out again.
+ROUND = 6
+
+
+def _unit_graphs(links: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row per unit: the names of its blocks, and per block (by its place there) where its edges lead."""
+    names = entries.select("unit", "block").unionByName(links.select("unit", "block")).unionByName(links.select("unit", F.col("_to").alias("block")))
+    named = names.groupBy("unit").agg(F.array_sort(F.collect_set("block")).alias("_names"))
+    targets = links.where("unit IS NOT NULL AND block IS NOT NULL").groupBy("unit", "block").agg(F.collect_list(F.struct("_to")).alias("_all"))
+    edges = targets.groupBy(F.col("unit").alias("_unit")).agg(F.map_from_entries(F.collect_list(F.struct("block", "_all"))).alias("_targets"))
+    place = F.map_from_arrays("_names", F.transform("_names", lambda _, at: at))
+    both = named.join(edges, F.col("unit") == F.col("_unit"), "left").withColumn("_place", place)
+    # a block without a name has place -1 and no edges
+    at = lambda t: F.coalesce(F.try_element_at("_place", t["_to"]), F.lit(-1))
+    ends = F.transform("_names", lambda n: F.transform(F.coalesce(F.try_element_at("_targets", n), F.array()), at))
+    return cut(both.select(F.col("unit").alias("_unit"), "_names", ends.alias("_next")))
+
+
+def _followed(front: DataFrame, graphs: DataFrame, max_loop: int, every: bool) -> DataFrame:
+    """What follows on ``front`` within a round, each with the graph of its unit; ``_open`` are those a whole round on.
+
+    The steps of a round are taken inside a task: a walk is replaced by its next steps, with ``every`` by itself, closed, as well.
+    """
+    often = lambda s: F.size("_path") - F.size(F.array_remove("_path", s))
+    walks = front.join(graphs.hint("shuffle_hash"), F.col("unit").eqNullSafe(F.col("_unit")))
+    walks = walks.drop("_unit").withColumn("_open", F.lit(True))
+    closed = F.array(F.struct("_path", F.lit(False).alias("_open")))
+    for _ in range(ROUND):
+        onward = F.filter(F.get("_next", F.element_at("_path", -1)), lambda s: often(s) < max_loop)
+        longer = F.transform(onward, lambda s: F.struct(F.array_append("_path", s).alias("_path"), F.lit(True).alias("_open")))
+        if every:
+            longer = F.when(F.col("_open"), F.concat(closed, F.coalesce(longer, F.slice(closed, 1, 0)))).otherwise(closed)
+        walks = walks.select("unit", "_names", "_next", F.inline(longer))
+    return walks.withColumn("imprecise", F.coalesce(F.exists(F.get("_next", F.element_at("_path", -1)), lambda s: often(s) >= max_loop), F.lit(False)))
+
+
 def enumerate_paths(
     edges: DataFrame, entries: DataFrame, max_loop: int = MAX_LOOP, dead_ends: DataFrame | None = None
 ) -> DataFrame:
@@ -21,30 +57,26 @@ def enumerate_paths(
     Gives every prefix with ``path`` (array), ``block`` (its end) and ``imprecise``
     (the bound stopped a step). ``dead_ends(unit, src, dst)`` are edges known to be
     infeasible; paths over them are not followed, which keeps the growth down.
+    On the way a path is an array of small numbers, and only those that are a multiple of ``ROUND`` steps long
+    are written; the others are made when the result is read.
     """
     links = edges.select("unit", F.col("src").alias("block"), F.col("dst").alias("_to")).distinct()
     if dead_ends is not None:
         no = dead_ends.select("unit", F.col("src").alias("block"), F.col("dst").alias("_to"))
         links = links.join(no, ["unit", "block", "_to"], "left_anti")
-    level, rows = cut_counted(entries.select("unit", "block", F.array("block").alias("path")))
-    parts = []
-    while rows:
-        parts.append(level)
-        seen = F.size(F.filter("path", lambda b: b == F.col("_to")))
-        steps = level.join(links, ["unit", "block"]).where(seen < max_loop)
-        level, rows = cut_counted(
-            steps.select("unit", F.col("_to").alias("block"), F.array_append("path", F.col("_to")).alias("path"))
-        )
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    full = every.join(links, ["unit", "block"]).where(
-        F.size(F.filter("path", lambda b: b == F.col("_to"))) >= max_loop
-    )
-    stopped = full.select("unit", "path").distinct().withColumn("imprecise", F.lit(True))
-    return every.join(stopped, ["unit", "path"], "left").withColumn(
-        "imprecise", F.coalesce("imprecise", F.lit(False))
-    )
+    entries = cut(entries.select("unit", "block"))
+    graphs = _unit_graphs(links, entries)
+    started = entries.join(graphs, F.col("unit").eqNullSafe(F.col("_unit")))
+    place = F.coalesce(F.array_position("_names", F.col("block")) - 1, F.lit(-1)).cast("int")
+    front, rows = cut_counted(started.select("unit", F.array(place).alias("_path")))
+    every = None
+    while rows or every is None:
+        followed = _followed(front, graphs, max_loop, every=True)
+        path = F.transform("_path", lambda at: F.get("_names", at)).alias("path")
+        closed = followed.where("NOT _open").select("unit", path, "imprecise").select("unit", "path", F.element_at("path", -1).alias("block"), "imprecise")
+        every = closed if every is None else every.unionByName(closed)
+        front, rows = cut_counted(_followed(front, graphs, max_loop, every=False).select("unit", "_path"))
+    return every
 
 
 def path_conditions(steps: DataFrame, guards: DataFrame) -> DataFrame:

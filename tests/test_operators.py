@@ -425,3 +425,23 @@ def test_tags_are_not_gathered_by_document(spark, capsys):
     ]
     found.explain()
     assert "hashpartitioning(id" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("bound", [1, 2, 3])
+def test_paths_are_not_dealt_out_again(spark, capsys, bound):
+    """Same prefixes as by brute force, over several rounds; the paths themselves are never shuffled by their text."""
+    steps = [("u", 1, 2), ("u", 2, 3), ("u", 3, 1), ("u", 3, 4), ("u", 4, 5), ("u", 5, 6), ("u", 6, 7), ("u", 7, 5), ("u", 6, None), ("v", 1, 1)]
+    edges = spark.createDataFrame([*steps, (None, 1, 2), ("u", 4, 8)], "unit string, src int, dst int")
+    starts = [("u", 1), ("u", 9), ("v", 1), (None, 1), ("w", None)]
+    dead = spark.createDataFrame([("u", 4, 8)], "unit string, src int, dst int")
+    found = paths.enumerate_paths(edges, spark.createDataFrame(starts, "unit string, block int"), max_loop=bound, dead_ends=dead)
+    expected, front = [], [(u, (b,)) for u, b in starts]
+    while front:
+        unit, path = front.pop()
+        onward = [d for u, s, d in steps if u == unit and s == path[-1]]
+        expected.append((unit, path, path[-1], any(path.count(d) >= bound for d in onward)))
+        front += [(unit, (*path, d)) for d in onward if path.count(d) < bound]
+    got = [(r["unit"], tuple(r["path"]), r["block"], r["imprecise"]) for r in found.select("unit", "path", "block", "imprecise").collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    found.explain()
+    assert "path" not in "".join(x for x in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning" in x).replace("_path", "")
