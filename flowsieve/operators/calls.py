@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.operators.fixpoint import grow_masks
 from flowsieve.operators.taint import ALL_OPEN
-from flowsieve.session import cut, cut_counted
+from flowsieve.session import cut, cut_counted, sizes_in_memory
 
 #: Root of what a unit's own sources taint; parameters are roots by their name.
 GENERATED = "!"
@@ -33,9 +33,15 @@ def _root(param: str):
 def unit_paths(
     flows: DataFrame, arguments: DataFrame, outputs: DataFrame, returns: DataFrame, sources: DataFrame, params: DataFrame
 ) -> DataFrame:
-    """(unit, root, var, open_mask): what each parameter and the sources of a unit reach in it, calls included.
+    """(unit, root, var, open_mask): what each parameter and the sources of a unit reach in it, calls included."""
+    with sizes_in_memory(flows.sparkSession):
+        return _unit_paths(flows, arguments, outputs, returns, sources, params)
 
-    Every round follows the flows inside all units, then turns the summaries that are new into flows
+
+def _unit_paths(
+    flows: DataFrame, arguments: DataFrame, outputs: DataFrame, returns: DataFrame, sources: DataFrame, params: DataFrame
+) -> DataFrame:
+    """Every round follows the flows inside all units, then turns the summaries that are new into flows
     at the calls of their units; only those and what they reach enter the next round. Rounds go as deep as
     calls are nested, and further round recursive calls as long as masks gain.
     """
@@ -113,7 +119,11 @@ def matched_taint(
     part of ``flows`` (``native_flows``). An include is a call whose parameters are the variables that the included
     unit asks for (``include_arguments``).
     """
-    paths = cut(unit_paths(flows, arguments, outputs, returns, sources, params))
+    with sizes_in_memory(flows.sparkSession):
+        return cut(_matched_taint(cut(unit_paths(flows, arguments, outputs, returns, sources, params)), arguments))
+
+
+def _matched_taint(paths: DataFrame, arguments: DataFrame) -> DataFrame:
     given = cut(tainted_parameters(paths, arguments))
     handed = paths.where(F.col("root") != GENERATED).join(
         given.select("unit", _root("var").alias("root"), F.col("open_mask").alias("_mask")), ["unit", "root"]

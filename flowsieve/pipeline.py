@@ -13,7 +13,7 @@ from flowsieve.operators import taint
 from flowsieve.operators.classify import classify_sinks, classify_source_vars, flag_ops
 from flowsieve.operators.filters import truncate_at_exit
 from flowsieve.operators.links import bind_arguments, link_includes
-from flowsieve.session import cut
+from flowsieve.session import cut, sizes_in_memory
 from flowsieve.sources.dumps import Facts
 
 SEPARATOR = "#"
@@ -69,6 +69,11 @@ def analyse(
     accepted sanitizer are findings. Plain mode: a conditional sanitizer clears; ``strict``: it is remembered where it
     lies on all ways, and counts for the sinks that accept it. Everything is keyed by program and unit.
     """
+    with sizes_in_memory(facts.ops.sparkSession):
+        return cut(_analyse(facts, policy, categories, strict, follow_includes))
+
+
+def _analyse(facts: Facts, policy: DataFrame, categories: DataFrame, strict: bool, follow_includes: bool) -> DataFrame:
     facts = corpus_keys(facts)
     # one number per instruction of a unit
     place = F.shiftleft(F.col("block").cast("long"), 32) + F.col("seq")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -54,28 +56,38 @@ def new_folder(spark: SparkSession, label: str) -> str:
 IN_MEMORY = "50"
 
 
-def _sizes_in_memory(spark: SparkSession) -> None:
-    """Let Spark take a file for what its rows need in memory, unless the session has its own factor.
+@contextmanager
+def sizes_in_memory(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark takes a file for what its rows need in memory, unless the session has its own factor.
 
-    Broadcast thresholds are meant for rows; taken by the size of compressed files, a table of 10 MB was sent through
+    Broadcast thresholds are meant for rows; taken by the size of compressed files, a table of 10 MB is sent through
     the driver as half a GB of rows. Shuffles are measured in rows anyway, so what is small is still broadcast; a loop does
-    that in every round, so its tables count as small below 2 MB.
+    that in every round, so its tables count as small below 2 MB. More is shuffled instead, so this is for work
+    whose many joins would fill the driver. It holds for plans that run inside: ``cut`` what is returned.
     """
-    factor = "spark.sql.sources.fileCompressionFactor"
-    if float(spark.conf.get(factor, "1.0")) == 1:
+    factor, small = "spark.sql.sources.fileCompressionFactor", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {name: spark.conf.get(name, None) for name in (factor, small)}
+    if float(before[factor] or 1) == 1:
         spark.conf.set(factor, IN_MEMORY)
-    if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
-        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "2m")
+    if before[small] is None:
+        spark.conf.set(small, "2m")
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from the written table.
 
     The lineage ends here, a lost executor costs only a re-read, and Spark knows
-    the size of the table, so it broadcasts it only below its own threshold.
+    the true size of the table, so it broadcasts it only below its own threshold.
     """
     spark = df.sparkSession
-    _sizes_in_memory(spark)
     path = new_folder(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -449,11 +449,15 @@ def test_paths_are_not_dealt_out_again(spark, capsys, bound):
 
 def test_written_tables_count_by_their_rows(spark, capsys):
     """Two million rows fit files of less than two MB; they are not sent through the driver for that."""
-    from flowsieve.session import cut
+    from flowsieve.session import cut, sizes_in_memory
 
+    factor = "spark.sql.sources.fileCompressionFactor"
+    before = spark.conf.get(factor)
     many = cut(spark.range(2_000_000).selectExpr("pmod(xxhash64(id), 7) AS k", "pmod(xxhash64(id, 1), 5) AS v"))
     few = cut(spark.range(100).selectExpr("id AS k"))
-    many.join(many.withColumnRenamed("v", "w"), "k").explain()
-    assert "Broadcast" not in capsys.readouterr().out
-    many.join(few, "k").explain()
-    assert "Broadcast" in capsys.readouterr().out
+    with sizes_in_memory(spark):
+        many.join(many.withColumnRenamed("v", "w"), "k").explain()
+        assert "Broadcast" not in capsys.readouterr().out
+        many.join(few, "k").explain()
+        assert "Broadcast" in capsys.readouterr().out
+    assert spark.conf.get(factor) == before
