@@ -5,12 +5,10 @@ Batches are a setting of the session: it holds for later Python functions of the
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import SparkSession
 
+from flowsieve.session import ship
+
 #: Rows of one Arrow batch; texts may be long, so a batch holds few of them.
 BATCH_ROWS = 512
 #: Bytes of one batch, so that 512 very long texts are several.
@@ -19,20 +17,7 @@ BATCH_BYTES = 256 << 20
 
 def ready(spark: SparkSession) -> SparkSession:
     """Send this package's code to the Python workers (once a session), one thread for each, and bound the Arrow batches."""
-    sc = spark.sparkContext
-    if getattr(sc, "_flowsieve_shipped", None) is None:
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        target = os.path.join(tempfile.mkdtemp(prefix="flowsieve-code-"), "flowsieve.zip")
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
-            for folder, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        archive.write(full, os.path.relpath(full, os.path.dirname(root)))
-        sc.addPyFile(target)
-        sc._flowsieve_shipped = target
-        # a task has one core, and small products wait longer for a second thread than they save by it
-        sc.environment.setdefault("OMP_NUM_THREADS", "1")
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.operators.fixpoint import grow_masks
+from flowsieve.operators.inside import deal_large_units, follow
 from flowsieve.operators.links import link_accesses
 from flowsieve.operators.ordered import with_slice
 from flowsieve.operators.taint import ALL_OPEN
@@ -96,28 +96,17 @@ def taint_block_states(steps: DataFrame, edges: DataFrame, seeds: DataFrame | No
 
 def states_of(transfers: DataFrame, kills: DataFrame, edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """``taint_block_states`` from the functions of the blocks."""
-    transfers, kills = cut(transfers), cut(kills)
+    transfers = cut(transfers)
     links = cut(edges.select("unit", F.col("src").alias("block"), F.col("dst").alias("_to")).distinct())
     keys = [*PLACE, "var"]
-
-    def onward(at_end: DataFrame) -> DataFrame:
-        return at_end.join(links, PLACE).select("unit", F.col("_to").alias("block"), "var", "open_mask")
-
-    copies = cut(transfers.where("var IS NOT NULL").withColumnRenamed("clears", "_clears"))
-
-    def step(delta: DataFrame) -> DataFrame:
-        copied = delta.join(copies, keys).select(
-            *PLACE, F.col("to_var").alias("var"), F.expr("open_mask & ~_clears").alias("open_mask")
-        )
-        return onward(copied.unionByName(delta.select(*keys, "open_mask").join(kills, keys, "left_anti")))
-
     made = transfers.where("var IS NULL").select(
         *PLACE, F.col("to_var").alias("var"), F.expr(f"{ALL_OPEN}L & ~clears").alias("open_mask")
     )
-    start = onward(made)
+    start = made.join(links, PLACE).select("unit", F.col("_to").alias("block"), "var", "open_mask")
     if seeds is not None:
         start = start.unionByName(seeds.select(*keys, "open_mask"))
-    return grow_masks(start, step, keys, "open_mask", within=["unit"])
+    copies = transfers.where("var IS NOT NULL")
+    return follow(start, links, ["var"], "open_mask", copies=copies, kills=kills.select(*keys), deal=deal_large_units(links, copies))
 
 
 def read_states(linked: DataFrame, origins: DataFrame, entry: DataFrame) -> DataFrame:

@@ -1,68 +1,19 @@
 """Facts carried along the edges of many graphs at once.
 
-Facts of a block that differ only in what they are about (a variable) are one row: the variables of a unit are
-numbered, and a row holds the bits of a word of them, so a unit with more has more rows per block. Words run along the
-edges until no row gains a bit; a round joins only rows that did. One way for units of any size.
+Facts of a unit are followed inside the task that has its edges (``inside``); the facts of a block that differ only in
+what they are about (a variable) are bits of a word there. A unit with very many edges is several parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.operators.fixpoint import grow, grow_masks
-from flowsieve.operators.ordered import add_range_slices, row_sequence
+from flowsieve.operators.inside import deal_large_units, follow
 from flowsieve.session import cut
 
 #: Bits of a word; a long has 63 that are not the sign.
 WORD = 62
-#: Steps that one round follows.
-HOPS = 5
-
-
-def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on equal keys, null being equal to null; the columns of ``right`` that are no keys are added."""
-    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(named, condition, how).drop(*[f"_r_{k}" for k in keys])
-
-
-def _numbers(facts: DataFrame, extra: list[str], bits: int) -> DataFrame:
-    """(unit, *extra, word, place): a place in a word for all that the facts of a unit are about."""
-    distinct = add_range_slices(facts.select("unit", *extra).distinct(), extra)
-    numbered = row_sequence(distinct, ["unit"], extra, "_n")
-    at = F.col("_n") - 1
-    return cut(numbered.select("unit", *extra, F.floor(at / bits).cast("int").alias("word"), (at % bits).cast("int").alias("place")))
-
-
-def _bit(place: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
-
-
-def _words(facts: DataFrame, numbers: DataFrame, extra: list[str], name: str) -> DataFrame:
-    held = _same(facts, numbers, ["unit", *extra])
-    return held.groupBy("unit", "block", "word").agg(F.bit_or(_bit(F.col("place"))).alias(name))
-
-
-def _carried(facts: DataFrame, links: DataFrame, extra: list[str], bits: int, stops: DataFrame | None = None) -> DataFrame:
-    """``facts`` with all that ``links(unit, block, _to)`` make of them; ``stops`` are not entered."""
-    numbers = _numbers(facts, extra, bits)
-    barred = cut(_words(stops, numbers, extra, "_barred")) if stops is not None else None
-
-    def step(delta: DataFrame) -> DataFrame:
-        moved = delta.join(links, ["unit", "block"]).select("unit", F.col("_to").alias("block"), "word", "bits")
-        if barred is None:
-            return moved
-        open_bits = F.expr("bits & ~coalesce(_barred, 0L)").alias("bits")
-        return moved.join(barred, ["unit", "block", "word"], "left").select("unit", "block", "word", open_bits).where("bits <> 0")
-
-    done = grow_masks(_words(facts, numbers, extra, "bits"), step, ["unit", "block", "word"], "bits", within=["unit"], hops=HOPS)
-    places = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda place: F.getbit("bits", place) == 1)
-    spread_out = done.select("unit", "block", "word", F.explode(places).alias("place"))
-    return spread_out.join(numbers, ["unit", "word", "place"]).select("unit", "block", *extra)
-
 
 def _links(edges: DataFrame, backward: bool = False) -> DataFrame:
     start, to = ("dst", "src") if backward else ("src", "dst")
@@ -74,16 +25,8 @@ def spread(facts: DataFrame, edges: DataFrame, extra: list[str], *, backward: bo
 
     Forward a fact goes from ``src`` to ``dst``, backward the other way.
     """
-    links, facts = _links(edges, backward), cut(facts.select("unit", "block", *extra).distinct())
-    if extra:
-        return _carried(facts, links, extra, bits)
-    return grow(
-        facts,
-        lambda delta: delta.join(links, ["unit", "block"]).select("unit", F.col("_to").alias("block")),
-        ["unit", "block"],
-        within=["unit"],
-        hops=HOPS,
-    )
+    links = _links(edges, backward)
+    return follow(facts.select("unit", "block", *extra), links, extra, deal=deal_large_units(links), bits=bits)
 
 
 def flood(facts: DataFrame, edges: DataFrame, stops: DataFrame, extra: list[str], *, bits: int = WORD) -> DataFrame:
@@ -92,18 +35,13 @@ def flood(facts: DataFrame, edges: DataFrame, stops: DataFrame, extra: list[str]
     ``stops`` has the same columns: what holds a fact back differs by ``extra``. A fact
     that starts at a stop is still carried on from there.
     """
-    keys = ["unit", "block", *extra]
-    return _carried(cut(facts.select(*keys).distinct()), _links(edges), extra, bits, stops.select(*keys).distinct())
+    links = _links(edges)
+    return follow(facts.select("unit", "block", *extra), links, extra, stops=stops, deal=deal_large_units(links), bits=bits)
 
 
 def breadth_first(entries: DataFrame, edges: DataFrame) -> DataFrame:
     """Blocks reached from ``entries(unit, block)`` with the number of steps as ``level``."""
     links = _links(edges)
-    return grow(
-        entries.select("unit", "block"),
-        lambda delta: delta.join(links, ["unit", "block"]).select("unit", F.col("_to").alias("block")),
-        ["unit", "block"],
-        levels=True,
-        within=["unit"],
-        hops=HOPS,
-    )
+    start = entries.select("unit", "block", F.lit(0).cast("bigint").alias("level"))
+    found = follow(start, links, [], "level", least=True, deal=deal_large_units(links))
+    return found.withColumn("level", F.col("level").cast("int"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions.expressions import render_message
 from flowsieve.operators.classify import classify_sinks, match_sink_arguments, sanitizer_mismatch
 from flowsieve.operators.fixpoint import follow_pointers, grow, grow_masks
+from flowsieve.operators.inside import deal_large_units, follow
 from flowsieve.operators.states import dedupe_findings
 from flowsieve.session import cut
 
@@ -107,29 +108,10 @@ def taint_blocks(generated: DataFrame, transfers: DataFrame, edges: DataFrame) -
     ``generated`` are sources, ``transfers(unit, block, var, to_var)`` the copies made
     inside a block, ``edges(unit, src, dst)`` carry every variable on.
     """
-    keys = ["unit", "block", "var"]
-    moves = _moves(transfers, edges.select("unit", "src", "dst").distinct())
-    return grow(generated.select(*keys), lambda delta: _moved(delta, moves), keys, within=["unit"], hops=3)
-
-
-def _moves(transfers: DataFrame, links: DataFrame) -> DataFrame:
-    """One table for one join: an edge takes any variable (``*``), a copy its own one."""
-    to_type = dict(transfers.dtypes)["to_var"]
-    onward = links.select(
-        "unit", F.col("src").alias("block"), F.lit("*").alias("_for"), F.col("dst").alias("_block"),
-        F.lit(None).cast(to_type).alias("_var"),
-    )
-    copies = transfers.select(
-        "unit", "block", F.concat(F.lit("="), "var").alias("_for"), F.col("block").alias("_block"), F.col("to_var").alias("_var")
-    )
-    return cut(onward.unionByName(copies))
-
-
-def _moved(delta: DataFrame, moves: DataFrame) -> DataFrame:
-    asked = delta.select("*", F.explode(F.array(F.lit("*"), F.concat(F.lit("="), "var"))).alias("_for"))
-    return asked.join(moves, ["unit", "block", "_for"]).select(
-        "unit", F.col("_block").alias("block"), F.coalesce("_var", "var").alias("var")
-    )
+    links = cut(edges.select("unit", F.col("src").alias("block"), F.col("dst").alias("_to")).distinct())
+    copies = cut(transfers.select("unit", "block", "var", "to_var", F.lit(0).alias("clears")))
+    facts = generated.select("unit", "block", "var")
+    return follow(facts, links, ["var"], copies=copies, within=True, deal=deal_large_units(links, copies))
 
 
 def sanitizer_names(policy: DataFrame) -> list[str]:

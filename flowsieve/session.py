@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -30,6 +32,24 @@ def local_session(cpus: str | int = "*", partitions: int = 8, name: str = "flows
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the Python workers (once a session), one thread for each."""
+    sc = spark.sparkContext
+    if getattr(sc, "_flowsieve_shipped", None) is None:
+        root = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="flowsieve-code-"), "flowsieve.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+        sc.addPyFile(target)
+        sc._flowsieve_shipped = target
+        # a task has one core, and small products wait longer for a second thread than they save by it
+        sc.environment.setdefault("OMP_NUM_THREADS", "1")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
     sc = spark.sparkContext

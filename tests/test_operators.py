@@ -7,7 +7,7 @@ from conftest import TINY
 from pyspark.sql import functions as F
 
 from flowsieve.functions.text import reference_segments, resolve_type_tags, scan_references, type_tags
-from flowsieve.operators import fixpoint, graph, guards, paths, states, taint
+from flowsieve.operators import fixpoint, graph, inside, guards, paths, states, taint
 from flowsieve.plans import bindings, load_all
 from flowsieve.plans.profiles import read_profiles
 from flowsieve.sources import policy, references
@@ -461,3 +461,44 @@ def test_written_tables_count_by_their_rows(spark, capsys):
         many.join(few, "k").explain()
         assert "Broadcast" in capsys.readouterr().out
     assert spark.conf.get(factor) == before
+
+
+def test_parts_of_a_unit_hand_on_what_they_find(spark):
+    """A unit of many parts gives what one part gives: levels, words of bits with stops, values with copies and kills."""
+    from flowsieve.operators.spread import breadth_first, flood
+
+    edges = spark.range(60).selectExpr("if(id < 40, 'u', 'v') AS unit", "cast(id AS int) AS src", "cast((id * 7 + 3) % 40 AS int) AS dst")
+    edges = edges.unionByName(spark.createDataFrame([("u", 3, None), (None, 1, 2), ("u", None, 4)], "unit string, src int, dst int"))
+    facts = spark.createDataFrame([("u", k % 40, k % 9) for k in range(30)] + [("u", 1, None), (None, 1, 1), ("v", 45, 2)], "unit string, block int, var int")
+    stops = spark.createDataFrame([("u", 10, 7), ("u", 3, None), ("u", 24, 4)], facts.schema)
+    copies = spark.createDataFrame([("u", k, k % 9, (k * 5) % 11, 1 << (k % 4)) for k in range(40)], "unit string, block int, var int, to_var int, clears bigint")
+    masks = facts.withColumn("open_mask", F.lit(15).cast("bigint"))
+
+    def all_of():
+        links = edges.select("unit", F.col("src").alias("block"), F.col("dst").alias("_to"))
+        deal = inside.deal_large_units(links)
+        entries = facts.where("var IN (2, 5)").select("unit", "block").distinct()
+        return deal, [
+            rows(breadth_first(entries, edges)), rows(flood(facts, edges, stops, ["var"], bits=4)), rows(taint.taint_blocks(facts, copies, edges)),
+            rows(inside.follow(masks, links, ["var"], "open_mask", copies=copies, kills=stops, deal=deal)),
+        ]
+
+    deal, one = all_of()
+    assert deal is None
+    spark.conf.set("flowsieve.rows.per.group", "20")
+    try:
+        deal, many = all_of()
+    finally:
+        spark.conf.unset("flowsieve.rows.per.group")
+    assert deal is not None
+    assert one == many
+
+
+def test_facts_of_a_unit_meet_its_links_once(spark, capsys):
+    """However long the way, its facts are not dealt out again: one shuffle, no join, no table per round."""
+    links = spark.range(300).selectExpr("'u' AS unit", "cast(id AS int) AS block", "cast(id + 1 AS int) AS _to")
+    found = inside.follow(spark.createDataFrame([("u", 0)], "unit string, block int"), links, [])
+    assert found.count() == 301
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "Join" not in plan
