@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.operators.fixpoint import follow_pointers, grow
 from flowsieve.operators.ordered import add_range_slices, row_sequence
+from flowsieve.operators.regions import reach
 from flowsieve.operators.spread import WORD, breadth_first, flood, spread
 from flowsieve.session import cut, cut_counted
 
@@ -40,10 +41,7 @@ def covered_edges(edges: DataFrame, reached: DataFrame, feasible: DataFrame) ->
 
 def reachable_units(calls: DataFrame, roots: DataFrame) -> DataFrame:
     """Call closure: ``calls(unit, callee)`` from ``roots(unit)``, with the call depth."""
-    links = calls.select("unit", "callee").distinct()
-    return grow(
-        roots, lambda delta: delta.join(links, "unit").select(F.col("callee").alias("unit")), ["unit"], levels=True
-    )
+    return reach(calls, roots)
 
 
 def live_variables(mentions: DataFrame, edges: DataFrame) -> DataFrame:
@@ -63,7 +61,7 @@ def live_variables_interproc(
     links = calls.select("unit", "callee")
     if includes is not None:
         links = links.unionByName(includes.select("unit", "callee").where("callee IS NOT NULL"))
-    reached = cut(reachable_units(cut(links), roots).select("unit"))
+    reached = cut(reachable_units(links, roots).select("unit"))
     return live_variables(
         mentions.join(reached, "unit", "left_semi"), edges.join(reached, "unit", "left_semi")
     )

@@ -502,3 +502,21 @@ def test_facts_of_a_unit_meet_its_links_once(spark, capsys):
     found.explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_long_chains_of_calls_cross_few_regions(spark):
+    """Calls a few units ahead: regions are bounded, grow along the calls, and change neither what is reached nor its depth."""
+    from flowsieve.operators.regions import regions
+
+    name = "substring(md5(cast({} AS string)), 1, 12)"
+    calls = spark.range(150).selectExpr("id", "explode(array(1, 3)) AS ahead").selectExpr(f"{name.format('id')} AS unit", f"{name.format('id + ahead')} AS callee")
+    roots = spark.range(1).selectExpr(f"{name.format('id')} AS unit")
+    expected = {(r["n"], r["l"]) for r in spark.range(153).selectExpr(f"{name.format('id')} AS n", "cast(id div 3 + id % 3 AS int) AS l").collect()}
+    dealt = regions(calls, 200).groupBy("region").count().collect()
+    assert 1 < len(dealt) < 40 and max(r["count"] for r in dealt) <= 200
+    spark.conf.set("flowsieve.rows.per.group", "200")
+    try:
+        assert rows(graph.reachable_units(calls, roots)) == expected
+    finally:
+        spark.conf.unset("flowsieve.rows.per.group")
+    assert rows(graph.reachable_units(calls, roots)) == expected
