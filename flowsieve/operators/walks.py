@@ -2,8 +2,8 @@
 
 A walk carries what its branches have asked of each variable: an interval of whole numbers and the
 constants taken out of it. An edge adds its conditions, a block that writes a variable forgets what was
-asked of it; a walk whose interval runs empty is not followed. Walks are a prefix tree: a row knows its
-parent, not its path, and a row's size follows the variables asked about, not the length of the walk.
+asked of it; a walk whose interval runs empty is not followed. They are followed inside the task that has the
+links of their unit (``roam``), what a task may not finish goes on in others.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsieve.operators.inside import FACT, LINK, group_rows
 from flowsieve.operators.paths import MAX_LOOP
-from flowsieve.session import cut, cut_counted
+from flowsieve.operators.roam import EDGE, KNOWN, OPEN, STATE, RoamStates, RoamWalks
+from flowsieve.session import cut, cut_counted, ship
 
 ASKED = "array<struct<var: string, lo: bigint, hi: bigint, holes: array<bigint>>>"
 CONDITIONS = "array<struct<var: string, cmp: string, const: bigint>>"
-KNOWN = ["=", "!=", "<", "<=", ">", ">="]
+#: Open walks of a part.
+PART_WALKS = 1_000
 
 
 def _nothing(shape: str) -> Column:
@@ -78,9 +81,19 @@ def _step(front: DataFrame, links: DataFrame) -> DataFrame:
     return tried.withColumn("_asked", kept).withColumn("imprecise", F.col("imprecise") | F.col("_open"))
 
 
-def _with_ids(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Written, so that ids stay what they are."""
-    return cut_counted(rows.withColumn("id", F.monotonically_increasing_id()))
+def _task_rows(front: DataFrame, links: DataFrame) -> DataFrame:
+    """``front(unit, _part, block, asked, imprecise, ...)`` and the links of their parts, dealt and sorted for ``roam``."""
+    links = links.where("unit IS NOT NULL AND block IS NOT NULL")
+    links = links.select(
+        "unit", F.col("_part") if "_part" in links.columns else F.lit(0).alias("_part"), F.lit(LINK).cast("byte").alias("_kind"), "block", "_to",
+        F.to_json("_conditions").alias("_conditions"), F.to_json("_forgotten").alias("_forgotten"), F.col("_open").alias("imprecise"),
+    )
+    both = front.withColumn("_kind", F.lit(FACT).cast("byte")).unionByName(links, allowMissingColumns=True)
+    return both.repartition("unit", "_part").sortWithinPartitions("unit", "_part")
+
+
+def _same_unit(table: DataFrame, units: DataFrame, how: str) -> DataFrame:
+    return table.join(units.select(F.col("unit").alias("_unit")), F.col("unit").eqNullSafe(F.col("_unit")), how)
 
 
 def feasible_walks(
@@ -90,62 +103,56 @@ def feasible_walks(
     writes: DataFrame | None = None,
     max_loop: int = MAX_LOOP,
     max_rows: int | None = None,
+    separator: str | None = None,
 ) -> DataFrame:
     """All walks from an entry that enter each block at most ``max_loop`` times and don't contradict themselves.
 
     ``edges(unit, src, dst)``, ``entries(unit, block)``, ``conditions(unit, src, dst, var, cmp, const)`` those an edge adds,
-    ``writes(unit, block, var)``. Gives the prefix tree: step, id (within the step), parent (id in the step before), unit, block,
-    asked (variable, interval, holes), imprecise (a condition on the way could not be read; it is left out), stopped (the bound
-    ended the walk here). There may be exponentially many walks: above ``max_rows`` in one step an error says how
-    many there are, before they are followed; ``feasible_states`` answers most questions without listing walks.
+    ``writes(unit, block, var)``. Gives step, unit, path (its blocks; the walk it goes on from is the path without the last one),
+    block (the last one), asked (variable, interval, holes), imprecise (a condition on the way could not be read; it is left out),
+    stopped (the bound ended the walk here). With a ``separator`` the path is one text, made in the task. Walks are followed inside the task that has the links of their unit; a unit with more
+    walks than a task may follow is dealt to several tasks by its walks so far, round by round. There may be exponentially many: above
+    ``max_rows`` in one step an error says how many there are, before they are followed, which takes a round for every
+    step; ``feasible_states`` answers most questions without listing walks.
     """
+    spark = edges.sparkSession
+    ship(spark)
     links = _links(edges, conditions, writes)
-    one = F.lit(1)
-    start = entries.select(
-        F.lit(0).alias("step"), F.lit(None).cast("bigint").alias("parent"), "unit", "block", _nothing(ASKED).alias("asked"),
-        F.lit(False).alias("imprecise"), F.create_map("block", one).alias("_visits"),
-    )
-    front, rows = _with_ids(start)
-    levels, stops = [], []
-    step = 0
-    while rows:
+    kind = dict(links.dtypes)["block"]
+    start = entries.select("unit", F.array(F.col("block").cast(kind)).alias("path"), F.lit("[]").alias("asked"), F.lit(False).alias("imprecise"))
+    front, rows = cut_counted(start)
+    near = links
+    shape = f"unit {dict(links.dtypes)['unit']}, path array<{kind}>, _text string, step int, block {kind}, asked string, imprecise boolean, stopped boolean, _open boolean"
+    task = RoamWalks(group_rows(links), max_loop, None if max_rows is None else 1, separator)
+    found, step = [], 0
+    while rows or not found:
         if max_rows is not None and rows > max_rows:
             raise ValueError(f"{rows} walks of {step} steps; allowed are {max_rows}")
-        levels.append(front)
-        tried = cut(_step(front.drop("parent", "step"), links).withColumn("_n", F.coalesce(F.try_element_at("_visits", F.col("_to")), F.lit(0))))
-        stops.append(tried.where(F.col("_n") >= max_loop).select("id").distinct().withColumn("step", F.lit(step)))
-        again = F.transform_values("_visits", lambda block, n: F.when(block == F.col("_to"), n + 1).otherwise(n))
-        visits = F.when(F.col("_n") > 0, again).otherwise(F.map_concat("_visits", F.create_map("_to", one)))
+        # a unit of which much is open is many parts, each with the links of the unit
+        size = front.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / PART_WALKS).cast("int").alias("_parts")).where("_parts > 1")
+        size, large = cut_counted(size) if rows > PART_WALKS else (size, 0)
+        part = F.lit(0)
+        if large:
+            parts = size.select("unit", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+            near = links.join(parts, "unit", "left").withColumn("_part", F.coalesce("_part", F.lit(0)))
+            front = front.join(size, "unit", "left")
+            part = F.pmod(F.xxhash64("path"), F.coalesce("_parts", F.lit(1))).cast("int")
+        if step:
+            near = near.join(front.select("unit").distinct(), "unit", "left_semi")
+        dealt = front.select("unit", part.alias("_part"), F.element_at("path", -1).alias("block"), "path", "asked", "imprecise")
+        walked, rows = cut_counted(_task_rows(dealt, near).mapInArrow(task, shape), F.col("_open"))
+        found.append(walked.where("NOT _open"))
+        front, near = walked.where("_open").select("unit", "path", "asked", "imprecise"), links
         step += 1
-        front, rows = _with_ids(
-            tried.where(F.col("_n") < max_loop).select(
-                F.lit(step).alias("step"), F.col("id").alias("parent"), "unit", F.col("_to").alias("block"), F.col("_asked").alias("asked"),
-                "imprecise", visits.alias("_visits"),
-            )
-        )
-    if not levels:
-        return front.drop("_visits").withColumn("stopped", F.lit(False))
-    every, stopped = levels[0], stops[0]
-    for level, stop in zip(levels[1:], stops[1:]):
-        every, stopped = every.unionByName(level), stopped.unionByName(stop)
-    found = every.drop("_visits").join(stopped.withColumn("stopped", F.lit(True)), ["step", "id"], "left")
-    return found.withColumn("stopped", F.coalesce("stopped", F.lit(False)))
+    return _all(found).select(
+        "step", "unit", "block", F.from_json("asked", ASKED).alias("asked"), "imprecise", "stopped",
+        F.col("path" if separator is None else "_text").alias("path"),
+    )
 
 
 def walk_texts(walks: DataFrame, separator: str = ">") -> DataFrame:
-    """``walks`` with ``path``, their blocks in order: written out step by step, for reports."""
-    walks = cut(walks)
-    last = walks.agg(F.max("step")).first()[0]
-    done = walks.where("step = 0").withColumn("path", F.col("block").cast("string"))
-    parts = [cut(done)] if last is not None else []
-    for step in range(1, (last or 0) + 1):
-        before = parts[-1].select(F.col("id").alias("parent"), F.col("path").alias("_path"))
-        here = walks.where(F.col("step") == step).join(before, "parent")
-        parts.append(cut(here.withColumn("path", F.concat_ws(separator, "_path", F.col("block").cast("string"))).select(*walks.columns, "path")))
-    every = done
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every
+    """``walks`` with ``path`` as one text, for reports."""
+    return walks.withColumn("path", F.array_join(F.col("path").cast("array<string>"), separator))
 
 
 @dataclass
@@ -169,26 +176,45 @@ def feasible_states(edges: DataFrame, entries: DataFrame, conditions: DataFrame,
     Two walks that come to the same block having asked the same go on in the same way, so only one of them is
     followed. The number of states is finite, as intervals end at constants of the conditions, so loops need no
     bound: a block is entered again only by a walk that asks something new. A state is imprecise if some walk to it is.
+    A unit is followed inside a task; with more links or states than a task may have (``flowsieve.rows.per.group``), step by step.
     """
+    spark = edges.sparkSession
+    ship(spark)
     links = _links(edges, conditions, writes)
+    kinds, limit = dict(links.dtypes), group_rows(links)
+    start = entries.select("unit", F.col("block").cast(kinds["block"]).alias("block"), F.lit("[]").alias("asked"), F.lit(False).alias("imprecise")).distinct()
+    sized = links.groupBy("unit").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    large, any_large = cut_counted(sized.select("unit"))
+    shape = f"unit {kinds['unit']}, _kind byte, block {kinds['block']}, _to {kinds['block']}, asked string, imprecise boolean"
+    here, near = (_same_unit(start, large, "left_anti"), _same_unit(links, large, "left_anti")) if any_large else (start, links)
+    rows = _task_rows(here.withColumn("_part", F.lit(0)), near)
+    found, left = cut_counted(rows.mapInArrow(RoamStates(limit), shape), F.col("_kind") == OPEN)
+    known = found.where(F.col("_kind") == STATE).select("unit", "block", F.from_json("asked", ASKED).alias("asked"), "imprecise")
+    taken = found.where(F.col("_kind") == EDGE).select("unit", F.col("block").alias("src"), F.col("_to").alias("dst"))
+    if not any_large and not left:
+        return FeasibleGraph(known, taken)
+    front = found.where(F.col("_kind") == OPEN).select("unit", "block", "asked", "imprecise")
+    if any_large:
+        front = front.unionByName(_same_unit(start, large, "left_semi"))
+    return _step_by_step(front.withColumn("asked", F.from_json("asked", ASKED)), links, known, taken)
+
+
+def _step_by_step(front: DataFrame, links: DataFrame, known: DataFrame, taken: DataFrame) -> FeasibleGraph:
+    """``known`` states and ``taken`` edges with what goes on from ``front``, whose states are new; a step is a join."""
     keys = ["unit", "block", "asked", "imprecise"]
-    front, rows = cut_counted(entries.select("unit", "block", _nothing(ASKED).alias("asked"), F.lit(False).alias("imprecise")).distinct())
-    known, taken = [front], []
+    front, rows = cut_counted(front)
+    known, taken = [known, front], [taken]
     while rows:
         tried = cut(_step(front, links).select("unit", F.col("block").alias("src"), F.col("_to").alias("block"), F.col("_asked").alias("asked"), "imprecise"))
         taken.append(tried.select("unit", "src", F.col("block").alias("dst")).distinct())
-        seen = known[0]
-        for part in known[1:]:
-            seen = seen.unionByName(part)
         # whole groups only: a unit without a walk on the move is not compared again
-        seen = seen.join(tried.select("unit").distinct(), "unit", "left_semi")
+        seen = _all(known).join(tried.select("unit").distinct(), "unit", "left_semi")
         front, rows = cut_counted(tried.select(*keys).distinct().join(seen, keys, "left_anti"))
         known.append(front)
         if len(known) > 6:
             known, taken = [cut(_all(known))], [cut(_all(taken).distinct())]
     states = _all(known).groupBy("unit", "block", "asked").agg(F.bool_or("imprecise").alias("imprecise"))
-    followed = _all(taken).distinct() if taken else edges.select("unit", "src", "dst").where("false")
-    return FeasibleGraph(cut(states), cut(followed))
+    return FeasibleGraph(cut(states), cut(_all(taken).distinct()))
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

@@ -123,8 +123,8 @@ def walk_tables(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Dat
 )
 def feasible_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walks that enter each block at most twice, their conditions met on the way."""
-    found = walks.feasible_walks(*walk_tables(B.block_events(spark, sf_dir)), max_loop=2)
-    return walks.walk_texts(found).select("unit", "path", "stopped")
+    found = walks.feasible_walks(*walk_tables(B.block_events(spark, sf_dir)), max_loop=2, separator=">")
+    return found.select("unit", "path", "stopped")
 
 
 FEASIBLE_PARTS = WALK_PARTS | {

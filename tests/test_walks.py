@@ -8,6 +8,7 @@ import pytest
 from flowsieve.operators import guards as G
 from flowsieve.operators import walks as W
 from flowsieve.operators.symbolic import expression_texts, symbolic_values
+from flowsieve.session import cut_counted
 
 EDGES = "unit string, src string, dst string"
 ENTRIES = "unit string, block string"
@@ -65,6 +66,58 @@ def test_walks_against_brute_force(spark, seed):
     assert {p[-1] for p in long} <= {r["block"] for r in graph.blocks().collect()}
 
 
+@pytest.mark.parametrize("limit", ["3", "200000"])
+def test_walks_are_followed_whole_whatever_a_task_may_follow(spark, limit, monkeypatch):
+    """Units of one name and of many walks, null blocks and repeated entries; as texts and as paths, and few jobs where a task has room."""
+    make = random.Random(8)
+    edges, conditions, writes, expected, steps = [], [], [], [], set()
+    for unit in "uvw":
+        mine = sorted({(unit, make.choice("abcd"), make.choice("abcd")) for _ in range(9)})
+        asks = [(*make.choice(mine), make.choice("xy"), make.choice(list(SIGNS)), make.randint(0, 5)) for _ in range(6)]
+        gone = [(unit, make.choice("abcd"), "x")]
+        edges, conditions, writes = edges + mine, conditions + asks, writes + gone
+        expected += [(unit, ">".join(p)) for p in brute_walks(mine, asks, gone, "a", 2)]
+        steps |= {(unit, a, b) for p in brute_walks(mine, asks, gone, "a", 3) for a, b in itertools.pairwise(p)}
+    starts = [("u", "a"), ("v", "a"), ("w", "a"), ("v", "a"), (None, "a"), ("x", None)]
+    expected += [walk for walk in expected if walk[0] == "v"] + [(None, "a"), ("x", "")]
+    tables = [
+        spark.createDataFrame(edges, EDGES), spark.createDataFrame(starts, ENTRIES),
+        spark.createDataFrame(conditions, CONDITIONS), spark.createDataFrame(writes, WRITES),
+    ]
+    rounds = []
+    monkeypatch.setattr(W, "PART_WALKS", 2)
+    monkeypatch.setattr(W, "cut_counted", lambda *args: rounds.append(1) or cut_counted(*args))
+    spark.conf.set("flowsieve.rows.per.group", limit)
+    order = lambda walk: (walk[0] or "", walk[1])
+    try:
+        found = W.feasible_walks(*tables, max_loop=2, separator=">")
+        assert sorted(((r["unit"], r["path"]) for r in found.collect()), key=order) == sorted(expected, key=order)
+        if limit == "200000":
+            assert len(rounds) <= 3
+            return
+        graph = W.feasible_states(*tables)
+        assert steps <= {tuple(r) for r in graph.edges.collect()}
+        assert {(r["unit"], r["block"]) for r in graph.blocks().collect()} >= {(u, p[-1:] or None) for u, p in expected}
+    finally:
+        spark.conf.unset("flowsieve.rows.per.group")
+
+
+def test_states_are_the_same_in_tasks_and_step_by_step(spark):
+    make = random.Random(3)
+    edges = sorted({(u, make.choice("abcde"), make.choice("abcde")) for u in "uv" for _ in range(12)})
+    conditions = [(*make.choice(edges), make.choice(["x", "y", None]), make.choice([*SIGNS, "~", None]), make.choice([0, 1, 2, 3, None])) for _ in range(14)]
+    tables = [spark.createDataFrame(edges, EDGES), spark.createDataFrame([("u", "a"), ("v", "a")], ENTRIES), spark.createDataFrame(conditions, CONDITIONS)]
+    found = []
+    for limit in ("200000", "13", "1"):  # whole in a task; broken off in it; not in a task at all
+        spark.conf.set("flowsieve.rows.per.group", limit)
+        try:
+            graph = W.feasible_states(*tables)
+            found.append((sorted(graph.edges.collect()), sorted(str(r) for r in graph.states.collect())))
+        finally:
+            spark.conf.unset("flowsieve.rows.per.group")
+    assert found[0] == found[1] == found[2] and len(found[0][1]) > 10
+
+
 def test_a_loop_that_asks_more_each_time_comes_to_an_end(spark):
     edges = [("u", "a", "b"), ("u", "b", "a"), ("u", "b", "c"), ("u", "c", "d")]
     conditions = [("u", "a", "b", "x", ">", 3), ("u", "b", "c", "x", "<", 3), ("u", "b", "a", "x", "!=", 4), ("u", "b", "a", "x", "~", 1)]
