@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from flowsieve.operators.ends import MERGE, RENAME, Trivial, dealt, follow_ends, split_by_size
 from flowsieve.operators.fixpoint import follow_pointers, grow
 from flowsieve.operators.ordered import add_range_slices, row_sequence
 from flowsieve.operators.regions import reach
 from flowsieve.operators.spread import WORD, breadth_first, flood, spread
-from flowsieve.session import cut, cut_counted
+from flowsieve.session import cut, cut_counted, ship
 
 
 def _backward(edges: DataFrame) -> DataFrame:
@@ -151,8 +153,22 @@ def eliminate_trivial_merges(merges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Takes ``merges(unit, result, operand)``, gives the merges left and the renames
     ``(unit, result, target)``. Merges that only name each other keep a null target.
+    The passes over a unit are made inside a task; those over a unit too large for it are joins.
     """
-    current = cut(merges.select("unit", "result", "operand").where("operand <> result").distinct())
+    ship(merges.sparkSession)
+    small, large = split_by_size(cut(merges.select("unit", "result", "operand").where("operand <> result")))
+    types = {f.name: f.dataType for f in small.schema.fields}
+    shape = T.StructType([T.StructField(n, types.get(n, T.ByteType())) for n in ("unit", "_kind", "result", "operand")])
+    found = cut(dealt(small).mapInArrow(Trivial(), shape))
+    left = found.where(F.col("_kind") == MERGE).drop("_kind")
+    renames = found.where(F.col("_kind") == RENAME).select("unit", "result", F.col("operand").alias("target"))
+    if large is None:
+        return left, renames
+    more = _eliminate_by_joins(cut(large.distinct()))
+    return left.unionByName(more[0]), renames.unionByName(more[1])
+
+
+def _eliminate_by_joins(current: DataFrame) -> tuple[DataFrame, DataFrame]:
     renames = None
     while True:
         single = current.groupBy("unit", "result").agg(
@@ -215,7 +231,7 @@ def place_merges(
         F.when(F.col("_written").isNull(), F.col("_from")).alias("next"),
         F.coalesce("value", "_written").alias("value"),
     )
-    settled = follow_pointers(nodes, ["unit", "var", "block"], "next", {"value": lambda mine, theirs: F.coalesce(mine, theirs)})
+    settled = follow_ends(nodes, ["unit", "var", "block"], "next", ["value"])
     entry = settled.select("unit", F.col("block").alias("_to"), "var", F.col("value").alias("_entry"))
     merging = asked.where("_n > 1").select(*keys)
     operands = (

@@ -7,9 +7,10 @@ from conftest import TINY
 from pyspark.sql import functions as F
 
 from flowsieve.functions.text import reference_segments, resolve_type_tags, scan_references, type_tags
-from flowsieve.operators import fixpoint, graph, inside, guards, paths, states, taint
+from flowsieve.operators import ends, fixpoint, graph, inside, guards, paths, states, taint
 from flowsieve.plans import bindings, load_all
 from flowsieve.plans.profiles import read_profiles
+from flowsieve.session import cut
 from flowsieve.sources import policy, references
 from flowsieve.streaming.arrival import analyse_arrivals, latest_arrivals
 
@@ -63,6 +64,43 @@ def test_trivial_merges_brute_force(spark, seed):
     assert gone.isdisjoint({r for r, _ in brute_trivial(data)})
 
 
+@pytest.mark.parametrize("limit", ["200000", "9"])
+def test_trivial_merges_of_many_units(spark, limit, monkeypatch):
+    """Whole units in a task, or by joins where a unit is too large for it; circles of merges that only name each other have no target."""
+    rnd = random.Random(5)
+    data = {u: [(f"m{m}", rnd.choice([f"m{rnd.randint(0, 8)}", f"v{rnd.randint(0, 2)}"])) for m in range(9) for _ in range(rnd.randint(1, 3))] for u in "uvw"}
+    data["c"] = [("m1", "m2"), ("m2", "m1"), ("m3", "m1"), ("m3", "v1"), ("m3", "v2")]
+    table = spark.createDataFrame([(u, *d) for u, rows_of in data.items() for d in rows_of], "unit string, result string, operand string")
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or cut(df))
+    spark.conf.set("flowsieve.rows.per.group", limit)
+    try:
+        left, renames = graph.eliminate_trivial_merges(table)
+        for u in "uvw":
+            rows_of = data[u]
+            assert rows(left.where(F.col("unit") == u).select("result", "operand")) == brute_trivial(rows_of)
+        assert rows(left.where("unit = 'c'").select("result", "operand")) == {("m3", "v1"), ("m3", "v2")}
+        assert {(r["result"], r["target"]) for r in renames.where("unit = 'c'").collect()} == {("m1", None), ("m2", None)}
+    finally:
+        spark.conf.unset("flowsieve.rows.per.group")
+    assert limit != "200000" or len(written) == 2  # however many passes it takes
+
+
+@pytest.mark.parametrize("limit", ["200000", "3"])
+def test_chains_end_where_their_last_row_is(spark, limit):
+    made = [("u", i, i - 1 if i else None, f"e{i}") for i in range(30)] + [("v", 1, 2, "x"), ("v", 2, 1, "y"), ("v", 3, None, None), ("v", 4, 3, "z")]
+    nodes = spark.createDataFrame(made, "unit string, id int, next int, value string")
+    spark.conf.set("flowsieve.rows.per.group", limit)
+    try:
+        found = {(r["unit"], r["id"]): (r["next"] is None, r["value"]) for r in ends.follow_ends(nodes, ["unit", "id"], "next", ["value"]).collect()}
+        assert all(found["u", i] == (True, "e0") for i in range(30)) and found["v", 4] == found["v", 3] == (True, None)
+        assert not found["v", 1][0] and not found["v", 2][0]
+        with pytest.raises(Exception, match="name no row"):
+            ends.follow_ends(nodes.where("id <> 0"), ["unit", "id"], "next", ["value"]).collect()
+    finally:
+        spark.conf.unset("flowsieve.rows.per.group")
+
+
 def test_trivial_merges_of_events(spark):
     left = QUERIES["eliminate_trivial_merges"](spark, TINY)
     counted = left.groupBy("unit", "result").agg(F.countDistinct("operand").alias("n"))
