@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.expressions import render_message
 from flowsieve.operators.classify import classify_sinks, match_sink_arguments, sanitizer_mismatch
+from flowsieve.operators.ends import follow_ends
 from flowsieve.operators.fixpoint import follow_pointers, grow, grow_masks
 from flowsieve.operators.inside import deal_large_units, follow
 from flowsieve.operators.states import dedupe_findings
@@ -24,7 +25,7 @@ def straight_line_taint(ops: DataFrame) -> DataFrame:
     ``ops(unit, seq, def_seq, is_source, is_clean)``. A sanitizer is untainted, also if its name is
     a source's as well, a source is tainted, any other op takes over its definition's state; no
     definition -> untainted.
-    Resolved by pointer doubling: log rounds in the length of the longest chain.
+    Chains are followed to their end inside the task that has the unit.
     """
     nodes = ops.select(
         "unit",
@@ -35,7 +36,7 @@ def straight_line_taint(ops: DataFrame) -> DataFrame:
         .when(F.col("def_seq").isNull(), F.lit(False))
         .alias("tainted"),
     )
-    done = follow_pointers(nodes, ["unit", "seq"], "parent", {"tainted": lambda mine, theirs: F.coalesce(mine, theirs)})
+    done = follow_ends(nodes, ["unit", "seq"], "parent", ["tainted"])
     return done.select("unit", "seq", F.coalesce("tainted", F.lit(False)).alias("tainted"))
 
 

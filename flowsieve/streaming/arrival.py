@@ -60,7 +60,8 @@ def analyse_arrivals(
     def keep(batch: DataFrame, number: int) -> None:
         if unit is not None:
             dealt = batch.withColumn("_bucket", _bucket(unit, buckets))
-            dealt.write.mode("overwrite").partitionBy("_bucket").parquet(f"{_rows(out)}/_batch={number}")
+            # a folder gets one file of a batch, or a few if it is large, not one of every task
+            dealt.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{_rows(out)}/_batch={number}")
             kept = spark.read.schema(dealt.withColumn("_batch", F.lit(0)).schema).parquet(_rows(out))
             own = kept.where(F.col("_batch") == number).select(F.col(unit).alias("_unit"), F.col("_bucket").alias("_of")).distinct()
             own.select("_unit").write.mode("overwrite").parquet(f"{_units(out)}/_batch={number}")

@@ -314,6 +314,15 @@ def test_profiles_from_file(spark, tmp_path):
     assert [(r["stage"], r["traversal"]) for r in read_profiles(spark, str(path)).orderBy("stage").collect()] == [(0, "DFS"), (1, "BFS")]
 
 
+def test_a_batch_of_many_tasks_keeps_few_files(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(400).select((F.col("id") % 40).alias("unit")).repartition(8).write.parquet(source)
+    analyse_arrivals(spark, source, spark.read.parquet(source).schema, lambda batch: batch.groupBy("unit").count(), out, unit="unit", buckets=4)
+    kept = list((tmp_path / "out-rows").rglob("*.parquet"))
+    assert len(kept) <= 4  # small folders share a task, a folder has one file
+    assert latest_arrivals(spark, out, "unit").where("count = 10").count() == 40
+
+
 def test_arrivals_take_only_what_is_new(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     for part in (1, 2):
