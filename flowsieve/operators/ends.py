@@ -131,3 +131,67 @@ class Trivial(Inside):
     def renamed(numbers: np.ndarray, name: np.ndarray, target: np.ndarray) -> np.ndarray:
         place = np.minimum(np.searchsorted(name, numbers), len(name) - 1)
         return np.where(name[place] == numbers, target[place], numbers)
+
+
+class Heights(Inside):
+    """Operands ``(unit, seq, pos, origin, ...)`` with ``height``, that of their expression, and ``below``, that of what they name.
+
+    Rows without ``pos`` are leaves, of height 0, as are operands without ``origin``. Operands of expressions without a height (something
+    that they are made of is no row, or they are made of themselves) are left out, and so are the leaves.
+    """
+
+    def __init__(self):
+        pass
+
+    def followed(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        unit, _, _ = _codes(table["unit"])
+        (own, target), values, _ = _codes_of([table["seq"], table["origin"]])
+        nodes, own = np.unique(unit * len(values) + own, return_inverse=True)
+        key = unit * len(values) + target
+        target = np.minimum(np.searchsorted(nodes, key), len(nodes) - 1)
+        named, operand = (np.asarray(table[c].is_valid()) for c in ("origin", "pos"))
+        lost = named & (nodes[target] != key)
+        height = np.full(len(nodes), -1, np.int64)
+        height[own[~operand]] = 0
+        open_rows = np.flatnonzero(operand)
+        while len(open_rows):
+            below = np.where(named[open_rows], height[target[open_rows]], 0)
+            late = (below < 0) | lost[open_rows]
+            waits = np.zeros(len(nodes), bool)
+            waits[own[open_rows[late]]] = True
+            ready = ~waits[own[open_rows]]
+            if not ready.any():
+                break
+            np.maximum.at(height, own[open_rows[ready]], below[ready] + 1)
+            open_rows = open_rows[~ready]
+        kept = np.flatnonzero(operand & (height[own] > 0))
+        below = np.where(named, height[target], 0)[kept]
+        table = table.take(pa.array(kept)).drop_columns(["_part"])
+        table = table.append_column("height", pa.array(height[own[kept]], pa.int32())).append_column("below", pa.array(below, pa.int32()))
+        yield from table.to_batches(max_chunksize=50_000)
+
+
+def with_heights(operands: DataFrame) -> DataFrame:
+    """``operands(unit, seq, pos, origin, ...)`` as in ``Heights``, those of large units by joins, a height at a time."""
+    ship(operands.sparkSession)
+    small, large = split_by_size(operands)
+    shape = T.StructType([*small.schema.fields, T.StructField("height", T.IntegerType()), T.StructField("below", T.IntegerType())])
+    found = dealt(small).mapInArrow(Heights(), shape)
+    if large is None:
+        return cut(found)
+    large = cut(large)
+    known = cut(large.where("pos IS NULL").select("unit", F.col("seq").alias("origin"), F.lit(0).alias("below")).distinct())
+    waiting, rows = cut_counted(large.where("pos IS NOT NULL"))
+    parts = [found]
+    while rows:
+        met = waiting.join(known, ["unit", "origin"], "left").withColumn("below", F.when(F.col("origin").isNull(), 0).otherwise(F.col("below")))
+        top = met.groupBy("unit", "seq").agg((F.max("below") + 1).alias("height"), F.bool_or(F.col("below").isNull()).alias("_late")).where("NOT _late")
+        fresh, more = cut_counted(met.join(top.drop("_late"), ["unit", "seq"]).select(*large.columns, "height", "below"))
+        if not more:
+            break
+        parts.append(fresh)
+        known = cut(known.unionByName(fresh.select("unit", F.col("seq").alias("origin"), F.col("height").alias("below")).distinct()))
+        waiting, rows = cut_counted(waiting.join(fresh.select("unit", "seq").distinct(), ["unit", "seq"], "left_anti"))
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return cut(found)

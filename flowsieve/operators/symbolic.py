@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions.expressions import symbol_of
-from flowsieve.operators.fixpoint import follow_pointers
+from flowsieve.operators.ends import follow_ends, with_heights
 from flowsieve.session import cut, cut_counted
 
+#: Parts of the known operands that are kept before those of done levels are dropped.
+PARTS = 6
+
 
 @dataclass
 class Expressions:
@@ -29,8 +32,9 @@ def symbolic_values(ops: DataFrame) -> Expressions:
 
     ``ops(unit, seq, operator, leaf, operands)`` with ``operands`` an array of structs (def_seq, leaf): a
     definition, or the text of a constant or unwritten variable. A row with a ``leaf`` is such a text itself; one
-    without operator hands on its only operand. Copies are followed by pointer doubling; then
-    expressions are numbered level by level, by their height, each distinct one once. Every ``def_seq`` names a row.
+    without operator hands on its only operand. Copies are followed and heights found inside the task that
+    has the unit; then expressions are numbered level by level, each distinct one once. An operand is joined in the level after that of
+    what it names, and grouped in the level of its expression, so each is shuffled once. Every ``def_seq`` names a row.
     """
     ops = cut(ops.select("unit", "seq", "operator", "leaf", "operands"))
     first = F.get("operands", 0)
@@ -40,41 +44,41 @@ def symbolic_values(ops: DataFrame) -> Expressions:
         F.when(copies, first["def_seq"]).alias("next"),
         F.when(~copies | first["def_seq"].isNull(), F.col("seq")).alias("origin"),
     )
-    ends = follow_pointers(pointers, ["unit", "seq"], "next", {"origin": lambda mine, theirs: F.coalesce(mine, theirs)})
+    ends = follow_ends(pointers, ["unit", "seq"], "next", ["origin"])
     ends = cut(ends.select("unit", "seq", "origin"))
     kinds = ops.join(ends.where("seq = origin").select("unit", "seq"), ["unit", "seq"], "left_semi").select(
         "unit", "seq", "operator", F.coalesce("leaf", F.when(copies, first["leaf"])).alias("leaf"), "operands"
     )
     kinds = cut(kinds)
-    asked = kinds.where("leaf IS NULL").select("unit", "seq", F.posexplode("operands").alias("pos", "_o")).select(
-        "unit", "seq", "pos", F.col("_o.def_seq").alias("child"), F.col("_o.leaf").alias("text")
+    asked = kinds.where("leaf IS NULL").select("unit", "seq", "operator", F.posexplode("operands").alias("pos", "_o")).select(
+        "unit", "seq", "pos", "operator", F.col("_o.def_seq").alias("child"), F.col("_o.leaf").alias("text")
     )
     target = ends.select("unit", F.col("seq").alias("child"), "origin")
-    waiting = cut(asked.join(target, ["unit", "child"], "left").select("unit", "seq", "pos", "text", "origin"))
+    waiting = asked.join(target, ["unit", "child"], "left").select("unit", "seq", "pos", "operator", "text", "origin")
+    leaves = kinds.where("leaf IS NOT NULL").select("unit", "seq")
+    waiting = with_heights(cut(waiting.unionByName(leaves, allowMissingColumns=True)))
 
     # level 0: texts, those of operands as well
     texts = kinds.where("leaf IS NOT NULL").select("leaf").unionByName(waiting.where("origin IS NULL").select(F.col("text").alias("leaf")))
     number = F.monotonically_increasing_id()
     none = F.lit(None).cast("array<bigint>")
     level, rows = cut_counted(texts.distinct().select(number.alias("id"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("operator"), "leaf", none.alias("operands")))
-    nodes, base, depth = [level], 0, 0
+    nodes, base = [level], 0
     found = cut(kinds.where("leaf IS NOT NULL").join(level.select("leaf", "id"), "leaf").select("unit", "seq", "id"))
     values = [found]
-    direct = waiting.where("origin IS NULL").join(level.select(F.col("leaf").alias("text"), "id"), "text").select("unit", "seq", "pos", "id")
-    known = cut(direct)
-    counts = kinds.where("leaf IS NULL").select("unit", "seq", "operator", F.size("operands").alias("n"))
-    counts = cut(counts)
-    links = cut(waiting.where("origin IS NOT NULL").select("unit", "seq", "pos", "origin"))
-    while True:
-        depth += 1
-        fresh = links.join(found.select("unit", F.col("seq").alias("origin"), "id"), ["unit", "origin"]).select("unit", "seq", "pos", "id")
-        known = cut(known.unionByName(fresh))
-        whole = known.groupBy("unit", "seq").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_o"))
-        ready, ready_rows = cut_counted(
-            whole.join(counts, ["unit", "seq", "n"]).select("unit", "seq", "operator", F.transform("_o", lambda o: o["id"]).alias("operands"))
+    part = ["unit", "seq", "pos", "operator", "height", "id"]
+    direct = waiting.where("origin IS NULL").join(level.select(F.col("leaf").alias("text"), "id"), "text").select(*part)
+    known = [cut(direct)]
+    top = waiting.agg(F.max("height")).first()[0] or 0
+    for depth in range(1, top + 1):
+        links = waiting.where((F.col("below") == depth - 1) & F.col("origin").isNotNull())
+        known.append(cut(links.join(found.select("unit", F.col("seq").alias("origin"), "id"), ["unit", "origin"]).select(*part)))
+        if len(known) > PARTS:
+            known = [cut(_all(known).where(F.col("height") >= depth))]
+        here = _all(known).where(F.col("height") == depth).groupBy("unit", "seq").agg(
+            F.first("operator").alias("operator"), F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_o")
         )
-        if not ready_rows:
-            break
+        ready = cut(here.select("unit", "seq", "operator", F.transform("_o", lambda o: o["id"]).alias("operands")))
         base = level.agg(F.max("id")).first()[0] + 1 if rows else base
         distinct = ready.groupBy("operator", "operands").agg(F.lit(0).alias("_"))
         level, rows = cut_counted(
@@ -83,16 +87,18 @@ def symbolic_values(ops: DataFrame) -> Expressions:
         nodes.append(level)
         found = cut(ready.join(level.select("operator", "operands", "id"), ["operator", "operands"]).select("unit", "seq", "id"))
         values.append(found)
-        known = known.join(ready.select("unit", "seq"), ["unit", "seq"], "left_anti")
-    table, every = nodes[0], values[0]
-    for part in nodes[1:]:
-        table = table.unionByName(part)
-    for part in values[1:]:
-        every = every.unionByName(part)
+    table, every = _all(nodes), _all(values)
     shown = ends.join(every.withColumnRenamed("seq", "origin"), ["unit", "origin"]).select("unit", "seq", "id")
     return Expressions(cut(shown), cut(table))
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def expression_texts(found: Expressions, wanted: DataFrame, longest: int | None = None) -> DataFrame:
     """(id, expr) of the ``wanted(id)`` expressions: ``((left) sign (right))``, as deep as they go.
 

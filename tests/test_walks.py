@@ -6,9 +6,10 @@ import random
 import pytest
 
 from flowsieve.operators import guards as G
+from flowsieve.operators import symbolic
 from flowsieve.operators import walks as W
 from flowsieve.operators.symbolic import expression_texts, symbolic_values
-from flowsieve.session import cut_counted
+from flowsieve.session import cut, cut_counted
 
 EDGES = "unit string, src string, dst string"
 ENTRIES = "unit string, block string"
@@ -158,6 +159,25 @@ def test_shared_expressions_do_not_double(spark):
     assert texts[ids["v", 4]] == "7" and texts[ids["u", 41]] is None  # a trillion characters are not written
 
 
+@pytest.mark.parametrize("limit", ["200000", "5"])
+def test_an_operand_is_grouped_in_the_level_of_its_expression_only(spark, limit, monkeypatch):
+    """Operands of heights far apart; an expression made of itself has no value, nor has what is made of it."""
+    rows = [("u", 1, None, "s", []), ("u", 2, "Minus", None, [(1, None), (None, "t")])]
+    rows += [("u", k, "Plus", None, [(k - 1, None), (1, None)]) for k in range(3, 9)] + [("u", 9, "Mul", None, [(2, None), (8, None)])]
+    rows += [("c", 1, "Plus", None, [(2, None), (None, "t")]), ("c", 2, "Plus", None, [(1, None), (3, None)]), ("c", 3, None, "s", []), ("c", 4, "Mul", None, [(1, None)])]
+    written = []
+    monkeypatch.setattr(symbolic, "cut", lambda df: written.append(df.columns) or cut(df))
+    spark.conf.set("flowsieve.rows.per.group", limit)
+    try:
+        found = symbolic_values(spark.createDataFrame(rows, OPS))
+        levels = {(r["unit"], r["seq"]): r["level"] for r in found.values.join(found.nodes, "id").collect()}
+        assert levels == {("u", 1): 0, ("u", 2): 1, **{("u", k): k - 1 for k in range(3, 10)}, ("c", 3): 0}
+        # an operand is written in one level and once in every few when done ones are dropped, not in every level
+        assert sum("pos" in columns and "height" in columns for columns in written) <= 8 + 1 + 8 // 5
+    finally:
+        spark.conf.unset("flowsieve.rows.per.group")
+
+
 NODES = "cond int, node int, parent int, pos int, mode string, var string, tested_type string, negated boolean"
 
 
