@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,9 @@ LOWER[65:91] += 32
 
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
+BASE = 0x2545F4914F6CDD1D
+#: What a byte adds to the hash of its word.
+VALUE = np.where(SPACE, U(0), LOWER.astype(np.uint64) + U(1))
 #: Bytes of text that are handled at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
@@ -29,19 +33,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers = np.ones(1, dtype=np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        size = max(n, 4096)
-        table = np.full(size, 0x2545F4914F6CDD1D, dtype=np.uint64)
-        table[0] = 1
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(table, dtype=np.uint64)
-    return _powers[:n]
+@lru_cache(maxsize=2)
+def powers(base: int) -> np.ndarray:
+    """base**0 .. base**(SLICE_BYTES-1) modulo 2**64."""
+    table = np.full(SLICE_BYTES, base, dtype=np.uint64)
+    table[0] = 1
+    return np.cumprod(table, dtype=np.uint64)
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +68,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(hash of every word with A-Z lower-cased, number of words before each text and in all)."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    space = SPACE[data]
+    space = SPACE.take(data)
     start = ~space
     start[1:] &= space[:-1]
     edges = offsets[:-1][offsets[:-1] < len(data)]
@@ -79,15 +76,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first = np.flatnonzero(start)
     if not len(first):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    word = np.cumsum(start) - 1
-    place = np.arange(len(data)) - first[np.maximum(word, 0)]
-    place[space] = 0
-    table = powers(int(place.max()) + 1)
-    with np.errstate(over="ignore"):
-        value = (LOWER[data].astype(np.uint64) + U(1)) * table[place]
-        value[space] = 0
-        hashed = mix(np.add.reduceat(value, first) + ODD)
-    return hashed, np.searchsorted(first, offsets, side="left")
+    # bytes count by their place in the data; the odd BASE has an inverse, which takes the place of the first byte out again
+    value, back = VALUE.take(data), pow(BASE, -1, 1 << 64)
+    for k in range(0, len(data), SLICE_BYTES):
+        part = value[k : k + SLICE_BYTES]
+        part *= powers(BASE)[: len(part)]
+        if k:
+            part *= U(pow(BASE, k, 1 << 64))
+    hashed = np.add.reduceat(value, first)
+    if len(data) <= SLICE_BYTES:
+        hashed *= powers(back).take(first)
+    else:
+        hashed *= powers(back).take(first % SLICE_BYTES)
+        hashed *= np.array([pow(back, k, 1 << 64) for k in range(0, len(data), SLICE_BYTES)], dtype=np.uint64).take(first // SLICE_BYTES)
+    return mix(hashed + ODD), np.searchsorted(first, offsets, side="left")
 
 
 def shingles(hashed: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

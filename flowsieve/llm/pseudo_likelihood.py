@@ -91,21 +91,33 @@ def start(counts: np.ndarray, total: int, seed: int = 5) -> Network:
     )
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    """Probabilities, with the largest logit taken out."""
-    grown = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return grown / grown.sum(axis=1, keepdims=True)
+def _top(logits: np.ndarray) -> np.ndarray:
+    """What is taken out before the exponentials: the largest logit of all, or of each row if they lie far apart."""
+    top = logits.max(initial=0)
+    return logits.max(axis=1, keepdims=True) if top - logits.min(initial=0) > 60 else top
+
+
+def _row_sums(grown: np.ndarray) -> np.ndarray:
+    return grown @ np.ones((grown.shape[1], 1), dtype=grown.dtype)
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    """Log of the sum of the exponentials of each row; the largest of all is taken out, or of each row if they lie far apart."""
-    top = logits.max(initial=0)
-    if top - logits.min(initial=0) > 60:
-        top = logits.max(axis=1, keepdims=True)
-    total = np.exp(logits - top) @ np.ones((logits.shape[1], 1), dtype=logits.dtype)
+    """Log of the sum of the exponentials of each row."""
+    top = _top(logits)
+    grown = logits - top
+    total = _row_sums(np.exp(grown, out=grown))
     return (np.log(total) + top)[:, 0]
 
 
+def _slope(logits: np.ndarray, target: np.ndarray, rate: float) -> np.ndarray:
+    """``rate`` times the slope of the loss by each logit, in the place of the logits."""
+    logits -= _top(logits)
+    np.exp(logits, out=logits)
+    logits *= rate / _row_sums(logits)
+    logits[np.arange(len(target)), target] -= rate
+    return logits
+
+
 def _first_level(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(output of the head, cluster or -1)."""
     tail = (target >= FREQUENT) & (target < VOCABULARY)
@@ -114,56 +126,76 @@ def _first_level(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hidden(net: Network, around: np.ndarray) -> np.ndarray:
-    total = net.inputs[0][around[0]] + net.hidden
+    total = net.inputs[0].take(around[0], axis=0)
+    total += net.hidden
     for k in range(1, len(PLACES)):
-        total += net.inputs[k][around[k]]
-    return np.tanh(total)
+        total += net.inputs[k].take(around[k], axis=0)
+    return np.tanh(total, out=total)
+
+
+def _by_cluster(cluster: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words of clusters, cluster by cluster, and where each cluster begins and the last one ends."""
+    order = np.argsort(cluster.astype(np.int16), kind="stable")
+    edges = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
+    return order[edges[0] :], edges - edges[0]
+
+
+def _tail_logits(net: Network, hidden: np.ndarray, cluster: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Logits of the second level for words in the order of their clusters."""
+    logits = net.tail_bias.take(cluster, axis=0)
+    for k in range(CLUSTERS):
+        own = slice(edges[k], edges[k + 1])
+        logits[own] += hidden[own] @ net.tail[k].T
+    return logits
 
 
 def log_probability(net: Network, around: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(target | the words around it); around is (place, word)."""
     hidden = _hidden(net, around)
     first, cluster = _first_level(target)
-    rows = np.arange(len(target))
-    logits = hidden @ net.head.T + net.head_bias
-    out = logits[rows, first] - _log_sum(logits)
-    order = np.argsort(cluster, kind="stable")
-    edges = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
-    for k in range(CLUSTERS):
-        own = order[edges[k] : edges[k + 1]]
-        if len(own):
-            logits = hidden[own] @ net.tail[k].T + net.tail_bias[k]
-            out[own] += logits[np.arange(len(own)), (target[own] - FREQUENT) % CLUSTER] - _log_sum(logits)
+    logits = hidden @ net.head.T
+    logits += net.head_bias
+    out = logits[np.arange(len(target)), first] - _log_sum(logits)
+    own, edges = _by_cluster(cluster)
+    logits = _tail_logits(net, hidden.take(own, axis=0), cluster[own], edges)
+    out[own] += logits[np.arange(len(own)), (target[own] - FREQUENT) % CLUSTER] - _log_sum(logits)
     return out
 
 
 def train_step(net: Network, around: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent on the mean loss of the masked words."""
     hidden = _hidden(net, around)
-    n, rows = len(target), np.arange(len(target))
+    n = len(target)
+    fine = np.float32(np.sqrt(n))
     first, cluster = _first_level(target)
-    slope = _softmax(hidden @ net.head.T + net.head_bias)
-    slope[rows, first] -= 1
-    slope *= rate
+    logits = hidden @ net.head.T
+    logits += net.head_bias
+    slope = _slope(logits, first, rate)
     back = slope @ net.head
-    net.head -= slope.T @ hidden / np.float32(np.sqrt(n))
+    net.head -= slope.T @ hidden / fine
     net.head_bias -= slope.sum(axis=0) / n
-    for k in np.unique(cluster[cluster >= 0]):
-        own = np.flatnonzero(cluster == k)
-        slope = _softmax(hidden[own] @ net.tail[k].T + net.tail_bias[k])
-        slope[np.arange(len(own)), (target[own] - FREQUENT) % CLUSTER] -= 1
-        slope *= rate
-        back[own] += slope @ net.tail[k]
-        net.tail[k] -= slope.T @ hidden[own] / np.float32(np.sqrt(n))
-        net.tail_bias[k] -= slope.sum(axis=0) / n
-    back *= 1 - hidden * hidden
+    own, edges = _by_cluster(cluster)
+    near = hidden.take(own, axis=0)
+    slope = _slope(_tail_logits(net, near, cluster[own], edges), (target[own] - FREQUENT) % CLUSTER, rate)
+    pushed = np.empty_like(near)
+    for k in np.flatnonzero(np.diff(edges)):
+        part = slice(edges[k], edges[k + 1])
+        pushed[part] = slope[part] @ net.tail[k]
+        net.tail[k] -= slope[part].T @ near[part] / fine
+        net.tail_bias[k] -= slope[part].sum(axis=0) / n
+    back[own] += pushed
+    hidden *= hidden
+    back *= 1 - hidden
     net.hidden -= back.sum(axis=0) / n
-    for k in range(len(PLACES)):
-        order = np.argsort(around[k], kind="stable")
-        seen, at = np.unique(around[k][order], return_index=True)
-        total = np.add.reduceat(back[order], at, axis=0)
-        count = np.diff(np.append(at, n)).astype(np.float32)
-        net.inputs[k][seen] -= total / np.sqrt(count * np.float32(np.sqrt(n)))[:, None]
+    # the rows of all places are one table, so one sort brings each row's slopes together
+    inputs = net.inputs.reshape(-1, WIDTH)
+    rows = (around + np.arange(len(PLACES))[:, None] * (VOCABULARY + 2)).ravel().astype(np.min_scalar_type(len(inputs)))
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    at = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    total = np.add.reduceat(back.take(order % n, axis=0), at, axis=0)
+    count = np.diff(np.append(at, len(rows))).astype(np.float32)
+    inputs[rows[at]] -= total / np.sqrt(count * fine)[:, None]
 
 
 def _numbers(hashed: np.ndarray, keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:

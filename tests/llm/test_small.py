@@ -40,6 +40,18 @@ def test_words_and_shingles_are_those_of_the_pattern():
     assert np.diff(at).tolist() == sizes
 
 
+def test_words_of_long_texts_are_those_of_short_ones():
+    size = hashing.SLICE_BYTES
+    long = "x" * (size + 5)  # a word that lies in three blocks, then words on either side of a border
+    texts = ["Ab " * size, f" {long} ab {long.upper()}\n", "ab"]
+    data, offsets = hashing.flat(pa.array(texts))
+    hashed, before = hashing.words(data, offsets)
+    alone = hashing.words(*hashing.flat(pa.array(["ab", "x" * (size + 4), long])))[0]
+    assert np.diff(before).tolist() == [size, 3, 1]
+    assert (hashed[:size] == alone[0]).all() and hashed[size:].tolist() == [alone[2], alone[0], alone[2], alone[0]]
+    assert len(set(alone.tolist())) == 3
+
+
 def test_signature_estimates_the_similarity():
     make = np.random.default_rng(1)
     pool = make.integers(0, 2**63, 3000).astype(np.uint64)
@@ -165,6 +177,49 @@ def test_training_leaves_the_shared_weights():
     assert (vector == held).all() and (net.vector() != held).any()
 
 
+def plain_step(net, around, target, rate):
+    """Descent of ``train_step`` with whole tables of probabilities, word by word."""
+    n, many = len(target), pseudo_likelihood.CLUSTER
+    hidden = np.tanh(sum(net.inputs[k][around[k]] for k in range(len(around))) + net.hidden)
+    first, cluster = pseudo_likelihood._first_level(target)
+    change = {name: np.zeros(x.shape) for name, x in vars(net).items()}
+    for i in range(n):
+        back = np.zeros(pseudo_likelihood.WIDTH)
+        levels = [(net.head, net.head_bias, first[i], change["head"], change["head_bias"])]
+        if cluster[i] >= 0:
+            k = cluster[i]
+            inside = (target[i] - pseudo_likelihood.FREQUENT) % many
+            levels.append((net.tail[k], net.tail_bias[k], inside, change["tail"][k], change["tail_bias"][k]))
+        for table, bias, wanted, to_table, to_bias in levels:
+            slope = np.exp((table @ hidden[i] + bias).astype(float))
+            slope /= slope.sum()
+            slope[wanted] -= 1
+            back += rate * slope @ table
+            to_table -= rate * np.outer(slope, hidden[i]) / np.sqrt(n)
+            to_bias -= rate * slope / n
+        back *= 1 - hidden[i] ** 2
+        change["hidden"] -= back / n
+        for k in range(len(around)):
+            change["inputs"][k][around[k][i]] -= back / np.sqrt((around[k] == around[k][i]).sum() * np.sqrt(n))
+    return pseudo_likelihood.Network(**{name: x + change[name] for name, x in vars(net).items()})
+
+
+@pytest.mark.parametrize("words", [pseudo_likelihood.VOCABULARY + 1, pseudo_likelihood.FREQUENT])
+def test_a_step_takes_all_clusters_at_once(words, monkeypatch):
+    """The plain gradient, from two tables of exponentials and one sort of all places instead of one for each."""
+    make, calls = np.random.default_rng(9), {"exp": 0, "argsort": 0}
+    net = pseudo_likelihood.start(np.arange(pseudo_likelihood.VOCABULARY, 0, -1), 900_000)
+    around, target = make.integers(0, 60, (4, 300)), make.integers(0, words, 300)
+    around[:, ::7] = pseudo_likelihood.OUTSIDE
+    expected = plain_step(net, around, target, 0.1).vector()
+    for name in calls:
+        kept = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda *args, _name=name, _kept=kept, **more: calls.update({_name: calls[_name] + 1}) or _kept(*args, **more))
+    pseudo_likelihood.train_step(net, around, target, 0.1)
+    assert np.abs(net.vector() - expected).max() < 1e-5
+    assert calls["exp"] <= 2 and calls["argsort"] <= 2
+
+
 def test_classifier_finds_unseen_misspellings():
     make = random.Random(6)
     syllables = ["ba", "re", "ti", "no", "lu", "ke", "sha", "mon"]
